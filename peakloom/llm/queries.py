@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op10_decontaminate
+from .fingerprints import op5_bottomk_fingerprints
 from .grammar import op6_repair_shards
+from .licences import op8_license_digests
+from .licences import oracle as licence_oracle
 from .packing import op3_pack_sequences
+from .pii import op2_pii_spans
+from .secrets import op4_entropy_secrets
+from .sharding import op7_minimax_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii_spans": op2_pii_spans,
     "op3_pack_sequences": op3_pack_sequences,
+    "op4_entropy_secrets": op4_entropy_secrets,
+    "op5_bottomk_fingerprints": op5_bottomk_fingerprints,
     "op6_repair_shards": op6_repair_shards,
+    "op7_minimax_shards": op7_minimax_shards,
+    "op8_license_digests": op8_license_digests,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_license_digests": licence_oracle()}
