@@ -77,7 +77,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, spans (array of [from, to) word places inside any occurrence, merged) and
-    items (those with an occurrence, sorted as numbers), besides the columns of ``keep``, unchanged.
+    items (those with an occurrence, sorted as numbers), besides the columns of ``keep``, unchanged, each named ``k_`` and its name.
 
     The item texts are counted first. They are dealt by item_id into blocks of at most about BLOCK_BYTES; one block's
     texts are broadcast at a time, so memory has a bound whatever the size of ``items``. With more than one block the
@@ -86,7 +86,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col:
     items = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("binary").alias("body")).where("item is not null")
     total = items.agg(F.sum(F.length("body"))).first()[0] or 0
     blocks = common.pieces_for(total, BLOCK_BYTES)
-    keep = [c for c in (keep or []) if c not in ("n_words", "spans", "items")]
+    keep = list(keep or [])
     kept = [F.col(c).alias(f"k_{c}") for c in keep]
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"), *kept)
     if blocks > 1:
