@@ -3,6 +3,7 @@ unbiased risk and an estimated class prior. Rows labelled as bad are never used.
 
 from __future__ import annotations
 
+import operator
 import zlib
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ _CLASS[list(b"!?;:")] = 7
 _CLASS[list(b"()[]{}'\"")] = 8
 _CLASS[128:] = 10
 _CLASS[[c for c in range(32) if c not in (9, 10, 13)] + [127]] = 11
-N_FEATURES = _CLASSES * _CLASSES + 94 + 10
+N_FEATURES = _CLASSES * _CLASSES + 94 + 11
 
 
 def features(text: bytes | None) -> np.ndarray:
@@ -49,9 +50,9 @@ def features(text: bytes | None) -> np.ndarray:
     n = max(1, len(words))
     distinct, pairs_seen = len(set(words)), len(set(zip(words, words[1:], strict=False)))
     capital = sum(map(bytes.isupper, words))
-    out[-10:] = (
+    out[-11:] = (
         np.log1p(len(data)) / 10, np.log1p(n) / 10, distinct / n, pairs_seen / max(1, n - 1), len(set(lines)) / len(lines),
-        min(1.0, len(data) / n / 20), capital / n, min(1.0, len(lines) / n), np.log1p(n / max(1, distinct)) / 5, float(len(words) > 0),
+        min(1.0, len(data) / n / 20), capital / n, min(1.0, len(lines) / n), np.log1p(n / max(1, distinct)) / 5, float(len(words) > 0), sum(map(operator.eq, words, words[1:])) / max(1, n - 1),
     )
     return out
 
