@@ -1,6 +1,448 @@
-"""Registered queries of the engine and their SQL twins."""
+"""Registered queries of the engine, each an operator over a view of the driver's tables, with its SQL twin."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import arrays, chem
+from ..operators import alignment, annotation, islands, rangejoin, spectra, statistics
+from . import views as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+R = spectra.rounded
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql.strip()
+        return f
+
+    return add
+
+
+def _r(name: str) -> str:
+    return f"round({name}::double, 6) as {name.split('.')[-1]}"
+
+
+# ---- spectra and chromatograms
+
+@query(f"with {V.PEAKS} select sample_id, scan_id, rt, mz, intensity from (select *, row_number() over (partition by sample_id, scan_id order by intensity desc, mz, rt desc) as k from peaks) where k = 1")
+def bpc(spark, sf):
+    return spectra.base_peaks(V.peaks(spark, sf))
+
+
+_TARGETS = [(1, 5.0, 2000.0), (2, 12.5, 9000.0), (3, 20.0, 20000.0), (4, 33.0, 30000.0), (5, 60.0, 40000.0), (6, 105.25, 12000.0)]
+
+
+@query(f"""with {V.PEAKS}, targets(target_id, target_mz, target_rt) as (values {', '.join(f'({a}::bigint, {b}::double, {c}::double)' for a, b, c in _TARGETS)}),
+scans as (select sample_id, scan_id, min(rt) as rt from peaks group by all),
+hits as (select target_id, sample_id, scan_id, mz, intensity, row_number() over (partition by target_id, sample_id, scan_id order by intensity desc, mz) as k from peaks, targets where abs(mz - target_mz) <= 0.5)
+select t.target_id, s.sample_id, s.scan_id, s.rt, h.mz, coalesce(h.intensity, 0.0)::double as intensity
+from scans s join targets t on abs(s.rt - t.target_rt) <= 3000 left join hits h on h.k = 1 and h.target_id = t.target_id and h.sample_id = s.sample_id and h.scan_id = s.scan_id""")
+def eic_targets(spark, sf):
+    targets = spark.createDataFrame(_TARGETS, "target_id long, target_mz double, target_rt double")
+    return spectra.extract_ions(V.peaks(spark, sf), targets, mz_tol=0.5, rt_tol=3000.0)
+
+
+@query(f"with {V.PEAKS} select sample_id, scan_id, min(rt) as rt, count(*) as n_peaks from peaks where sample_id in ('click', 'view') and rt between 100 and 20000 group by sample_id, scan_id")
+def scan_filter(spark, sf):
+    own = V.peaks(spark, sf).withColumn("level", F.when(F.col("sample_id").isin("click", "view"), 1).otherwise(2))
+    kept = spectra.scan_filter(own, [1], 100.0, 20000.0)
+    return kept.groupBy("sample_id", "scan_id").agg(F.min("rt").alias("rt"), F.count("*").alias("n_peaks"))
+
+
+def _scans(spark, sf) -> DataFrame:
+    own = V.peaks(spark, sf)
+    return own.groupBy("sample_id", "scan_id").agg(F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("peaks"))
+
+
+@query(f"with {V.PEAKS} select sample_id, scan_id, count(*) as n_peaks, sum(intensity)::double as tic, min(mz) as mz_low, max(mz) as mz_high from peaks where mz > 1 and mz < 80 and intensity > 20000 group by all")
+def clean_ms1(spark, sf):
+    cleaned = _scans(spark, sf).withColumn("peaks", arrays.clean(F.col("peaks"), 1.0, 80.0, 20000.0)).where(F.size("peaks") > 0)
+    mz = F.transform("peaks", lambda p: p["mz"])
+    return cleaned.select("sample_id", "scan_id", F.size("peaks").cast("long").alias("n_peaks"), arrays.total(F.transform("peaks", lambda p: p["intensity"])).alias("tic"), F.array_min(mz).alias("mz_low"), F.array_max(mz).alias("mz_high"))
+
+
+@query(f"""with {V.PEAKS}, s as (select sample_id, scan_id, max(intensity) as base, max(mz) as precursor_mz from peaks group by all)
+select p.sample_id, p.scan_id, count(*) as n_peaks, sum(intensity)::double as tic from peaks p join s using (sample_id, scan_id) where intensity > greatest(5000, base * 0.3) and mz < precursor_mz - 2 group by all""")
+def clean_ms2(spark, sf):
+    own = _scans(spark, sf).withColumn("precursor_mz", F.array_max(F.transform("peaks", lambda p: p["mz"])))
+    own = own.withColumn("peaks", arrays.clean_ms2(F.col("peaks"), F.col("precursor_mz"), 5000.0, 0.3, 2.0)).where(F.size("peaks") > 0)
+    return own.select("sample_id", "scan_id", F.size("peaks").cast("long").alias("n_peaks"), arrays.total(F.transform("peaks", lambda p: p["intensity"])).alias("tic"))
+
+
+_ISLANDS = "select *, sum(case when mz - lag_mz >= {tol} then 1 else 0 end) over (partition by {keys} order by mz, intensity rows unbounded preceding) as island from (select *, lag(mz) over (partition by {keys} order by mz, intensity) as lag_mz from peaks)"
+
+
+@query(f"with {V.PEAKS} select sample_id, round(sum(mz * intensity) / sum(intensity), 6) as mz, sum(intensity)::double as intensity, count(*) as n_peaks from ({_ISLANDS.format(tol=0.1, keys='sample_id')}) group by sample_id, island")
+def centroid(spark, sf):
+    return spectra.centroid_long(V.peaks(spark, sf), 0.1, keys=("sample_id",)).withColumn("mz", R(F.col("mz")))
+
+
+@query(f"with {V.PEAKS} select sample_id, scan_id, round(sum(mz * intensity) / sum(intensity), 6) as mz, sum(intensity)::double as intensity from ({_ISLANDS.format(tol=0.5, keys='sample_id, scan_id')}) group by sample_id, scan_id, island")
+def centroid_arrays(spark, sf):
+    own = _scans(spark, sf).select("sample_id", "scan_id", F.explode(arrays.centroid(F.col("peaks"), 0.5)).alias("p"))
+    return own.select("sample_id", "scan_id", R(F.col("p.mz")).alias("mz"), F.col("p.intensity").alias("intensity"))
+
+
+@query(f"with {V.PEAKS}, b as (select floor(mz / 0.01)::bigint as bin, min(mz) as lo, max(mz) as hi from peaks group by 1), i as (select sum(case when prev is null or mz - prev >= 0.01 then 1 else 0 end) over (order by mz rows unbounded preceding) - 1 as island, mz from (select mz, lag(mz) over (order by mz) as prev from peaks)) select island::bigint as island, count(*) as n, min(mz) as mz_low, max(mz) as mz_high from i group by island")
+def mz_islands(spark, sf):
+    own = islands.global_islands(V.peaks(spark, sf), "mz", 0.01)
+    return own.groupBy("island").agg(F.count("*").alias("n"), F.min("mz").alias("mz_low"), F.max("mz").alias("mz_high"))
+
+
+@query(f"with {V.PEAKS} select peak_id, sample_id, mz, rt, intensity from peaks where abs(mz - 10) < 0.5 and abs(rt - 20000) < 5000")
+def find_by_mzrt(spark, sf):
+    found = spectra.lookup(V.peaks(spark, sf), 10.0, 0.5, 20000.0, 5000.0)
+    return found.select("peak_id", "sample_id", "mz", "rt", "intensity")
+
+
+_MS2 = "ms2 as (select peak_id as ms2_id, sample_id, mz as precursor_mz, rt as ms2_rt from peaks where intensity > 60000)"
+
+
+def _ms2(own: DataFrame) -> DataFrame:
+    return own.where("intensity > 60000").select(F.col("peak_id").alias("ms2_id"), "sample_id", F.col("mz").alias("precursor_mz"), F.col("rt").alias("ms2_rt"))
+
+
+@query(f"""with {V.PEAKS}, {_MS2}, f as (select peak_id as feature_id, sample_id, mz, rt - 300 as rt_start, rt + 300 as rt_end, intensity as peak_height from peaks where intensity <= 60000)
+select sample_id, ms2_id, feature_id from (select m.sample_id, ms2_id, feature_id, row_number() over (partition by ms2_id order by peak_height desc, feature_id) as k
+from ms2 m join f on f.sample_id = m.sample_id and abs(precursor_mz - mz) < 0.1 and rt_start < ms2_rt and ms2_rt < rt_end) where k = 1""")
+def ms2_allocate(spark, sf):
+    own = V.peaks(spark, sf)
+    feats = own.where("intensity <= 60000").select(F.col("peak_id").alias("feature_id"), "sample_id", "mz", (F.col("rt") - 300).alias("rt_start"), (F.col("rt") + 300).alias("rt_end"), F.col("intensity").alias("peak_height"))
+    return spectra.allocate_ms2(feats, _ms2(own), 0.1)
+
+
+@query(f"""with {V.PEAKS}, {_MS2}, s as (select sample_id, scan_id, min(rt) as rt from peaks where intensity <= 60000 group by all),
+a as (select ms2_id, m.sample_id, ms2_rt, s.rt, s.scan_id from ms2 m asof left join s on s.sample_id = m.sample_id and s.rt <= m.ms2_rt),
+b as (select ms2_id, s.rt, s.scan_id from ms2 m asof left join s on s.sample_id = m.sample_id and s.rt >= m.ms2_rt)
+select ms2_id, a.sample_id, case when b.rt is null or ms2_rt - a.rt <= b.rt - ms2_rt then a.scan_id else b.scan_id end as scan_id from a join b using (ms2_id)""")
+def nearest_ms1(spark, sf):
+    own = V.peaks(spark, sf)
+    scans = own.where("intensity <= 60000").groupBy("sample_id", "scan_id").agg(F.min("rt").alias("rt"))
+    targets = _ms2(own).select(F.col("ms2_id").alias("target_id"), "sample_id", F.col("ms2_rt").alias("target_rt"))
+    return spectra.nearest_scans(targets, scans).select(F.col("target_id").alias("ms2_id"), "sample_id", "scan_id")
+
+
+@query(f"""with {V.PEAKS}, {_MS2}, p1 as (select * from peaks where intensity <= 60000), s as (select sample_id, scan_id, min(rt) as rt from p1 group by all),
+a as (select ms2_id, m.sample_id, precursor_mz, ms2_rt, s.rt, s.scan_id from ms2 m asof left join s on s.sample_id = m.sample_id and s.rt <= m.ms2_rt),
+b as (select ms2_id, s.rt, s.scan_id from ms2 m asof left join s on s.sample_id = m.sample_id and s.rt >= m.ms2_rt),
+n as (select ms2_id, a.sample_id, precursor_mz, case when b.rt is null or ms2_rt - a.rt <= b.rt - ms2_rt then a.scan_id else b.scan_id end as scan_id from a join b using (ms2_id)),
+w as (select ms2_id, p.intensity, sum(p.intensity) over (partition by ms2_id) as s, row_number() over (partition by ms2_id order by abs(mz - precursor_mz), mz, p.intensity) as k from n join p1 p using (sample_id, scan_id) where mz > precursor_mz - 3 and mz < precursor_mz + 3)
+select n.ms2_id, n.sample_id, round(coalesce(w.intensity / w.s, 0.0), 6) as fraction from n left join w on w.ms2_id = n.ms2_id and w.k = 1""")
+def pif(spark, sf):
+    own = V.peaks(spark, sf)
+    found = spectra.precursor_fraction(_ms2(own), own.where("intensity <= 60000"), 3.0, 3.0)
+    return found.select("ms2_id", "sample_id", R(F.col("fraction")).alias("fraction"))
+
+
+@query(f"with {V.SPECTRA} select group_id, spectrum_id, round(tic, 6) as tic from (select *, row_number() over (partition by group_id order by tic desc, spectrum_id) as k from (select group_id, spectrum_id, sum(intensity) as tic from spectrum_peaks group by group_id, spectrum_id)) where k = 1")
+def best_ms2(spark, sf):
+    return spectra.best_ms2(V.spectra(spark, sf), "group_id", "spectrum_id").select("group_id", "spectrum_id", R(F.col("tic")).alias("tic"))
+
+
+# ---- traces
+
+_KEYS = "sample_id, trace_id"
+_PLACED = f"""{V.TRACES}, t as (select *, row_number() over (partition by {_KEYS} order by scan_id) - 1 as i, count(*) over (partition by {_KEYS}) as n, max(intensity) over (partition by {_KEYS}) as top from traces),
+a as (select {_KEYS}, min(i) as apex, min(n) as n, min(top) as top from t where intensity = top group by all)"""
+
+
+def _traces(spark, sf) -> DataFrame:
+    return spectra.as_traces(V.traces(spark, sf), ["sample_id", "trace_id"])
+
+
+@query(f"""with {_PLACED}, k as (select {_KEYS}, intensity, top, row_number() over (partition by {_KEYS} order by scan_id) as j, count(*) over (partition by {_KEYS}) as m,
+ coalesce(lag(intensity) over (partition by {_KEYS} order by scan_id), 0) as prev from t where intensity > top * 0.05)
+select {_KEYS}, round(case when min(m) < 5 then 0.0 else (sum(abs(intensity - prev)) + sum(case when j = m then intensity else 0 end)) / min(top) / 2 - 1 end, 6) as noise_score from k group by all""")
+def noise_score(spark, sf):
+    return _traces(spark, sf).select("sample_id", "trace_id", R(arrays.noise_score(F.col("y"))).alias("noise_score"))
+
+
+@query(f"""with {_PLACED}, w as (select {_KEYS}, min(a.n) as n, min(a.top) as top, min(case when i = apex then rt end) as b,
+ coalesce(min(case when i >= apex and intensity < a.top / 2 then rt end), max(rt)) as rx, coalesce(max(case when i < apex and intensity < a.top / 2 then rt end), min(rt)) as lx from t join a using ({_KEYS}) group by all),
+f as (select {_KEYS}, w.n, intensity as y, w.top * exp(-0.5 * pow((rt - b) / (case when rx = lx then 1e-6 else (rx - lx) / 2.355 end), 2)) as g from t join w using ({_KEYS})),
+m as (select {_KEYS}, avg(y) as my, avg(g) as mg from f group by all)
+select {_KEYS}, round(case when min(n) < 5 then 0.0 else greatest(0.0, sum((y - my) * (g - mg)) / (sqrt(sum((y - my) * (y - my)) * sum((g - mg) * (g - mg))) + 1e-12)) end, 6) as gaussian_similarity from f join m using ({_KEYS}) group by all""")
+def gaussian_similarity(spark, sf):
+    return _traces(spark, sf).select("sample_id", "trace_id", R(arrays.gaussian_similarity(F.col("x"), F.col("y"))).alias("gaussian_similarity"))
+
+
+@query(f"""with {_PLACED}, w as (select {_KEYS}, min(a.n) as n, min(apex) as apex, coalesce(min(case when i > apex and intensity < a.top * 0.1 then i end), min(a.n) - 1) as rx, coalesce(max(case when i < apex and intensity < a.top * 0.1 then i end), 0) as lx from t join a using ({_KEYS}) group by all)
+select {_KEYS}, round(case when n < 5 then null when apex = lx then 99.0 else (rx - apex)::double / (apex - lx) end, 6) as asymmetry_factor from w""")
+def asymmetry(spark, sf):
+    return _traces(spark, sf).select("sample_id", "trace_id", R(arrays.asymmetry(F.col("y"))).alias("asymmetry_factor"))
+
+
+@query(f"""with {V.TRACES} select {_KEYS}, round(coalesce(sum((rt - p) * (intensity + q) / 2), 0.0) * 60, 0) as area from (select *, lag(rt) over w as p, lag(intensity) over w as q from traces window w as (partition by {_KEYS} order by scan_id)) group by all""")
+def trapz_area(spark, sf):
+    return _traces(spark, sf).select("sample_id", "trace_id", R(arrays.trapezoid(F.col("x"), F.col("y")), 0).alias("area"))
+
+
+@query(f"with {V.TRACES} select {_KEYS}, round(avg(intensity), 6) as top_average from (select *, row_number() over (partition by {_KEYS} order by intensity desc, scan_id) as k from traces) where k <= 3 group by all")
+def top3_average(spark, sf):
+    return _traces(spark, sf).select("sample_id", "trace_id", R(arrays.top_average(F.col("y"))).alias("top_average"))
+
+
+@query(f"with {V.PEAKS}, s as (select sample_id, scan_id, min(rt) as rt from peaks group by all) select sample_id, round(1.0 / (avg(case when d > 0 then d end) * 60), 9) as rate_hz from (select sample_id, rt - lag(rt) over (partition by sample_id order by scan_id) as d from s) group by all")
+def spectral_rate(spark, sf):
+    scans = V.peaks(spark, sf).groupBy("sample_id", "scan_id").agg(F.min("rt").alias("rt"))
+    return spectra.spectral_rate(scans).withColumn("rate_hz", R(F.col("rate_hz"), 9))
+
+
+@query(f"with {V.PEAKS} select sample_id, floor(mz / 20)::bigint as trace_id, round(3 * stddev_pop(mz), 6) as mz_error, round(3 * stddev_pop(rt), 4) as rt_error from peaks group by all")
+def mz_rt_error(spark, sf):
+    own = V.peaks(spark, sf).withColumn("trace_id", F.floor(F.col("mz") / 20).cast("long"))
+    return spectra.spread_errors(own, ["sample_id", "trace_id"]).withColumns({"mz_error": R(F.col("mz_error")), "rt_error": R(F.col("rt_error"), 4)})
+
+
+@query(f"""with {V.PEAKS}, seed as (select sample_id, scan_id, min(mz) as m from peaks group by all), n as (select sample_id, scan_id, m, min(intensity) as i0 from peaks join seed using (sample_id, scan_id) where mz = m group by all)
+select sample_id, scan_id, count(*) as n_signals, sum(intensity)::double as intensity from peaks join n using (sample_id, scan_id) where intensity < i0 * 1.5 and (abs(mz - m) < 0.25 or abs(mz - m - 1) < 0.25 or abs(mz - m - 2) < 0.25 or abs(mz - m - 3) < 0.25 or abs(mz - m - 4) < 0.25) group by all""")
+def isotope_signals(spark, sf):
+    own = _scans(spark, sf).withColumn("found", arrays.isotope_signals(F.array_min(F.transform("peaks", lambda p: p["mz"])), F.col("peaks"), 0.25))
+    own = own.where(F.size("found") > 0)
+    return own.select("sample_id", "scan_id", F.size("found").cast("long").alias("n_signals"), arrays.total(F.transform("found", lambda p: p["intensity"])).alias("intensity"))
+
+
+@query(f"""with {V.TRACES}, j as (select a.sample_id, a.trace_id, a.intensity as x, b.intensity as y from traces a join traces b on a.sample_id = b.sample_id and a.scan_id = b.scan_id and b.trace_id = a.trace_id + 1)
+select sample_id, trace_id, count(*) as n_common, round(case when count(*) < 3 then 1.0 else corr(x, y) end, 6) as correlation from j where x > 0 and y > 0 group by all""")
+def scan_corr(spark, sf):
+    own = V.traces(spark, sf).select("sample_id", "trace_id", "scan_id", F.col("intensity").alias("x"))
+    up = own.select("sample_id", (F.col("trace_id") - 1).alias("trace_id"), "scan_id", F.col("x").alias("y"))
+    both = own.join(up, ["sample_id", "trace_id", "scan_id"])
+    found = spectra.scan_correlation(both, ["sample_id", "trace_id"], ["x", "y"])
+    return found.select("sample_id", "trace_id", "n_common", R(F.when(F.isnan("correlation"), None).otherwise(F.col("correlation"))).alias("correlation"))
+
+
+# ---- features across samples
+
+@query(f"""with {V.FEATURES}, a as (select *, mz - lag(mz) over w as lo, lead(mz) over w - mz as hi from features window w as (partition by sample_id order by mz, fid)),
+b as (select *, row_number() over (partition by sample_id order by peak_height desc, fid) as k from a where lo > 0.01 and hi > 0.01 and noise_score < 0.05) select sample_id, fid, mz, rt, {_r('peak_height')}, k as anchor_rank from b where k <= 100""")
+def anchor_select(spark, sf):
+    found = alignment.anchors(V.features(spark, sf), ["sample_id"], "fid", mz_tol=0.01, noise=0.05, num=100)
+    return found.select("sample_id", "fid", "mz", "rt", R(F.col("peak_height")).alias("peak_height"), "anchor_rank")
+
+
+@query(f"with {V.FEATURES}, s as (select sample_id, sum(peak_height) as h, row_number() over (order by round(sum(peak_height), 2), sample_id) - 1 as k, count(*) over () as n from features group by sample_id) select sample_id, round(h, 2) as total_height from s where k = floor(n / 2)")
+def reference_file(spark, sf):
+    return alignment.reference_file(V.features(spark, sf)).withColumn("total_height", R(F.col("total_height"), 2))
+
+
+@query(f"""with {V.FEATURES}, anchor as (select fid as anchor_id, mz as anchor_mz, rt as anchor_rt from features where sample_id = 0 and peak_height > 80000)
+select anchor_id, sample_id, min(rt) as rt, min(anchor_rt) as anchor_rt from features join anchor on abs(mz - anchor_mz) < 0.5 and abs(rt - anchor_rt) < 3 where sample_id > 0 group by all having count(*) = 1""")
+def anchor_match_unique(spark, sf):
+    own = V.features(spark, sf)
+    anchor = own.where("sample_id = 0 and peak_height > 80000").select(F.col("fid").alias("anchor_id"), F.col("mz").alias("anchor_mz"), F.col("rt").alias("anchor_rt"))
+    return alignment.unique_matches(anchor, own.where("sample_id > 0"), mz_tol=0.5, rt_tol=3.0)
+
+
+@query(f"""with {V.FEATURES}, n as (select sample_id, rt, rt + sample_id / 100 as x, row_number() over (partition by sample_id order by rt) - 1 as i from (select distinct sample_id, rt from features where rt % 5 = 0)),
+k as (select sample_id, i, x, x * 1.01 + (i % 2) as y, lead(x) over w as x2, lead(x * 1.01 + (i % 2)) over w as y2, count(*) over (partition by sample_id) as m from n window w as (partition by sample_id order by i)),
+q as (select fid, f.sample_id, f.rt, greatest(0, least((select count(*) from k where k.sample_id = f.sample_id and k.x <= f.rt), k0.m - 1) - 1) as j from features f join (select sample_id, min(m) as m from k group by all) k0 using (sample_id))
+select q.fid, round(k.y + (q.rt - k.x) * (k.y2 - k.y) / (k.x2 - k.x), 6) as rt_corrected from q join k on k.sample_id = q.sample_id and k.i = q.j""")
+def rt_interpolate(spark, sf):
+    own = V.features(spark, sf)
+    knots = own.where(F.col("rt") % 5 == 0).select("sample_id", "rt").distinct().groupBy("sample_id").agg(F.sort_array(F.collect_list("rt")).alias("rts"))
+    x = lambda v: v + F.col("sample_id") / 100
+    knots = knots.select("sample_id", F.transform("rts", lambda v, i: F.struct(x(v).alias("x"), (x(v) * 1.01 + i % 2).alias("y"))).alias("knots"))
+    return own.join(rangejoin.sized(knots), "sample_id").select("fid", R(arrays.interpolate(F.col("rt"), F.col("knots"))).alias("rt_corrected"))
+
+
+@query(f"""with {V.FEATURES}, a as (select *, sum(case when mz - p >= 0.02 then 1 else 0 end) over (partition by sample_id order by mz, fid rows unbounded preceding) as mi from (select *, lag(mz) over (partition by sample_id order by mz, fid) as p from features)),
+b as (select *, sum(case when rt - q >= 2 then 1 else 0 end) over (partition by sample_id, mi order by rt, fid rows unbounded preceding) as ri from (select *, lag(rt) over (partition by sample_id, mi order by rt, fid) as q from a)),
+c as (select *, row_number() over (partition by sample_id, mi, ri order by peak_height desc, fid) as k, count(*) over (partition by sample_id, mi, ri) as members from b) select sample_id, fid, mz, rt, {_r('peak_height')}, members from c where k = 1""")
+def merge_features(spark, sf):
+    found = alignment.merge_features(V.features(spark, sf), ["sample_id"], "fid", mz_tol=0.02, rt_tol=2.0)
+    return found.select("sample_id", "fid", "mz", "rt", R(F.col("peak_height")).alias("peak_height"), "members")
+
+
+@query(f"with {V.MATRIX} select f.feature_id, s.sample_id from (select distinct feature_id from matrix) f cross join samples s left join matrix m on m.feature_id = f.feature_id and m.sample_id = s.sample_id where m.sample_id is null")
+def gap_fill_cells(spark, sf):
+    return alignment.missing_cells(V.matrix(spark, sf), V.samples(spark))
+
+
+@query(f"with {V.MATRIX} select feature_id, round(sum(case when not is_blank and intensity > 0 then 1 else 0 end) / (select count(*) from samples where not is_blank)::double, 6) as detection_rate, max(intensity) as highest from matrix join samples using (sample_id) group by all")
+def detection_rate(spark, sf):
+    return alignment.detection_rate(V.matrix(spark, sf), V.samples(spark)).withColumn("detection_rate", R(F.col("detection_rate")))
+
+
+@query(f"with {V.MATRIX} select feature_id, {', '.join(f'coalesce(max(case when sample_id = {i} then trunc(intensity) end), 0)::bigint as s{i}' for i in range(20))} from matrix group by feature_id")
+def pivot_table(spark, sf):
+    return alignment.wide(V.matrix(spark, sf), range(20))
+
+
+@query(f"with {V.SPECTRA} select spectrum_id, string_agg(printf('%.4f;%.4f', mz, intensity), '|' order by mz) as encoded, count(*) as n_peaks, round(sum(round(intensity, 4)), 3) as total from spectrum_peaks group by spectrum_id")
+def spectrum_codec(spark, sf):
+    own = V.spectra(spark, sf).select("spectrum_id", arrays.encode_spectrum(F.col("peaks")).alias("encoded")).withColumn("back", arrays.decode_spectrum(F.col("encoded")))
+    return own.where("encoded <> ''").select("spectrum_id", "encoded", F.size("back").cast("long").alias("n_peaks"), R(arrays.total(F.transform("back", lambda p: p["intensity"])), 3).alias("total"))
+
+
+# ---- runs and samples
+
+@query(f"""with {V.RUNS}, a as (select *, time - lag(time) over (partition by queue order by time, file_id) as d from runs), b as (select *, min(d) over (partition by queue) as least from a)
+select queue, file_id, time, sum(case when d > least * 10.0 then 1 else 0 end) over (partition by queue order by time, file_id rows unbounded preceding)::bigint as batch_id from b""")
+def batch_label(spark, sf):
+    return statistics.batch_labels(V.runs(spark, sf))
+
+
+@query(f"with {V.RUNS} select queue, file_id, time, row_number() over (partition by queue order by time nulls last, file_id) - 1 as analytical_order from runs")
+def analytical_order(spark, sf):
+    return statistics.analytical_order(V.runs(spark, sf))
+
+
+@query(f"""with {V.FEATURES}, t as (select part % 50 as sample_id, max(peak_height) * case when part % 50 < 3 then 0.1 else 1 end as highest from features group by part % 50), m as (select median(highest) as median_highest from t where sample_id % 7 <> 6)
+select sample_id, round(highest, 6) as highest, round(median_highest, 6) as median_highest from t, m where sample_id % 7 <> 6 and highest < median_highest / 3""")
+def outlier_files(spark, sf):
+    own = V.features(spark, sf).withColumn("sample_id", F.col("part") % 50)
+    own = own.withColumn("peak_height", F.col("peak_height") * F.when(F.col("sample_id") < 3, 0.1).otherwise(1.0))
+    files = spark.range(50).select(F.col("id").alias("sample_id"), (F.col("id") % 7 == 6).alias("is_blank"))
+    found = statistics.outlier_files(own, files)
+    return found.select("sample_id", R(F.col("highest")).alias("highest"), R(F.col("median_highest")).alias("median_highest"))
+
+
+@query("select o_orderkey as file_id from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
+def resume_antijoin(spark, sf):
+    done = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file_id"))
+    return V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("file_id")).join(done, "file_id", "left_anti")
+
+
+# ---- normalisation and statistics
+
+@query(f"""with {V.MATRIX}, n as (select sum(case when is_blank then 1 else 0 end) as nb, sum(case when is_qc then 1 else 0 end) as nq, sum(case when is_blank then 0 else 1 end) as ns from samples),
+s as (select feature_id, sum(case when is_blank then intensity else 0 end) as b, sum(case when not is_blank then intensity else 0 end) as s, sum(case when is_qc then intensity else 0 end) as q, sum(case when is_qc then intensity * intensity else 0 end) as qq from matrix join samples using (sample_id) group by all),
+r as (select feature_id, (b / nb) / (case when s = 0 then 1.0 else s / ns end) as blank_ratio, case when q = 0 then 99.0 else sqrt(greatest(0.0, (qq - nq * (q / nq) * (q / nq)) / (nq - 1))) / (q / nq) end as qc_rsd from s, n)
+select feature_id, round(blank_ratio, 6) as blank_ratio, round(qc_rsd, 6) as qc_rsd, blank_ratio < 0.5 and qc_rsd < 0.25 as is_high_quality from r""")
+def hq_features(spark, sf):
+    found = statistics.high_quality(V.matrix(spark, sf), V.samples(spark))
+    return found.select("feature_id", R(F.col("blank_ratio")).alias("blank_ratio"), R(F.col("qc_rsd")).alias("qc_rsd"), "is_high_quality")
+
+
+@query(f"with {V.MATRIX} select sample_id, n::double as measure from (select sample_id, count(*) as n from matrix where intensity > 0 group by all) order by n desc, sample_id limit 1")
+def pqn_reference(spark, sf):
+    return statistics.reference_sample(V.matrix(spark, sf))
+
+
+_REF = "ref as (select sample_id as ref_id from (select sample_id, count(*) as n from matrix where intensity > 0 group by all) order by n desc, sample_id limit 1)"
+_FACTORS = f"{V.MATRIX}, {_REF}, fac as (select m.sample_id, median(m.intensity / r.intensity) as factor from matrix m join (select feature_id, intensity from matrix, ref where sample_id = ref_id) r using (feature_id) where m.intensity > 0 and r.intensity > 0 group by all)"
+
+
+@query(f"with {_FACTORS} select sample_id, round(factor, 6) as factor from fac")
+def pqn_factors(spark, sf):
+    own = V.matrix(spark, sf)
+    return statistics.factors(own, statistics.reference_sample(own)).withColumn("factor", R(F.col("factor")))
+
+
+@query(f"with {_FACTORS} select feature_id, sample_id, trunc(intensity / coalesce(nullif(factor, 0), 1))::bigint as intensity from matrix left join fac using (sample_id)")
+def pqn_apply(spark, sf):
+    own = V.matrix(spark, sf)
+    return statistics.apply_factors(own, statistics.factors(own, statistics.reference_sample(own)))
+
+
+_GROUPS = f"{V.MATRIX}, g as (select feature_id, group_id, count(*) as n, avg(intensity) as mean, var_samp(intensity) as var from matrix join samples using (sample_id) where group_id in ({{groups}}) group by all)"
+
+
+@query(f"""with {_GROUPS.format(groups='0, 1')}, t as (select a.feature_id, a.n as n1, b.n as n2, a.mean as m1, b.mean as m2, a.var as v1, b.var as v2 from g a join g b on a.feature_id = b.feature_id and a.group_id = 0 and b.group_id = 1 where a.n > 1 and b.n > 1)
+select feature_id, n1 + n2 - 2 as df, round((m1 - m2) / nullif(sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)), 0), 6) as t from t""")
+def ttest_stat(spark, sf):
+    return statistics.t_statistic(V.matrix(spark, sf), V.samples(spark), [0, 1]).withColumn("t", R(F.col("t")))
+
+
+_ANOVA = f"""{_GROUPS.format(groups='0, 1, 2')}, s as (select feature_id, sum(n) as n, sum(n * mean) / sum(n) as grand, count(*) as k from g group by all),
+av as (select feature_id, min(s.k) - 1 as df_between, min(s.n) - min(s.k) as df_within, sum(g.n * pow(mean - grand, 2)) / (min(s.k) - 1) as msb, sum((g.n - 1) * coalesce(var, 0)) / nullif(min(s.n) - min(s.k), 0) as msw from g join s using (feature_id) group by all having min(s.k) > 1 and min(s.n) > min(s.k))"""
+
+
+@query(f"with {_ANOVA} select feature_id, df_between::bigint as df_between, df_within::bigint as df_within, round(msb / nullif(msw, 0), 6) as f from av")
+def anova_f(spark, sf):
+    return statistics.anova(V.matrix(spark, sf), V.samples(spark), [0, 1, 2]).withColumn("f", R(F.col("f")))
+
+
+@query(f"""with {V.MATRIX}, v as (select *, log10(intensity) as v from matrix where intensity > 0), s as (select feature_id, count(*) as n, sum(v) as s, sum(v * v) as ss, log10(min(intensity) * 0.2) as fill from v group by all),
+m as (select feature_id, (s + (20 - n) * fill) / 20 as mean, sqrt(greatest(0.0, (ss + (20 - n) * fill * fill) / 20 - pow((s + (20 - n) * fill) / 20, 2))) as sd from s)
+select feature_id, sample_id, round(coalesce((v - mean) / nullif(round(sd, 9), 0), 0.0), 4) as z from v join m using (feature_id)""")
+def impute_log_zscore(spark, sf):
+    return statistics.impute_scale(V.matrix(spark, sf), 20).withColumn("z", R(F.col("z"), 4))
+
+
+@query(f"with {_ANOVA} select feature_id, f from (select feature_id, round(msb / nullif(msw, 0), 6) as f from av) where f is not null order by f desc, feature_id limit 20")
+def select_k_best(spark, sf):
+    scores = statistics.anova(V.matrix(spark, sf), V.samples(spark), [0, 1, 2]).select("feature_id", R(F.col("f")).alias("f"))
+    return statistics.best_k(scores, 20)
+
+
+# ---- annotation
+
+_SIM = f"""{V.SPECTRA}, h as (select spectrum_id, group_id, mz, intensity / 2 / sum(intensity) over (partition by spectrum_id) as i from spectrum_peaks),
+sim as (select a.spectrum_id as query_id, b.spectrum_id as match_id, sum((a.i + b.i) * log2(a.i + b.i) - a.i * log2(a.i) - b.i * log2(b.i)) as similarity, count(*) as n_matched from h a join h b on a.group_id = b.group_id and abs(a.mz - b.mz) < 0.5 and a.spectrum_id {{op}} b.spectrum_id group by all)"""
+
+
+def _similar(spark, sf) -> DataFrame:
+    own = V.spectra(spark, sf).select(F.col("spectrum_id").alias("id"), "group_id", "peaks")
+    return annotation.similarities(own, own, 0.5, ["group_id"])
+
+
+@query(f"with {_SIM.format(op='<')} select query_id, match_id, round(similarity, 6) as similarity, n_matched from sim")
+def entropy_similarity(spark, sf):
+    return _similar(spark, sf).where("query_id < match_id").withColumn("similarity", R(F.col("similarity")))
+
+
+@query(f"with {_SIM.format(op='<>')} select query_id, match_id, round(similarity, 6) as similarity, n_matched from (select *, row_number() over (partition by query_id order by round(similarity, 9) desc, match_id) as k from sim) where k = 1")
+def library_top1(spark, sf):
+    return annotation.top_match(_similar(spark, sf).where("query_id <> match_id")).withColumn("similarity", R(F.col("similarity")))
+
+
+@query(f"with {V.FEATURES}, {V.LIBRARY} select fid as feature_id, lib_id, mz, rt, lib_mz, lib_rt from features join library on abs(mz - lib_mz) < 0.005 and abs(rt - lib_rt) < 0.2")
+def mzrt_candidates(spark, sf):
+    own = V.features(spark, sf).withColumnRenamed("fid", "feature_id")
+    return annotation.list_candidates(own, V.library(spark, sf), 0.005, 0.2).select("feature_id", "lib_id", "mz", "rt", "lib_mz", "lib_rt")
+
+
+@query(f"""with {V.FEATURES}, ad(ion, shift, z, n) as (values {', '.join(f"('{a[0]}', {a[2]!r}::double, {abs(a[3])}, {a[4]})" for a in chem.ADDUCTS if a[5] and a[1] == 'positive')})
+select fid as feature_id, ion, round(((mz - {chem.MASSES['H']}) * n + shift) / z, 6) as ion_mz from features, ad where ion <> '[M+H]+'
+union all select fid, 'M+' || i, round(mz + 1 + (i - 1) * 1.003355, 6) from features, (select unnest([1, 2, 3]) as i)""")
+def enumerate_ions(spark, sf):
+    own = V.features(spark, sf).select(F.col("fid").alias("feature_id"), "mz")
+    return annotation.source_ions(own, spark, "positive").withColumn("ion_mz", R(F.col("ion_mz")))
+
+
+@query(f"with {V.SPECTRA} select spectrum_id, floor((mz + spectrum_id % 7) / 25)::bigint as bin, round(sum((mz + spectrum_id % 7) * intensity) / sum(intensity), 6) as mass, round(sum(intensity), 6) as abundance from spectrum_peaks group by all")
+def isotope_bin(spark, sf):
+    own = V.spectra(spark, sf).select("spectrum_id", F.explode("peaks").alias("p")).select("spectrum_id", (F.col("p.mz") + F.col("spectrum_id") % 7).alias("m"), F.col("p.intensity").alias("a"))
+    return own.groupBy("spectrum_id", F.floor(F.col("m") / 25).cast("long").alias("bin")).agg(R(F.sum(F.col("m") * F.col("a")) / F.sum("a")).alias("mass"), R(F.sum("a")).alias("abundance"))
+
+
+_FORMULA = "concat('C', p_size + 1, 'H', 2 * p_size + p_partkey % 5 + 2, case when p_partkey % 3 = 0 then 'N' when p_partkey % 3 = 1 then 'N2O' else '' end, 'O', 1 + p_partkey % 7)"
+
+
+@query(f"""with f as (select p_partkey, {_FORMULA} as formula from part), t as (select p_partkey, formula, unnest(regexp_extract_all(formula, '[A-Z][a-z]*[0-9]*')) as tok from f)
+select p_partkey, formula, regexp_extract(tok, '[A-Z][a-z]*') as element, sum(coalesce(try_cast(nullif(regexp_extract(tok, '[0-9]+'), '') as bigint), 1))::bigint as n from t group by all""")
+def formula_parse(spark, sf):
+    own = V.table(spark, sf, "part").select("p_partkey", F.expr(_FORMULA).alias("formula"))
+    return own.select("p_partkey", "formula", F.explode(chem.parse_column(F.col("formula"))).alias("element", "n")).withColumn("n", F.col("n").cast("long"))
+
+
+@query(f"""with f as (select p_partkey, {_FORMULA} as formula from part), t as (select p_partkey, formula, unnest(regexp_extract_all(formula, '[A-Z][a-z]*[0-9]*')) as tok from f),
+m(element, mass) as (values {', '.join(f"('{e}', {m!r}::double)" for e, m in chem.MASSES.items())})
+select p_partkey, formula, round(sum(mass * coalesce(try_cast(nullif(regexp_extract(tok, '[0-9]+'), '') as bigint), 1)) + {chem.MASSES['H']} - {chem.ELECTRON}, 6) as mz from t join m on m.element = regexp_extract(tok, '[A-Z][a-z]*') group by all""")
+def formula_mass(spark, sf):
+    own = V.table(spark, sf, "part").select("p_partkey", F.expr(_FORMULA).alias("formula"))
+    return own.select("p_partkey", "formula", R(chem.mass_column(chem.parse_column(F.col("formula"))) + chem.MASSES["H"] - chem.ELECTRON).alias("mz"))
+
+
+_HEAD = "concat(p_name, case when p_partkey % 4 = 0 then ' Orbitrap' when p_partkey % 4 = 1 then ' TripleTOF 5600' when p_partkey % 4 = 2 then ' Agilent QTOF' else '' end)"
+
+
+@query(f"select p_partkey, case when contains(lower({_HEAD}), 'orbitrap') or contains(lower({_HEAD}), 'q exactive') then 'orbitrap' when contains(lower({_HEAD}), 'tripletof') then 'tripletof' when contains(lower({_HEAD}), 'tof') then 'qtof' else 'unknown' end as instrument from part")
+def instrument_probe(spark, sf):
+    return V.table(spark, sf, "part").select("p_partkey", annotation.instrument(F.expr(_HEAD)).alias("instrument"))
+
+
+@query(f"with {V.LIBRARY} select name, lib_id, lib_mz, lib_rt from (select *, row_number() over (partition by name order by lib_rt, lib_id) as k from library where lib_rt > 5) where k = 1")
+def dedupe_first(spark, sf):
+    own = V.library(spark, sf).where("lib_rt > 5")
+    return annotation.first_per_annotation(own, "name", "lib_rt", "lib_id").select("name", "lib_id", "lib_mz", "lib_rt")
