@@ -31,62 +31,64 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return shift + np.arange(total)
 
 
-def repair(seq: np.ndarray, last: np.ndarray, base: int, rounds: int = 8, least: int = 6, a_round: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(seq: np.ndarray, last: np.ndarray, base: int, least: int = 6, a_round: int = 8192, least_gain: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair in rounds: count all adjacent pairs, give each of the ``a_round`` most frequent a nonterminal, replace
-    their occurrences from left to right, and again on the shorter sequence, until no pair occurs ``least`` times.
-    ``last`` marks symbols at the end of a document; no pair starts there. -> sequence, its marks, rules (R, 2)."""
+    their occurrences from left to right, and again on the shorter sequence, until no pair occurs ``least`` times or a
+    round shortens the sequence by less than ``least_gain`` of it. ``last`` marks symbols at the end of a document; no
+    pair starts there. -> sequence, its marks, rules (R, 2)."""
     rules: list[np.ndarray] = []
     symbols = base
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        width = np.uint32 if symbols <= 0xFFFF else np.uint64
-        pairs = seq[:-1].astype(width) << width(16 if width is np.uint32 else 32) | seq[1:].astype(width)
-        inside = ~last[:-1]
-        ordered = np.sort(pairs[inside])
-        if not len(ordered):
-            break
+    while len(seq) > 1:
+        width, bits = (np.uint32, 16) if symbols <= 0xFFFE else (np.uint64, 32)
+        pairs = seq[:-1].astype(width)
+        pairs <<= width(bits)
+        pairs |= seq[1:].astype(width)
+        none = np.iinfo(width).max  # no pair of symbols
+        pairs[last[:-1]] = none
+        ordered = np.sort(pairs)
         edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
         counts, values = np.diff(edges), ordered[edges[:-1]]
-        room = min(a_round, 0xFFFF - symbols if width is np.uint32 else a_round)
-        often = np.flatnonzero(counts >= least)
+        room = min(a_round, 0xFFFE - symbols if bits == 16 else a_round)
+        often = np.flatnonzero((counts >= least) & (values != none))
         if not len(often) or room <= 0:
             break
         if len(often) > room:
-            often = often[np.argsort(-counts[often], kind="stable")[:room]]
+            often = often[np.argpartition(-counts[often], room - 1)[:room]]
         chosen = np.sort(values[often])
-        # a table of hashed pairs rules most places out, the sorted list decides
-        hashed = lambda x: (x * width(2654435761) >> width(8)).astype(np.uint32) & np.uint32(0x3FFFFF)
-        table = np.zeros(1 << 22, dtype=bool)
-        table[hashed(chosen)] = True
-        places = np.flatnonzero(table[hashed(pairs)] & inside)
-        rank = np.minimum(np.searchsorted(chosen, pairs[places]), len(chosen) - 1)
+        # a small table by hash gives each pair's number; of two that share a slot one waits for the next round
+        slots = (chosen * width(2654435761) >> width(12)) & width(0xFFFFF)
+        table = np.zeros(1 << 20, dtype=np.uint16)
+        table[slots] = np.arange(1, len(chosen) + 1)
+        hashed = pairs * width(2654435761)
+        hashed >>= width(12)
+        hashed &= width(0xFFFFF)
+        number = table[hashed]
+        places = np.flatnonzero(number)
+        rank = number[places].astype(np.int64) - 1
         good = chosen[rank] == pairs[places]
         places, rank = places[good], rank[good]
-        if not len(places):
-            break
         # overlapping places form runs: every other one of a run is taken
-        run_start = np.concatenate(([True], np.diff(places) > 1))
-        first = np.maximum.accumulate(np.where(run_start, np.arange(len(places)), 0))
-        taken = (np.arange(len(places)) - first) % 2 == 0
+        run_start = np.concatenate(([True], np.diff(places) > 1))[: len(places)]
+        at = np.arange(len(places))
+        taken = (at - np.maximum.accumulate(np.where(run_start, at, 0))) % 2 == 0
         places, rank = places[taken], rank[taken]
-        uses = np.bincount(rank, minlength=len(chosen))
-        worth = uses >= 2
+        worth = np.bincount(rank, minlength=len(chosen)) >= 2
         keep = worth[rank]
         places, rank = places[keep], rank[keep]
         if not len(places):
             break
-        number = np.cumsum(worth) - 1
-        bits = 16 if width is np.uint32 else 32
+        fresh = np.cumsum(worth) - 1
         made = chosen[worth]
         rules.append(np.stack([made >> width(bits), made & width((1 << bits) - 1)], axis=1).astype(np.uint32))
-        seq, last = seq.copy(), last.copy()
-        seq[places] = (symbols + number[rank]).astype(seq.dtype)
+        size, seq, last = len(seq), seq.copy(), last.copy()
+        seq[places] = symbols + fresh[rank]
         last[places] = last[places + 1]
-        left = np.ones(len(seq), dtype=bool)
+        left = np.ones(size, dtype=bool)
         left[places + 1] = False
         seq, last = seq[left], last[left]
         symbols += len(made)
+        if len(places) < least_gain * size:
+            break
     return seq, last, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
 
 
