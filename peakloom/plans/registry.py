@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, chem
-from ..operators import alignment, annotation, islands, rangejoin, spectra, statistics
+from ..operators import alignment, annotation, detection, islands, learning, rangejoin, spectra, statistics
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -446,3 +446,81 @@ def instrument_probe(spark, sf):
 def dedupe_first(spark, sf):
     own = V.library(spark, sf).where("lib_rt > 5")
     return annotation.first_per_annotation(own, "name", "lib_rt", "lib_id").select("name", "lib_id", "lib_mz", "lib_rt")
+
+
+# ---- sequential steps: no SQL twin, tested against restatements
+
+@query()
+def roi_link(spark, sf):
+    found = detection.link_traces(V.peaks(spark, sf), mz_tol=0.05, gap_tol=10)
+    return found.select("sample_id", F.get("scans", F.lit(0)).alias("first_scan"), F.element_at("scans", -1).alias("last_scan"), F.get("mzs", F.lit(0)).alias("first_mz"), F.size("y").alias("n_scans"), F.array_max("y").alias("highest"))
+
+
+@query()
+def segment(spark, sf):
+    found = detection.summarise(detection.segment(detection.link_traces(V.peaks(spark, sf), mz_tol=0.05, gap_tol=10)))
+    return found.drop("trace")
+
+
+def _aligned(spark, sf) -> DataFrame:
+    own = V.features(spark, sf)
+    rows = own.select("sample_id", "fid", "mz", "rt", F.col("peak_height").alias("height"), (1 - F.col("noise_score")).alias("gaussian"), F.col("noise_score").alias("noise"), (F.col("part") % 10 == 0).alias("has_ms2"))
+    return detection.align_features(rows, spark.range(20).select(F.col("id").alias("sample_id"), F.col("id").alias("align_order")), mz_tol=0.01, rt_tol=1.5)
+
+
+@query()
+def align(spark, sf):
+    return _aligned(spark, sf)
+
+
+@query()
+def rt_correction(spark, sf):
+    return detection.correct_times(V.features(spark, sf), 0, mz_tol=0.5, rt_tol=3.0).select("sample_id", "fid", "rt", "rt_corrected")
+
+
+@query()
+def group(spark, sf):
+    return detection.group_ions(V.features(spark, sf).withColumnRenamed("peak_height", "height").drop("noise_score", "part"))
+
+
+@query()
+def lowess(spark, sf):
+    return detection.correct_drift(V.matrix(spark, sf), V.samples(spark).withColumn("analytical_order", F.col("sample_id")))
+
+
+@query()
+def pca(spark, sf):
+    found = learning.sample_components(statistics.impute_scale(V.matrix(spark, sf), 20))
+    return found.select("sample_id", R(F.abs("pc1"), 4).alias("pc1"), R(F.abs("pc2"), 4).alias("pc2"), R(F.col("share1")).alias("share1"), R(F.col("share2")).alias("share2"))
+
+
+@query()
+def rf_cv(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), array_to_vector("embedding").alias("features"), F.col("label").cast("double").alias("label"))
+    return learning.cross_validate(rows, 64, k=32, trees=20)
+
+
+@query()
+def ttest_p(spark, sf):
+    own = statistics.t_statistic(V.matrix(spark, sf), V.samples(spark), [0, 1])
+    return own.withColumn("p", statistics.t_test_p("t", F.col("df").cast("double"))).select("feature_id", R(F.col("p")).alias("p"))
+
+
+@query()
+def anova_p(spark, sf):
+    own = statistics.anova(V.matrix(spark, sf), V.samples(spark), [0, 1, 2])
+    p = statistics.f_test_p("f", F.col("df_between").cast("double"), F.col("df_within").cast("double"))
+    return own.withColumn("p", p).select("feature_id", R(F.col("p")).alias("p"))
+
+
+@query()
+def mzrt_annotate(spark, sf):
+    own = V.features(spark, sf).withColumnRenamed("fid", "feature_id")
+    return annotation.annotate_by_list(own, V.library(spark, sf), 0.005, 0.2)
+
+
+@query()
+def sample_neighbours(spark, sf):
+    return learning.neighbours(statistics.impute_scale(V.matrix(spark, sf), 20), 5).withColumn("distance", R(F.col("distance"), 4))
