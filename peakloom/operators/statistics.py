@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def with_samples(matrix: DataFrame, samples: DataFrame) -> DataFrame:
@@ -131,14 +132,14 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(swap, 1 - out, out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_test_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of Student's t; 1 where t is missing (a constant row)."""
     t, d = t.to_numpy(float), df.to_numpy(float)
     return pd.Series(np.where(np.isnan(t), 1.0, incomplete_beta(d / 2, 0.5, d / (d + np.nan_to_num(t) ** 2))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_test_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """Upper p of F; 1 where F is missing."""
     f, a, b = f.to_numpy(float), d1.to_numpy(float), d2.to_numpy(float)
