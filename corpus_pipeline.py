@@ -7,14 +7,9 @@ documents, whatever these are; null ids and texts pass through as the operators'
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from peakloom.llm import common, decontaminate, nearduplicates, packing, pii, quality
 
-#: A document goes if it holds windows of this many benchmark items.
-LEAST_ITEMS = 1
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.3 or more; it is trained on this stage's own rows."""
     return quality.keep_good(docs, quality.fit(docs, common.corpus(spark, sf_dir, "labels")))
@@ -22,22 +17,24 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    common.small_batches(spark)
     return nearduplicates.keep_one(docs, words=5)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of eight words (or a whole shorter item) of a benchmark item."""
-    found = decontaminate.contamination(docs, common.corpus(spark, sf_dir, "benchmark"), least_items=LEAST_ITEMS, keep=docs.columns)
-    return found.where(~F.col("contaminated")).select(*[F.col(f"k_{c}").alias(c) for c in docs.columns])
+    return decontaminate.without_occurrences(docs, common.corpus(spark, sf_dir, "benchmark"))
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by the name of its kind."""
+    common.small_batches(spark)
     return pii.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of 4096 ids, with the ids."""
+    common.small_batches(spark)
     return packing.pack(docs)
 
 

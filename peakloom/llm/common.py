@@ -20,8 +20,21 @@ FLUSH_BYTES = 8 << 20
 _tables: list[tuple[SparkSession, str]] = []
 
 
+#: Bytes of rows that cross to a Python worker at a time: a batch is held by the JVM, on the wire and by the worker.
+ARROW_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower this session's limit of Arrow batches, which Spark has at 64 MB, to ARROW_BYTES. Long texts fill a batch
+    long before its limit of 10,000 rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name, "67108864b")).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(name, f"{ARROW_BYTES}b")
+
+
 def corpus(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """The named input table; every row of it."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -75,29 +75,31 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, spans (array of [from, to) word places inside any occurrence, merged) and
-    items (those with an occurrence, sorted as numbers), besides the columns of ``keep``, unchanged, each named ``k_`` and its name.
-
-    The item texts are counted first. They are dealt by item_id into blocks of at most about BLOCK_BYTES; one block's
-    texts are broadcast at a time, so memory has a bound whatever the size of ``items``. With more than one block the
-    blocks' results are put together by row. Nulls have no words; an item_id of null is left out; repeated rows stay."""
-    spark = docs.sparkSession
-    items = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("binary").alias("body")).where("item is not null")
+def _blocks(items: DataFrame, item_col: str, text_col: str):
+    """Broadcasts of item texts, dealt by item id into blocks of about BLOCK_BYTES; the texts are counted first, so
+    memory has a bound whatever the size of ``items``. An item without an id is left out."""
+    items = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("binary").alias("body")).where("item is not null")
     total = items.agg(F.sum(F.length("body"))).first()[0] or 0
-    blocks = common.pieces_for(total, BLOCK_BYTES)
-    keep = list(keep or [])
-    kept = [F.col(c).alias(f"k_{c}") for c in keep]
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"), *kept)
-    if blocks > 1:
+    n = common.pieces_for(total, BLOCK_BYTES)
+    for block in range(n):
+        chosen = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == block) if n > 1 else items
+        yield items.sparkSession.sparkContext.broadcast([(r.item, bytes(r.body) if r.body is not None else None) for r in chosen.collect()])
+
+
+def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, spans (array of [from, to) word places inside any occurrence, merged) and
+    items (those with an occurrence, sorted as numbers). One block of item texts is searched at a time; with more than
+    one the blocks' results are put together by row. Nulls have no words; repeated rows stay; further columns are
+    ignored."""
+    blocks = list(_blocks(items, item_col, item_text_col))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
+    if len(blocks) > 1:
         source = common.stored(source.withColumn("row", F.monotonically_increasing_id()), "numbered")
     span = pa.struct([("s", pa.int32()), ("e", pa.int32())])
     found = [("n_words", pa.int64()), ("spans", pa.list_(span)), ("items", pa.list_(pa.int64()))]
-    ddl = "n_words long, spans array<struct<s:int,e:int>>, items array<long>"
+    head = ", ".join(f"{f.name} long" for f in source.schema if f.name != "body")
     results = []
-    for block in range(blocks):
-        chosen = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else items
-        texts = spark.sparkContext.broadcast([(r.item, bytes(r.body) if r.body is not None else None) for r in chosen.collect()])
+    for texts in blocks:
 
         def run(batches, texts=texts):
             tables = tables_of(texts.value, window)
@@ -119,17 +121,38 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col:
                     made = [pa.array(c, t) for c, (_, t) in zip((counts, spans, hits), found, strict=True)]
                     yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + made, names=[batch.schema.names[i] for i in rest] + [n for n, _ in found])
 
-        head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "body")
-        results.append(source.mapInArrow(run, f"{head}, {ddl}"))
+        results.append(source.mapInArrow(run, f"{head}, n_words long, spans array<struct<s:int,e:int>>, items array<long>"))
     out = results[0]
-    if blocks > 1:
+    if len(blocks) > 1:
         for more in results[1:]:
             out = out.unionByName(more)
-        firsts = [F.first(c).alias(c) for c in ("doc_id", *[f"k_{c}" for c in keep], "n_words")]
+        firsts = [F.first(c).alias(c) for c in ("doc_id", "n_words")]
         out = out.groupBy("row").agg(*firsts, F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
         joined = "aggregate(spans, cast(array() as array<struct<s:int,e:int>>), (a, x) -> if(size(a) > 0 and x.s <= element_at(a, -1).e, concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(x.e, element_at(a, -1).e)))), concat(a, array(x))))"
         out = out.withColumn("spans", F.expr(joined))
-    return out.select("doc_id", "n_words", "spans", "items", *[F.col(f"k_{c}").alias(f"k_{c}") for c in keep])
+    return out.select("doc_id", "n_words", "spans", "items")
+
+
+def without_occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no window of any item occurs. A block of item texts after
+    the other takes its rows out; texts cross to Python once a block."""
+    at = docs.columns.index(text_col)
+    for number, texts in enumerate(_blocks(items, item_col, item_text_col)):
+
+        def run(batches, texts=texts):
+            tables = tables_of(texts.value, window)
+            for big in batches:
+                for first in range(0, big.num_rows, 1024):
+                    batch = big.slice(first, 1024)
+                    free = []
+                    for text in batch.column(at):
+                        text = text.as_py()
+                        words = words_of(text.encode("utf-8", "surrogatepass") if text else None)
+                        free.append(not any(True for table in tables for _ in table.search(words)))
+                    yield batch.filter(pa.array(free, pa.bool_()))
+
+        docs = (common.stored(docs, "left") if number else docs).mapInArrow(run, docs.schema)
+    return docs
 
 
 def contamination(docs: DataFrame, items: DataFrame, least_items: int = 2, **options) -> DataFrame:
@@ -143,7 +166,6 @@ def contamination(docs: DataFrame, items: DataFrame, least_items: int = 2, **opt
         F.size("items").cast("long").alias("n_items"),
         F.sha2(listed, 256).alias("items_sha256"),
         (F.size("items") >= least_items).alias("contaminated"),
-        *[F.col(c) for c in found.columns if c.startswith("k_")],
     )
 
 
