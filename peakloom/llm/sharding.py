@@ -96,6 +96,8 @@ def balanced(sizes, shards: int, start: int = 0, end: int | None = None) -> list
     """Keys that shards begin with. Where one large group alone sets the capacity, it gets a shard and the groups before
     and after it are cut again among the others, in proportion, so a hot group leaves the rest even."""
     end = sizes.total if end is None else end
+    if end <= start:
+        return []
     capacity, cuts = minimax(sizes, shards, start, end)
     mean = -(-(end - start) // shards)
     borders = [(start, None), *cuts, (end, None)]
