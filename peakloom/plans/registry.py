@@ -465,7 +465,7 @@ def segment(spark, sf):
 def _aligned(spark, sf) -> DataFrame:
     own = V.features(spark, sf)
     rows = own.select("sample_id", "fid", "mz", "rt", F.col("peak_height").alias("height"), (1 - F.col("noise_score")).alias("gaussian"), F.col("noise_score").alias("noise"), (F.col("part") % 10 == 0).alias("has_ms2"))
-    return detection.align_features(rows, spark.range(20).select(F.col("id").alias("sample_id"), F.col("id").alias("align_order")), mz_tol=0.01, rt_tol=1.5)
+    return detection.align_features(rows, spark.range(20).select(F.col("id").alias("sample_id"), F.col("id").alias("align_order")), mz_tol=0.01, rt_tol=0.5)
 
 
 @query()
