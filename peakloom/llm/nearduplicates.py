@@ -26,7 +26,7 @@ from .fingerprints import _mixed, shingle_hashes
 #: BANDS bands with probability (1 - 0.8 ** (2 * ROWS)) ** BANDS, about five in a million.
 WORDS, PERCENT, ROWS, BANDS = 2, 80, 3, 40
 #: Shingles (of eight bytes) of one side of a chunk that a single task compares.
-CHUNK = 400_000
+CHUNK = 100_000
 
 
 def _multipliers(n: int) -> np.ndarray:

@@ -12,6 +12,7 @@ from .grammar import op6_repair_shards
 from .licences import op8_license_digests
 from .licences import oracle as licence_oracle
 from .nearduplicates import op9_minmax_duplicates
+from .oracles import OP9, OP10
 from .packing import op3_pack_sequences
 from .pii import op2_pii_spans
 from .quality import op1_pu_quality
@@ -31,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_license_digests": licence_oracle()}
+ORACLE_SQL: dict[str, str] = {"op8_license_digests": licence_oracle(), "op9_minmax_duplicates": OP9, "op10_decontaminate": OP10}

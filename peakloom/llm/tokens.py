@@ -28,7 +28,7 @@ class ChunkIds(dict):
     """chunk -> ids as little-endian unsigned 32-bit bytes. At most ``limit`` chunks are held, and of words without
     the marks after them two generations of at most ``limit`` each."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 200_000):
         super().__init__()
         from tokenizers import Tokenizer
 
