@@ -192,13 +192,13 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     last = end_id.to_bytes(4, "little")
 
     def run(batches):
-        part, cache, at, own, size, names = TaskContext.get().partitionId(), tokens.shared(path), 0, [], 0, []
+        part, at, own, size, names = TaskContext.get().partitionId(), 0, [], 0, []
 
         def done():
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, at, size // 4, names, encode(own)), schema, strict=True)], schema=schema)
 
-        for doc_id, text in common.rows_of(batches, "doc_id", "text"):
-            ids = cache.of(text) + last
+        for doc_id, ids in tokens.encoded(batches, path):
+            ids += last
             own.append(ids)
             names.append(doc_id)
             size += len(ids)

@@ -22,9 +22,9 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "d
     last = end_id.to_bytes(4, "little")
 
     def run(batches):
-        part, at, cache, out = TaskContext.get().partitionId(), 0, tokens.shared(path), common.Rows(schema)
-        for doc_id, text in common.rows_of(batches, "doc_id", "text"):
-            ids = cache.of(text) + last
+        part, at, out = TaskContext.get().partitionId(), 0, common.Rows(schema)
+        for doc_id, ids in tokens.encoded(batches, path):
+            ids += last
             yield from out.add((part, at, doc_id, len(ids) // 4, ids), len(ids))
             at += len(ids) // 4
         yield from out.rest()

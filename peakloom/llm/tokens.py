@@ -1,16 +1,29 @@
-"""Token ids of whole texts with a public tokenizer file, through a bounded cache of white-space separated chunks.
+"""Token ids of whole texts with a public tokenizer file: texts are cut into pieces that the tokenizer never merges
+across, many texts at a time, and each distinct piece is encoded once and kept in a bounded cache.
 
-The tokenizer drops white space and never merges across it, so the ids of a text are those of its chunks in order.
-That holds for word-level BPE files whose pre-tokenizer splits at white space; other files are encoded whole.
+The tokenizer drops white space, makes capitals small and takes letters, digits and marks apart, so the ids of a text
+are those of its runs of one kind. That is shown on probes; files for which it doesn't hold encode texts whole.
 """
 
 from __future__ import annotations
 
-import re
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
-
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)\Z")
+import pyarrow as pa
+
+#: Kinds of lower-case Latin-1 characters: white space, letter, mark, digit, other (apostrophes too: they begin endings).
+_SPACE, _LETTER, _MARK, _DIGIT, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, dtype=np.uint8)
+_KIND[[*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = _LETTER
+_KIND[[*b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = _MARK
+_KIND[[*b"0123456789"]] = _DIGIT
+_KIND[[*b" \t\n\r"]] = _SPACE
+#: Whether a piece begins at a character of kind b after one of kind a, at 8 * a + b.
+_BEGINS = np.array([b < 5 and b != _SPACE and (a == _SPACE or (a != b and _OTHER not in (a, b))) for a in range(8) for b in range(8)])
+#: Characters of texts that are encoded at a time.
+TOGETHER = 2_000_000
 #: Printable stand-ins of bytes, as byte-level vocabularies have them.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
 _BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -24,64 +37,114 @@ def shared(path: str) -> ChunkIds:
     return _caches[path]
 
 
-class ChunkIds(dict):
-    """chunk -> ids as little-endian unsigned 32-bit bytes. At most ``limit`` chunks are held, and of words without
-    the marks after them two generations of at most ``limit`` each."""
+class _Kept(dict):
+    """key -> made(key), in two generations of at most ``limit`` short keys each."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, made: Callable, limit: int):
         super().__init__()
+        self.made, self.limit, self.old = made, limit, {}
+
+    def __missing__(self, key: str | bytes) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.made(key)
+        if len(key) <= 40:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+class ChunkIds:
+    """Ids of texts as little-endian unsigned 32-bit bytes, through caches of pieces of at most ``limit`` keys a
+    generation."""
+
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.limit = self.tokenizer.model, limit
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
         self.by_chunk = _splits_at_space(self.tokenizer)
-        self.by_word = self.by_chunk and all(self.bare(w.lower()) == self.encode(w) for w in ("Word", "theing", "É", "straße", "ÖÄÜñ", "çeuxeau", "a", "ÿø", "zzyqxw"))
+        kinds = self.encode("ab.,12cd(e)f3") == b"".join(map(self.encode, ("ab", ".,", "12", "cd", "(", "e", ")", "f", "3")))
+        self.by_word = self.by_chunk and kinds and all(self.bare(w.lower()) == self.encode(w) for w in ("Word", "theing", "É", "straße", "ÖÄÜñ", "çeuxeau", "a", "ÿø", "zzyqxw"))
+        self.pieces = _Kept(self.piece, limit)
+        self.chunks = _Kept(self.encode, limit // 2)
 
     def encode(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def bare(self, word: str) -> bytes:
         """A lower-case word of Latin letters, by the model alone: normal forms and splits can't change it."""
         if not word.isascii():
             word = "".join(map(_BYTES.__getitem__, word.encode()))
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
-    def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            found = self.old.get(word)
-            if found is None:
-                found = self.bare(word)
-            if len(word) <= 40:
-                if len(self.words) >= self.limit:
-                    self.old, self.words = self.words, {}
-                self.words[word] = found
-        return found
-
-    def __missing__(self, chunk: str) -> bytes:
-        if not chunk:
-            return b""
-        # letters and the marks after them are separate words of the tokenizer
-        if self.by_word and (m := _PLAIN.match(chunk)) and "<|" not in chunk:
-            found = self.word(m[1].lower()) + (self[m[2]] if m[2] else b"")
-        else:
-            found = self.encode(chunk)
-        if len(chunk) <= 40:
-            if len(self) >= self.limit:
-                self.clear()
-            self[chunk] = found
-        return found
+    def piece(self, piece: bytes) -> bytes:
+        text = piece.decode("latin-1")
+        return self.bare(text) if text.isalpha() else self.encode(text)
 
     def of(self, text: str | None) -> bytes:
-        """The ids of a whole text; none for a null or empty one."""
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of whole texts; none for null and empty ones."""
+        latin = [self.by_word and bool(t) and _is_latin(t) for t in texts]
+        made = iter(self.latin([t for t, own in zip(texts, latin, strict=True) if own]))
+        return [next(made) if own else self.other(t) for t, own in zip(texts, latin, strict=True)]
+
+    def other(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.by_chunk:
             return self.encode(text)
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join([self.chunks[c] for c in text.replace("\n", " ").split(" ") if c])
+
+    def latin(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        lower = [t.lower().encode("latin-1") for t in texts]
+        data = np.frombuffer(b" " + b" ".join(lower), dtype=np.uint8)
+        kinds = _KIND[data]
+        begins = np.flatnonzero(_BEGINS[(kinds[:-1] << 3) | kinds[1:]])
+        solid = kinds[1:] != _SPACE
+        place = np.cumsum(solid, dtype=np.int32)
+        starts = np.append(place[begins] - 1, place[-1]).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(starts), pa.py_buffer(data[1:][solid])]).dictionary_encode()
+        distinct = list(map(self.pieces.__getitem__, pieces.dictionary.to_pylist()))
+        counts = np.fromiter(map(len, distinct), np.int64, len(distinct)) // 4
+        flat, first, which = np.frombuffer(b"".join(distinct), "<u4"), np.cumsum(counts) - counts, pieces.indices.to_numpy()
+        own = counts[which]
+        ends = np.cumsum(own)
+        ids = flat[np.repeat(first[which] - ends + own, own) + np.arange(int(own.sum()))]
+        upto = np.searchsorted(begins, np.cumsum([len(t) + 1 for t in lower]) - 1)
+        cuts = np.concatenate([[0], ends])[upto].tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *cuts], cuts, strict=False)]
+
+
+def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int | None, bytes]]:
+    """(doc_id, ids) of the rows of Arrow batches (doc_id, text), encoded TOGETHER characters at a time."""
+    from . import common
+
+    cache, ids, texts, size = shared(path), [], [], 0
+    for doc_id, text in common.rows_of(batches, "doc_id", "text"):
+        ids.append(doc_id)
+        texts.append(text)
+        size += len(text or "")
+        if size >= TOGETHER or len(ids) >= 10_000:
+            yield from zip(ids, cache.many(texts), strict=True)
+            ids, texts, size = [], [], 0
+    yield from zip(ids, cache.many(texts), strict=True)
+
+
+def _is_latin(text: str) -> bool:
+    """Whether all code points are below 256, so that small letters don't depend on their neighbours and combining marks
+    are out, and no special token can occur."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "<|" not in text
 
 
 def _splits_at_space(tokenizer) -> bool:

@@ -28,6 +28,15 @@ def test_cache_gives_the_tokenizers_ids(tokenizer, documents):
         assert np.frombuffer(cache.of(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_together(tokenizer, documents):
+    rng = np.random.default_rng(5)
+    pool = [*"abcdeZXY  \n.,!?'\"|<>()#_-0123\t\r\x00\x1c\x85\xa0\xadªºµßÀÉéöÿ×÷Σσİ’́​日ﬁ", "<|endoftext|>", "'s", "don't", "Word.,", "  "]
+    texts = ["".join(rng.choice(pool, size=rng.integers(0, 14))) for _ in range(3000)] + [None, "", " "] + [t for _, t in documents]
+    cache = tokens.ChunkIds(tokens.default_path(), limit=50)
+    for text, own in zip(texts, cache.many(texts), strict=True):
+        assert np.frombuffer(own, "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
 def test_pack(spark, odd, none, tokenizer):
     rows = packing.pack(odd, window=64).orderBy("sequence_id", "offset").collect()
     assert [(r.sequence_id, r.offset) for r in rows][0] == (0, 0)
