@@ -21,7 +21,7 @@ _tables: list[tuple[SparkSession, str]] = []
 
 
 #: Bytes of rows that cross to a Python worker at a time: a batch is held by the JVM, on the wire and by the worker.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
