@@ -146,8 +146,13 @@ def untargeted(spark: SparkSession, data_dir: str, out: str, params: Params | No
     features = stored(features, "with_ms2")
     aligned, quant = align(spark, features, runs, params, peaks)
     aligned = stored(annotate(spark, stored(aligned, "aligned_ms2"), params), "annotated")
-    rows = aligned.select(F.lit(0).alias("sample_id"), F.col("feature_id").alias("fid"), "mz", "rt", F.col("highest").alias("height"))
-    groups = detection.group_ions(rows, params.ion_mode, mz_tol=params.mz_tol_feature_grouping, rt_tol=params.rt_tol_feature_grouping).drop("sample_id").withColumnRenamed("fid", "feature_id")
+    located = aligned.withColumnRenamed("alignment_reference_file", "reference")
+    fragments = F.transform(F.coalesce("ms2", F.array().cast("array<struct<mz:float,intensity:float>>")), lambda p: p["mz"])
+    rows = located.select(F.lit(0).alias("sample_id"), F.col("feature_id").alias("fid"), "mz", "rt", "reference", F.col("highest").alias("height"), fragments.alias("ms2_mz"), *[c for c in ("adduct",) if c in aligned.columns])
+    rows = detection.pair_correlations(rows, peaks, params.ion_mode, rt_tol=params.rt_tol_feature_grouping)
+    located = detection.feature_isotopes(located, scans.where("level = 1 and size(peaks) > 0"), mz_tol=params.mz_tol_feature_grouping)
+    aligned = located.withColumnRenamed("reference", "alignment_reference_file")
+    groups = detection.group_ions(rows, params.ion_mode, mz_tol=params.mz_tol_feature_grouping, rt_tol=params.rt_tol_feature_grouping, cor_tol=params.scan_scan_cor_tol).drop("sample_id").withColumnRenamed("fid", "feature_id")
     if "adduct" in aligned.columns:
         groups = groups.withColumnRenamed("adduct", "group_adduct")
     aligned = stored(aligned.join(groups, "feature_id", "left"), "grouped")
