@@ -71,3 +71,33 @@ def assignable(candidates: DataFrame, left: str, right: str, *order: Column) ->
     """The best candidate a ``left`` by ``order``, ties by ``right``."""
     rank = F.row_number().over(Window.partitionBy(left).orderBy(*order, right))
     return candidates.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+
+
+def passes_scores(gaussian: Column, noise: Column, gaussian_tol: float = 0.7, noise_tol: float = 2.0) -> Column:
+    return (gaussian > gaussian_tol) & (noise < noise_tol)
+
+
+def alignable(features: DataFrame, scan_cutoff: int = 5) -> DataFrame:
+    """Features (ms2, total_scans) that alignment takes up: with a spectrum, or seen in more than ``scan_cutoff`` scans."""
+    return features.where(F.col("ms2").isNotNull() | (F.col("total_scans") > scan_cutoff))
+
+
+def finally_kept(features: DataFrame, *, gaussian_tol: float = 0.7, noise_tol: float = 2.0, rate: float = 0.1, ms1_tol: float = 1000.0) -> DataFrame:
+    """Aligned features (has_ms2, gaussian, noise, detection_rate, highest) that stay: with a spectrum or good scores,
+    and detected in more than ``rate`` of the samples or at least ten times ``ms1_tol`` high."""
+    good = F.col("has_ms2") | passes_scores(F.col("gaussian"), F.col("noise"), gaussian_tol, noise_tol)
+    return features.where(good & ((F.col("detection_rate") > rate) | (F.col("highest") >= 10 * ms1_tol)))
+
+
+def reference_values(quant: DataFrame, value: str = "intensity") -> DataFrame:
+    """Each feature's sample of highest value (of equal ones the smallest), that value and how many samples it is in."""
+    best = F.min(F.struct((-F.col(value)).alias("minus"), "sample_id"))
+    return quant.groupBy("feature_id").agg(best.alias("b"), F.count("*").alias("n_samples")).select("feature_id", F.col("b.sample_id").alias("reference"), (-F.col("b.minus")).alias("highest"), "n_samples")
+
+
+def classifiable(features: DataFrame, *, gaussian: float = 0.6, rate: float = 0.5) -> DataFrame:
+    """Features that a classifier is built on: annotated by identity, of good shape, neither fragments nor isotopes; the
+    first of each annotation; of these the ones detected in more than ``rate`` of the samples."""
+    own = features.where((F.col("search_mode") == "identity_search") & (F.col("gaussian_similarity") > gaussian) & ~F.col("is_in_source_fragment") & ~F.col("is_isotope"))
+    rank = F.row_number().over(Window.partitionBy("annotation").orderBy("feature_id"))
+    return own.withColumn("_rank", rank).where("_rank = 1").drop("_rank").where(F.col("detection_rate") > rate)

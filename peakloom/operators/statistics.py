@@ -167,3 +167,21 @@ def outlier_files(features: DataFrame, samples: DataFrame) -> DataFrame:
     tops = features.join(F.broadcast(samples.where("not is_blank").select("sample_id")), "sample_id").groupBy("sample_id").agg(F.max("peak_height").alias("highest"))
     middle = tops.agg(F.median("highest").alias("median_highest"))
     return tops.join(F.broadcast(middle)).where(F.col("highest") < F.col("median_highest") / 3)
+
+
+def qc_band(matrix: DataFrame, samples: DataFrame, width: float = 1.96) -> DataFrame:
+    """What a plot of QC stability shows, a feature: number of QCs, median, relative deviation (sample) and the band of
+    ``width`` population deviations around the median."""
+    own = with_samples(matrix, samples).where("is_qc and intensity > 0")
+    v = F.col("intensity")
+    sums = own.groupBy("feature_id").agg(F.count("*").alias("n_qc"), F.median(v).alias("median"), F.try_divide(F.stddev_samp(v), F.avg(v)).alias("rsd"), F.stddev_pop(v).alias("_sd"))
+    return sums.select("feature_id", "n_qc", "median", "rsd", (F.col("median") - width * F.col("_sd")).alias("low"), (F.col("median") + width * F.col("_sd")).alias("high"))
+
+
+def ellipse(points: DataFrame, group: str, x: str, y: str, deviations: float = 2.0) -> DataFrame:
+    """The covariance ellipse of each group's points: centre, radii along both axes of the standardised plane
+    (sqrt(1 + rho), sqrt(1 - rho)) and scales of x and y."""
+    a, b = F.col(x), F.col(y)
+    own = points.groupBy(group).agg(F.count("*").alias("n"), F.avg(a).alias("centre_x"), F.avg(b).alias("centre_y"), F.stddev_samp(a).alias("_sx"), F.stddev_samp(b).alias("_sy"), F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)).alias("_rho"))
+    radius = lambda sign: F.sqrt(F.greatest(F.lit(0.0), 1 + sign * F.col("_rho")))
+    return own.select(group, "n", "centre_x", "centre_y", radius(1).alias("radius_x"), radius(-1).alias("radius_y"), (F.col("_sx") * deviations).alias("scale_x"), (F.col("_sy") * deviations).alias("scale_y"))

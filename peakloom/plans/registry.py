@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, chem
 from ..operators import alignment, annotation, detection, islands, learning, rangejoin, spectra, statistics
+from ..sources import sinks
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -524,3 +525,208 @@ def mzrt_annotate(spark, sf):
 @query()
 def sample_neighbours(spark, sf):
     return learning.neighbours(statistics.impute_scale(V.matrix(spark, sf), 20), 5).withColumn("distance", R(F.col("distance"), 4))
+
+
+# ---- filters of the workflow
+
+_FLAGGED = "flagged as (select fid, sample_id, mz, rt, peak_height, noise_score, part, 1 - noise_score * 5 as gaussian, part % 10 = 0 as has_ms2 from features)"
+
+
+def _flagged(spark, sf) -> DataFrame:
+    own = V.features(spark, sf)
+    return own.withColumns({"gaussian": 1 - F.col("noise_score") * 5, "has_ms2": F.col("part") % 10 == 0})
+
+
+@query(f"with {V.FEATURES}, {_FLAGGED} select fid, sample_id, rt from flagged where has_ms2 or rt > 25")
+def alignment_filter(spark, sf):
+    own = _flagged(spark, sf).withColumns({"ms2": F.when(F.col("has_ms2"), F.lit("x")), "total_scans": F.col("rt")})
+    return alignment.alignable(own, 25).select("fid", "sample_id", "rt")
+
+
+@query(f"with {V.FEATURES}, {_FLAGGED} select fid, sample_id, round(gaussian, 6) as gaussian, has_ms2 from flagged where (has_ms2 or (gaussian > 0.7 and noise_score < 0.04)) and (sample_id / 20.0 > 0.1 or peak_height >= 40000)")
+def final_filter(spark, sf):
+    own = _flagged(spark, sf).withColumns({"noise": F.col("noise_score"), "detection_rate": F.col("sample_id") / 20, "highest": F.col("peak_height")})
+    return alignment.finally_kept(own, noise_tol=0.04, rate=0.1, ms1_tol=4000.0).select("fid", "sample_id", R(F.col("gaussian")).alias("gaussian"), "has_ms2")
+
+
+@query(f"""with {V.FEATURES}, {_FLAGGED}, k as (select *, row_number() over (partition by part order by fid) as k from flagged where part % 3 = 0 and gaussian > 0.6 and not (part % 7 = 0) and not (part % 5 = 0))
+select fid, part as annotation, sample_id from k where k = 1 and sample_id / 20.0 > 0.5""")
+def classifier_filter(spark, sf):
+    part = F.col("part")
+    own = _flagged(spark, sf).withColumns({
+        "feature_id": F.col("fid"), "annotation": part, "search_mode": F.when(part % 3 == 0, "identity_search"), "gaussian_similarity": F.col("gaussian"),
+        "is_in_source_fragment": part % 7 == 0, "is_isotope": part % 5 == 0, "detection_rate": F.col("sample_id") / 20,
+    })
+    return alignment.classifiable(own).select("fid", "annotation", "sample_id")
+
+
+@query(f"""with {V.FEATURES}, {_FLAGGED} select fid as feature_id, case when part % 3 = 0 then 'identity_' || fid || '_' || part when part % 3 = 1 then 'hybrid_' || fid end as node
+from flagged where has_ms2 and part % 3 < 2 and gaussian > 0.7""")
+def network_subset(spark, sf):
+    part = F.col("part")
+    own = _flagged(spark, sf).withColumns({"feature_id": F.col("fid"), "annotation": part.cast("string"), "search_mode": F.when(part % 3 == 0, "identity_search").when(part % 3 == 1, "fuzzy_search"), "quality": F.when(F.col("gaussian") > 0.7, "good").otherwise("bad peak shape")})
+    return annotation.network_nodes(own, quality="good").select("feature_id", "node")
+
+
+@query(f"with {_SIM.format(op='<>')}, best as (select *, row_number() over (partition by query_id order by round(similarity, 9) desc, match_id) as k from sim where similarity > 0.6) select least(query_id, match_id) as src, greatest(query_id, match_id) as dst, round(max(similarity), 6) as similarity from best where k = 1 group by 1, 2")
+def network_edges(spark, sf):
+    return annotation.network_edges(_similar(spark, sf), 0.6).withColumn("similarity", R(F.col("similarity")))
+
+
+@query(f"with {V.MATRIX}, k as (select *, row_number() over (partition by feature_id order by intensity desc, sample_id) as k, count(*) over (partition by feature_id) as n_samples from matrix) select feature_id, sample_id as reference, intensity as highest, n_samples from k where k = 1")
+def reference_values(spark, sf):
+    return alignment.reference_values(V.matrix(spark, sf))
+
+
+@query(f"""with {V.PEAKS}, s as (select sample_id, scan_id, min(rt) as rt from peaks group by all), o as (select *, row_number() over (partition by sample_id order by scan_id) as k from s)
+select p.sample_id, p.scan_id, mz, intensity from peaks p join o using (sample_id, scan_id) where k = 10 and mz > 5 and mz < 60""")
+def scan_slice(spark, sf):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("sample_id").orderBy("scan_id"))
+    own = _scans(spark, sf).withColumn("k", place).where("k = 10").withColumn("peaks", arrays.clean(F.col("peaks"), 5.0, 60.0, float("-inf")))
+    return own.select("sample_id", "scan_id", F.explode("peaks").alias("p")).select("sample_id", "scan_id", "p.mz", "p.intensity")
+
+
+_NUMBER = "case when p_partkey % 4 = 0 then concat(p_size, ',', p_partkey % 100) when p_partkey % 4 = 1 then concat(p_size, '.', p_partkey % 100) when p_partkey % 4 = 2 then concat(p_size, ',', p_partkey % 10, '.5') else p_name end"
+
+
+@query(f"with t as (select p_partkey, {_NUMBER} as t from part) select p_partkey, round(try_cast(case when length(t) - length(replace(t, ',', '')) = 1 and not contains(t, '.') then replace(t, ',', '.') else t end as double), 6) as number from t")
+def safe_number(spark, sf):
+    return V.table(spark, sf, "part").select("p_partkey", R(arrays.safe_float(F.expr(_NUMBER))).alias("number"))
+
+
+# ---- more kernels
+
+@query(f"with {_PLACED} select {_KEYS}, round(sum(pow((intensity - (intensity * 0.9 + 5)) / top, 2)), 9) as error from t group by all")
+def squared_error(spark, sf):
+    fitted = F.transform("y", lambda v: v * 0.9 + 5)
+    return _traces(spark, sf).select("sample_id", "trace_id", R(arrays.squared_error(F.col("y"), fitted), 9).alias("error"))
+
+
+@query(f"with {_PLACED} select {_KEYS}, coalesce(max(case when intensity > 60000 then i end) - min(case when intensity > 60000 then i end) + 1, 0)::bigint as n_points from t group by all")
+def trim_trace(spark, sf):
+    cut = F.transform("y", lambda v: F.when(v > 60000, v).otherwise(F.lit(0.0)))
+    return _traces(spark, sf).select("sample_id", "trace_id", F.size(arrays.trimmed(cut)).cast("long").alias("n_points"))
+
+
+_CELLS = [(1, 5.0, 2000.0), (2, 12.5, 9000.0), (3, 20.0, 20000.0), (4, 33.0, 30000.0), (5, 60.0, 40000.0)]
+
+
+@query(f"""with {V.PEAKS}, f(feature_id, m, t) as (values {', '.join(f'({a}::bigint, {b}::double, {c}::double)' for a, b, c in _CELLS)}),
+h as (select feature_id, sample_id, scan_id, min(rt) as rt, max(intensity) as i from peaks join f on abs(mz - m) <= 0.5 and abs(rt - t) <= 3000 where sample_id in ('click', 'view') group by all),
+a as (select *, (rt - lag(rt) over w) * (i + lag(i) over w) / 2 as area, row_number() over (partition by feature_id, sample_id order by i desc, scan_id) as k from h window w as (partition by feature_id, sample_id order by scan_id))
+select feature_id, sample_id, max(i)::bigint as peak_height, trunc(round(coalesce(sum(area), 0.0) * 60, 3))::bigint as peak_area, trunc(avg(case when k <= 3 then i end))::bigint as top_average from a group by all""")
+def gap_fill_values(spark, sf):
+    targets = spark.createDataFrame(_CELLS, "feature_id long, consensus_mz double, consensus_rt double")
+    cells = targets.select("feature_id", F.explode(F.array(F.lit("click"), F.lit("view"))).alias("sample_id"))
+    return detection.fill_gaps(cells, targets, V.peaks(spark, sf), mz_tol=0.5, rt_window=3000.0).drop("is_gap_filled")
+
+
+@query(f"""with f as (select p_partkey, {_FORMULA} as formula from part), t as (select p_partkey, formula, unnest(regexp_extract_all(formula, '[A-Z][a-z]*[0-9]*')) as tok from f),
+m(element, mass) as (values {', '.join(f"('{e}', {m!r}::double)" for e, m in chem.MASSES.items())}), ad(adduct, shift, z, n) as (values {', '.join(f"('{a[0]}', {a[2]!r}::double, {a[3]}, {a[4]})" for a in chem.ADDUCTS)}),
+w as (select p_partkey, formula, sum(mass * coalesce(try_cast(nullif(regexp_extract(tok, '[0-9]+'), '') as bigint), 1)) as mass from t join m on m.element = regexp_extract(tok, '[A-Z][a-z]*') group by all)
+select p_partkey, adduct, round((mass * n + shift - z * {chem.ELECTRON}) / abs(z), 6) as mz from w, ad""")
+def formula_ions(spark, sf):
+    own = V.table(spark, sf, "part").select("p_partkey", F.expr(_FORMULA).alias("formula"))
+    return annotation.formula_ions(own, spark).select("p_partkey", "adduct", R(F.col("mz")).alias("mz"))
+
+
+# ---- more normalisation and plot data
+
+@query(f"with {V.MATRIX} select sample_id, round(v, 6) as measure from (select sample_id, sum(intensity) as v from matrix group by all) order by v desc, sample_id limit 1")
+def reference_by_total(spark, sf):
+    return statistics.reference_sample(V.matrix(spark, sf), "total_intensity").withColumn("measure", R(F.col("measure")))
+
+
+@query(f"with {V.MATRIX} select sample_id, round(v, 6) as measure from (select sample_id, median(intensity) as v from matrix group by all) order by v desc, sample_id limit 1")
+def reference_by_median(spark, sf):
+    return statistics.reference_sample(V.matrix(spark, sf), "median_intensity").withColumn("measure", R(F.col("measure")))
+
+
+def _scaled_by(measure: str) -> str:
+    return f"with {V.MATRIX}, t as (select sample_id, {measure}(intensity) as v from matrix where intensity > 0 group by all), r as (select v as base from t order by v desc, sample_id limit 1) select sample_id, round(v / base, 6) as factor from t, r"
+
+
+@query(_scaled_by("sum"))
+def factors_by_total(spark, sf):
+    own = V.matrix(spark, sf)
+    return statistics.factors(own, statistics.reference_sample(own, "total_intensity"), "total_intensity").withColumn("factor", R(F.col("factor")))
+
+
+@query(_scaled_by("median"))
+def factors_by_median(spark, sf):
+    own = V.matrix(spark, sf)
+    return statistics.factors(own, statistics.reference_sample(own, "median_intensity"), "median_intensity").withColumn("factor", R(F.col("factor")))
+
+
+@query(f"""with {V.MATRIX}, q as (select feature_id, count(*) as n_qc, median(intensity) as median, stddev_samp(intensity) / avg(intensity) as rsd, stddev_pop(intensity) as sd from matrix join samples using (sample_id) where is_qc and intensity > 0 group by all)
+select feature_id, n_qc, round(median, 6) as median, round(rsd, 6) as rsd, round(median - 1.96 * sd, 6) as low, round(median + 1.96 * sd, 6) as high from q""")
+def qc_band(spark, sf):
+    found = statistics.qc_band(V.matrix(spark, sf), V.samples(spark))
+    return found.select("feature_id", "n_qc", *[R(F.col(c)).alias(c) for c in ("median", "rsd", "low", "high")])
+
+
+@query("""with e as (select label, embedding[1]::double as x, embedding[2]::double as y from embeddings), g as (select label, count(*) as n, avg(x) as cx, avg(y) as cy, stddev_samp(x) as sx, stddev_samp(y) as sy, corr(x, y) as r from e group by all)
+select label, n, round(cx, 6) as centre_x, round(cy, 6) as centre_y, round(sqrt(greatest(0.0, 1 + r)), 6) as radius_x, round(sqrt(greatest(0.0, 1 - r)), 6) as radius_y, round(2 * sx, 6) as scale_x, round(2 * sy, 6) as scale_y from g""")
+def confidence_ellipse(spark, sf):
+    own = V.table(spark, sf, "embeddings").select("label", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    found = statistics.ellipse(own, "label", "x", "y")
+    return found.select("label", "n", *[R(F.col(c)).alias(c) for c in ("centre_x", "centre_y", "radius_x", "radius_y", "scale_x", "scale_y")])
+
+
+@query(f"""with {V.SPECTRA}, s as (select *, max(intensity) over (partition by spectrum_id) as top from spectrum_peaks)
+select q.spectrum_id, mz, round(intensity / top, 6) as intensity from s q union all select r.spectrum_id - 1, mz, round(-intensity / top, 6) from s r where exists (select 1 from embeddings where vec_id = r.spectrum_id - 1)""")
+def mirror_data(spark, sf):
+    own = V.spectra(spark, sf).select("spectrum_id", "peaks")
+    up = own.select((F.col("spectrum_id") - 1).alias("spectrum_id"), F.col("peaks").alias("other"))
+    both = own.join(up, "spectrum_id", "left").select("spectrum_id", F.explode(sinks.mirror(F.col("peaks"), F.coalesce("other", F.array().cast("array<struct<mz:double,intensity:double>>")))).alias("p"))
+    return both.select("spectrum_id", "p.mz", R(F.col("p.intensity")).alias("intensity"))
+
+
+@query(f"""with {V.SPECTRA}, p as (select spectrum_id, count(*) as n, string_agg(printf('%.4f', mz) || chr(9) || printf('%.4f', intensity), chr(10) order by mz) as body from spectrum_peaks group by all)
+select 'NAME: Unknown' || chr(10) || 'ID: ' || vec_id || chr(10) || 'PRECURSORMZ: ' || printf('%.4f', vec_id * 1.5) || chr(10) || 'PRECURSORTYPE: ' || chr(10) || 'RETENTIONTIME: ' || printf('%.3f', label::double) || chr(10)
+ || 'FORMULA: ' || chr(10) || 'SMILES: ' || chr(10) || 'INCHIKEY: ' || chr(10) || 'Num Peaks: ' || coalesce(n, 0) || coalesce(chr(10) || body, '') as value from embeddings left join p on vec_id = spectrum_id""")
+def msp_export(spark, sf):
+    own = V.spectra(spark, sf).select(F.col("spectrum_id").alias("feature_id"), (F.col("spectrum_id") * 1.5).cast("double").alias("mz"), F.col("group_id").cast("double").alias("rt"), F.col("peaks").alias("ms2"))
+    return sinks.msp_entries(own)
+
+
+@query(f"""with {V.SPECTRA}, b as (select *, max(intensity) over (partition by spectrum_id) as top from spectrum_peaks), c as (select spectrum_id, mz, intensity / 2 / sum(intensity) over (partition by spectrum_id) as i from b where intensity >= top * 0.01),
+q as (select spectrum_id as fid, (spectrum_id % 50) * 10.0 as pm, group_id_of as rt, mz, i from c join (select vec_id, label::double as group_id_of from embeddings) on vec_id = spectrum_id where spectrum_id % 5 = 0),
+l as (select spectrum_id as lib, (spectrum_id % 50) * 10.0 as lm, g as lt, mz, i from c join (select vec_id, label::double as g from embeddings) on vec_id = spectrum_id where spectrum_id % 5 <> 0),
+d as (select fid, lib, q.mz as qm, l.mz as lmz, q.i as a, l.i as b, true as direct, pm, lm, q.rt as rt, lt from q join l on abs(q.mz - l.mz) < 0.015
+ union all select fid, lib, q.mz, l.mz, q.i, l.i, false, pm, lm, q.rt, lt from q join l on abs((pm - q.mz) - (lm - l.mz)) < 0.015),
+s as (select *, max(direct::int) over (partition by fid, lib, qm) + max(direct::int) over (partition by fid, lib, lmz) as seen, (a + b) * log2(a + b) - a * log2(a) - b * log2(b) as v from d),
+g as (select fid, lib, min(pm) as pm, min(lm) as lm, min(rt) as rt, min(lt) as lt, sum(case when direct then v end) as own, sum(v) as hybrid, sum(direct::int)::bigint as n from s where direct or seen = 0 group by all),
+m as (select *, case when abs(pm - lm) < 0.01 and abs(rt - lt) < 0.2 and own > 0.55 then 0 when abs(pm - lm) < 0.01 and own > 0.55 then 1 when hybrid > 0.55 then 2 end as mode from g),
+k as (select *, case when mode < 2 then own else hybrid end as sim, row_number() over (partition by fid order by mode, round(case when mode < 2 then own else hybrid end, 9) desc, lib) as k from m where mode is not null)
+select fid as feature_id, lib as lib_id, ['identity_search_with_rt', 'identity_search', 'fuzzy_search'][mode + 1] as search_mode, round(sim, 6) as similarity, n as n_matched from k where k = 1""")
+def library_search(spark, sf):
+    own = V.spectra(spark, sf).withColumns({"precursor_mz": (F.col("spectrum_id") % 50) * F.lit(10.0), "rt": F.col("group_id").cast("double")})
+    queries = own.where("spectrum_id % 5 = 0").withColumn("feature_id", F.col("spectrum_id"))
+    library = own.where("spectrum_id % 5 <> 0").withColumnsRenamed({"spectrum_id": "lib_id", "rt": "retention_time"})
+    found = annotation.search_library(queries, library, least=0.55)
+    return found.select("feature_id", "lib_id", "search_mode", R(F.col("similarity")).alias("similarity"), "n_matched")
+
+
+@query("with a as (select user_id, ts, case when ts - lag(ts) over w < interval 6 hour then 0 else 1 end as b from events window w as (partition by user_id order by ts)), s as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) as g from a) select user_id, min(ts) as start, max(ts) + interval 6 hour as \"end\", count(*) as n from s group by user_id, g")
+def session_labels(spark, sf):
+    from ..streaming.ingest import session_labels as labelled
+
+    return labelled(V.table(spark, sf, "events"), "6 hours", ["user_id"])
+
+
+@query()
+def isotope_distribution(spark, sf):
+    """The isotope pattern of each distinct formula."""
+
+    def patterns(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = [(f, i, mz, share) for f in frame.formula for i, (mz, share) in enumerate(chem.isotope_distribution(f, "[M+H]+"))]
+            yield pd.DataFrame(rows, columns=["formula", "place", "mz", "share"])
+
+    own = V.table(spark, sf, "part").select(F.expr(_FORMULA).alias("formula")).distinct()
+    return own.mapInPandas(patterns, "formula string, place long, mz double, share double").select("formula", "place", R(F.col("mz"), 4).alias("mz"), R(F.col("share"), 6).alias("share"))

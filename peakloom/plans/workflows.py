@@ -68,7 +68,8 @@ def batch_file_processing(spark: SparkSession, path: str, out: str, params: Para
 def align(spark: SparkSession, features: DataFrame, samples: DataFrame, params: Params, peaks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(aligned features, quantities) of per-file features: times corrected, matched in the order of the samples,
     filtered by scores and detection rate, merged, gaps filled from ``peaks`` (MS1, long form)."""
-    use = features.withColumn("fid", F.concat_ws("/", "sample_id", "feature_id")).where(F.col("ms2").isNotNull() | (F.col("total_scans") > params.scan_number_cutoff))
+    use = features.withColumn("fid", F.concat_ws("/", "sample_id", "feature_id"))
+    use = alignment.alignable(use, params.scan_number_cutoff)
     # exported values are rounded and alignment reads these
     use = use.withColumns({"mz": F.bround("mz", 4), "rt": F.bround("rt", 3), "gaussian_similarity": F.bround("gaussian_similarity", 2), "noise_score": F.bround("noise_score", 2)})
     if params.correct_rt:
