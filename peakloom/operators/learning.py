@@ -11,12 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sample_components(scaled: DataFrame, k: int = 2) -> DataFrame:
-    """Scores of samples on the first ``k`` principal components of the scaled matrix (feature_id, sample_id, z). The
-    Gram matrix of samples is summed up in the cluster; the driver decomposes it (samples squared numbers). The sign of
-    a component makes its largest score positive."""
+def products(scaled: DataFrame) -> DataFrame:
+    """sample_id, other_id, g: scalar products of samples over the features that both have."""
     other = scaled.select("feature_id", F.col("sample_id").alias("other_id"), F.col("z").alias("other_z"))
-    gram = scaled.join(other, "feature_id").groupBy("sample_id", "other_id").agg(F.sum(F.col("z") * F.col("other_z")).alias("g"))
+    return scaled.join(other, "feature_id").groupBy("sample_id", "other_id").agg(F.sum(F.col("z") * F.col("other_z")).alias("g"))
+
+
+def sample_components(scaled: DataFrame, k: int = 2) -> DataFrame:
+    """Scores of samples on the first ``k`` principal components of the scaled matrix (feature_id, sample_id, z), in
+    which missing cells are 0 (``impute_scale`` with ``relative``). The Gram matrix of samples is summed up in the
+    cluster; the driver centres and decomposes it (samples squared numbers). The sign of a component makes its largest
+    score positive."""
+    gram = products(scaled)
     rows = gram.collect()
     ids = sorted({r.sample_id for r in rows})
     at = {s: i for i, s in enumerate(ids)}
@@ -36,13 +42,17 @@ def sample_components(scaled: DataFrame, k: int = 2) -> DataFrame:
 
 
 def neighbours(scaled: DataFrame, k: int = 15) -> DataFrame:
-    """The exact k nearest samples of each, by Euclidean distance over features; what an embedding would start from."""
+    """The exact k nearest samples of each, by Euclidean distance over features; what an embedding would start from.
+    Missing cells are 0, as in :func:`sample_components`. The few samples are one row while pairs are listed."""
     from pyspark.sql import Window
 
-    other = scaled.select("feature_id", F.col("sample_id").alias("other_id"), F.col("z").alias("other_z"))
-    step = F.col("z") - F.col("other_z")
-    far = scaled.join(other, "feature_id").where("sample_id <> other_id").groupBy("sample_id", "other_id").agg(F.sqrt(F.sum(step * step)).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("sample_id").orderBy("distance", "other_id"))
+    gram = products(scaled)
+    own = gram.where("sample_id = other_id").select("sample_id", F.col("g").alias("own"))
+    every = own.agg(F.collect_list(F.struct(F.col("sample_id").alias("other_id"), F.col("own").alias("other_own"))).alias("every"))
+    pairs = own.join(F.broadcast(every)).select("sample_id", "own", F.inline("every")).where("sample_id <> other_id").join(gram, ["sample_id", "other_id"], "left")
+    squared = F.col("own") + F.col("other_own") - 2 * F.coalesce("g", F.lit(0.0))
+    far = pairs.select("sample_id", "other_id", F.sqrt(F.greatest(F.lit(0.0), squared)).alias("distance"))
+    rank = F.row_number().over(Window.partitionBy("sample_id").orderBy(F.round("distance", 9), "other_id"))
     return far.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 

@@ -91,16 +91,20 @@ def anova(matrix: DataFrame, samples: DataFrame, groups: Sequence) -> DataFrame:
     return out.select("feature_id", (F.col("k") - 1).alias("df_between"), (F.col("n") - F.col("k")).alias("df_within"), f.alias("f"))
 
 
-def impute_scale(matrix: DataFrame, n_samples: int) -> DataFrame:
-    """Positive intensities to log10 and z-scores (population) a feature; missing cells count as 0.2 of its least."""
+def impute_scale(matrix: DataFrame, n_samples: int, relative: bool = False) -> DataFrame:
+    """Positive intensities to log10 and z-scores (population) a feature; missing cells count as 0.2 of its least.
+    ``relative``: above the score of the feature's missing cells, which then are 0 and needn't be listed; differences of
+    samples and products of centred samples stay what they are."""
     v = F.log10("intensity")
     own = matrix.where("intensity > 0").withColumn("v", v)
-    s = own.groupBy("feature_id").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss"), F.log10(F.min("intensity") * 0.2).alias("fill"))
+    s = own.groupBy("feature_id").agg(F.count("*").alias("n"), F.avg("v").alias("a"), F.var_pop("v").alias("var"), F.log10(F.min("intensity") * 0.2).alias("fill"))
     missing = F.lit(n_samples) - F.col("n")
-    mean = (F.col("s") + missing * F.col("fill")) / n_samples
-    s = s.withColumn("mean", mean).withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), (F.col("ss") + missing * F.col("fill") * F.col("fill")) / n_samples - F.col("mean") * F.col("mean"))))
-    z = F.try_divide(F.col("v") - F.col("mean"), F.nullif(F.round("sd", 9), F.lit(0.0)))
-    return own.join(s.select("feature_id", "mean", "sd"), "feature_id").select("feature_id", "sample_id", F.coalesce(z, F.lit(0.0)).alias("z"))
+    # moments of the cells there are and of equal missing ones, put together without a difference of large sums
+    step = F.col("a") - F.col("fill")
+    s = s.withColumn("mean", (F.col("n") * F.col("a") + missing * F.col("fill")) / n_samples)
+    s = s.withColumn("sd", F.sqrt(F.col("n") * (F.col("var") + missing * step * step / n_samples) / n_samples))
+    z = F.try_divide(F.col("v") - F.col("fill" if relative else "mean"), F.nullif(F.round("sd", 9), F.lit(0.0)))
+    return own.join(s.select("feature_id", "mean", "sd", "fill"), "feature_id").select("feature_id", "sample_id", F.coalesce(z, F.lit(0.0)).alias("z"))
 
 
 def best_k(scores: DataFrame, k: int, score: str = "f") -> DataFrame:

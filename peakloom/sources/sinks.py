@@ -50,8 +50,9 @@ def aligned_tsv(aligned: DataFrame, quant: DataFrame, names: Sequence[str], path
 def msp_entries(features: DataFrame, with_id: bool = True, keep_empty: bool = True) -> DataFrame:
     """MSP text of features (feature_id, mz, rt, ms2 and optional adduct, annotation, smiles, inchikey, formula)."""
     get = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in features.columns else F.lit("")
+    number = lambda v: F.format_string("%.4f", F.bround(v.cast("double"), 4))
     n = F.coalesce(F.size("ms2"), F.lit(0))
-    lines = F.transform("ms2", lambda p: F.concat(F.format_string("%.4f", p["mz"].cast("double")), F.lit("\t"), F.format_string("%.4f", p["intensity"].cast("double"))))
+    lines = F.transform("ms2", lambda p: F.concat(number(p["mz"]), F.lit("\t"), number(p["intensity"])))
     head = [F.concat(F.lit("ID: "), get("feature_id"))] * with_id
     parts = [F.concat(F.lit("NAME: "), F.coalesce(F.nullif(get("annotation"), F.lit("")), F.lit("Unknown"))), *head, F.concat(F.lit("PRECURSORMZ: "), F.format_string("%.4f", F.col("mz"))), F.concat(F.lit("PRECURSORTYPE: "), get("adduct")), F.concat(F.lit("RETENTIONTIME: "), F.format_string("%.3f", F.col("rt"))), *[F.concat(F.lit(f"{k.upper()}: "), get(k)) for k in ("formula", "smiles", "inchikey")], F.concat(F.lit("Num Peaks: "), F.greatest(n, F.lit(0)).cast("string"))]
     rows = features if keep_empty else features.where(n > 0)

@@ -107,3 +107,20 @@ def test_incomplete_beta():
     assert statistics.incomplete_beta(0.5, 0.5, np.array([0.0, 1.0])) == pytest.approx([0, 1])
     t, df = 2.0, 10.0
     assert statistics.incomplete_beta(df / 2, 0.5, df / (df + t * t)) == pytest.approx(0.07338803)
+
+
+def test_components_and_neighbours_count_missing_cells(spark):
+    from peakloom.operators import learning, statistics
+
+    rng = np.random.default_rng(3)
+    dense = np.where(rng.random((40, 6)) < 0.3, 0.0, rng.lognormal(5, 1, (40, 6)))
+    dense[0] = 7.0  # constant
+    rows = [(i, j, float(dense[i, j])) for i in range(40) for j in range(6) if dense[i, j] > 0]
+    scaled = statistics.impute_scale(spark.createDataFrame(rows, "feature_id long, sample_id long, intensity double"), 6, relative=True)
+    full = np.log10(np.where(dense > 0, dense, 0.2 * np.where(dense > 0, dense, np.inf).min(axis=1, keepdims=True)))
+    z = (full - full.mean(axis=1, keepdims=True)) / np.where(full.std(axis=1, keepdims=True) < 1e-9, 1, full.std(axis=1, keepdims=True))
+    _, s, vt = np.linalg.svd(z - z.mean(axis=1, keepdims=True), full_matrices=False)
+    found = learning.sample_components(scaled).orderBy("sample_id").collect()
+    assert np.allclose(np.abs([r.pc1 for r in found]), np.abs(vt[0] * s[0]), atol=1e-6) and np.allclose(np.abs([r.pc2 for r in found]), np.abs(vt[1] * s[1]), atol=1e-6)
+    for r in learning.neighbours(scaled, 5).collect():
+        assert np.isclose(r.distance, np.linalg.norm(z[:, r.sample_id] - z[:, r.other_id]))
