@@ -42,9 +42,9 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, left_on: str, right
     a = left.select(*equi, F.col(left_on).cast("double").alias("_at"), F.col(left_id).alias("_key"), F.lit(None).cast(hit).alias("_hit"))
     b = right.select(*equi, F.col(right_on).cast("double").alias("_at"), F.struct(F.col(right_on).cast("double").alias("at"), F.col(right_id).cast("long").alias("id")).alias("_hit"))
     b = b.groupBy(*equi, "_at").agg(F.min("_hit").alias("_hit")).withColumn("_key", F.lit(None).cast(dict(left.dtypes)[left_id]))
-    order = Window.partitionBy(*equi).orderBy("_at", F.col("_hit").isNull())
-    back = F.last("_hit", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_hit", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # both windows grow from their start: a frame that ends at the partition's end would be gone through again by each row
+    before = lambda at: F.last("_hit", True).over(Window.partitionBy(*equi).orderBy(at, F.col("_hit").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    back, ahead = before(F.col("_at")), before(F.col("_at").desc())
     found = a.unionByName(b).withColumn("_back", back).withColumn("_ahead", ahead).where("_key is not null")
     pick = F.when(F.col("_ahead").isNull() | (F.col("_at") - F.col("_back.at") <= F.col("_ahead.at") - F.col("_at")), F.col("_back")).otherwise(F.col("_ahead"))
     hits = found.select(F.col("_key").alias(left_id), pick["id"].alias(right_id))
