@@ -15,12 +15,13 @@ from .sources import projects
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="peakloom")
     verbs = parser.add_subparsers(dest="verb", required=True)
-    for name in ("untargeted", "batch", "sample-table", "timestamps", "outliers"):
+    for name in ("untargeted", "batch", "sample-table", "timestamps", "outliers", "build-classifier"):
         p = verbs.add_parser(name)
-        p.add_argument("data", help="folder of raw files; for outliers, of feature Parquet")
+        p.add_argument("data", help="folder of raw files; for outliers, of feature Parquet; for build-classifier, of the long matrix in Parquet")
         p.add_argument("--out", default="output")
         p.add_argument("--params", help="CSV of parameters")
         p.add_argument("--samples", help="CSV of samples")
+        p.add_argument("--group", default="group", help="column of the sample table to classify by")
     args = parser.parse_args(sys.argv[1:] if argv is None else argv)
     spark = SparkSession.builder.appName("peakloom").getOrCreate()
     params = read_params(spark, args.params) if args.params else Params()
@@ -32,6 +33,16 @@ def main(argv: list[str] | None = None) -> int:
         projects.sample_table(spark, args.data).coalesce(1).write.mode("overwrite").csv(args.out, header=True)
     elif args.verb == "timestamps":
         projects.timestamps(spark, args.data).coalesce(1).write.mode("overwrite").csv(args.out, header=True)
+    elif args.verb == "build-classifier":
+        from pyspark.ml.feature import StringIndexer
+        from pyspark.sql import functions as F
+
+        samples = projects.read_samples(spark, args.samples).where(F.col(args.group).isNotNull() & ~F.col("is_qc") & ~F.col("is_blank"))
+        labels = StringIndexer(inputCol=args.group, outputCol="label", stringOrderType="alphabetAsc").fit(samples).transform(samples).select("sample_id", "label", args.group)
+        model, columns, _ = workflows.build_classifier(spark.read.parquet(args.data), labels)
+        model.write().overwrite().save(f"{args.out}/model")
+        columns.write.mode("overwrite").parquet(f"{args.out}/columns")
+        labels.select("label", args.group).distinct().coalesce(1).write.mode("overwrite").csv(f"{args.out}/groups", header=True)
     else:
         found = workflows.run_evaluation(spark.read.parquet(args.data), projects.read_samples(spark, args.samples))
         found.coalesce(1).write.mode("overwrite").csv(args.out, header=True)

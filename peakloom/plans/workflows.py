@@ -167,6 +167,7 @@ def untargeted(spark: SparkSession, data_dir: str, out: str, params: Params | No
     names = [r.sample_id for r in runs.orderBy("align_order").select("sample_id").collect()]  # one row a file
     sinks.aligned_tsv(aligned, quant, names, f"{out}/aligned_feature_table", params.quant_method)
     sinks.msp(aligned, f"{out}/features.msp")
+    sinks.run_record(runs, errors, params.to_json(), f"{out}/run_record")
     return {"features": features, "aligned": aligned, "quant": quant, "matrix": matrix, "runs": runs, "errors": errors}
 
 
@@ -175,13 +176,32 @@ def run_evaluation(features: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def build_classifier(matrix: DataFrame, labels: DataFrame, k: int | None = None):
-    """A fitted model and the ids of its columns, of a long matrix and labels (sample_id, label double). Missing cells
-    are half the feature's least value."""
+    """(model, columns, rows) of a long matrix and labels (sample_id, label double). ``columns`` (known_id, place, fill)
+    are the model's inputs: missing cells are half the feature's least value. A tenth of the features, five at least, are
+    chosen by ANOVA F inside the model."""
+    least = {r.feature_id: r.least / 2 for r in matrix.where("intensity > 0").groupBy("feature_id").agg(F.min("intensity").alias("least")).collect()}  # as many as the model has columns
+    columns = [(f, place, float(least[f])) for place, f in enumerate(sorted(least))]
+    kind = dict(matrix.dtypes)["feature_id"]
+    rows = _model_rows(matrix.withColumnRenamed("feature_id", "known_id"), columns).join(labels, "sample_id")
+    return learning.classifier(len(columns), k).fit(rows), matrix.sparkSession.createDataFrame(columns, f"known_id {kind}, place int, fill double"), rows
+
+
+def _model_rows(matrix: DataFrame, columns: list[tuple]) -> DataFrame:
+    """sample_id and the vector of its values at ``columns`` (known_id, place, fill), by name."""
     from pyspark.ml.functions import array_to_vector
 
-    least = {r.feature_id: r.least / 2 for r in matrix.where("intensity > 0").groupBy("feature_id").agg(F.min("intensity").alias("least")).collect()}  # as many as the model has columns
-    ids = sorted(least)
-    wide = matrix.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", F.col("intensity").cast("double")))).alias("m"))
-    values = F.array(*[F.coalesce(F.try_element_at("m", F.lit(i)), F.lit(float(least[i]))) for i in ids])
-    rows = wide.select("sample_id", array_to_vector(values).alias("features")).join(labels, "sample_id")
-    return learning.classifier(len(ids), k).fit(rows), ids, rows
+    wide = matrix.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("known_id", F.col("intensity").cast("double")))).alias("m"))
+    values = F.array(*[F.coalesce(F.nullif(F.try_element_at("m", F.lit(f)), F.lit(0.0)), F.lit(fill)) for f, _, fill in columns])
+    return wide.select("sample_id", array_to_vector(values).alias("features"))
+
+
+def predict_samples(model, columns: DataFrame, known: DataFrame, features: DataFrame, matrix: DataFrame, *, mz_tol: float = 0.01, rt_tol: float = 0.3) -> DataFrame:
+    """Predicted class of each sample of another study: its features (feature_id, mz, rt) are matched to the model's
+    (``known``: known_id, known_mz, known_rt) by m/z and time; those without a match count as missing."""
+    listed = [(r.known_id, r.place, r.fill) for r in columns.orderBy("place").collect()]  # the model's inputs
+    matched = learning.match_to_model(features, known, mz_tol, rt_tol).where("feature_id is not null").select("known_id", "feature_id")
+    own = matrix.join(sized(matched), "feature_id").select("sample_id", "known_id", "intensity")
+    # samples without any match stay, with all values missing
+    own = matrix.select("sample_id").distinct().join(own, "sample_id", "left").withColumn("known_id", F.coalesce("known_id", F.lit(listed[0][0]))).withColumn("intensity", F.coalesce("intensity", F.lit(0.0)))
+    best = own.groupBy("sample_id", "known_id").agg(F.max("intensity").alias("intensity"))
+    return model.transform(_model_rows(best, listed)).select("sample_id", "prediction", "probability")

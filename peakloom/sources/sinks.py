@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import encode_spectrum
+from ..functions.arrays import decode_spectrum, encode_spectrum
 from ..schema import EXPORTED_ALIGNED_COLUMNS, EXPORTED_FEATURE_COLUMNS
 
 _DIGITS = {"m/z": 4, "RT": 3, "RT_start": 3, "RT_end": 3, "Gaussian_similarity": 2, "noise_score": 2, "asymmetry_factor": 2, "similarity": 4, "scan_scan_cor": 3, "detection_rate": 2, "detection_rate_gap_filled": 2, "precursor_ion_fraction": 2}
@@ -75,3 +75,29 @@ def mirror(query: Column, reference: Column) -> Column:
     top = lambda p: F.array_max(F.transform(p, lambda x: x["intensity"]))
     scaled = lambda p, sign: F.transform(p, lambda x: F.struct(x["mz"].alias("mz"), (x["intensity"] / top(p) * sign).alias("intensity")))
     return F.concat(scaled(query, 1.0), scaled(reference, -1.0))
+
+
+def read_features_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """An exported table with the engine's own names and types: numbers where all but text columns are concerned, and
+    spectra as arrays of peaks."""
+    raw = spark.read.csv(path, sep="\t", header=True)
+    text = {"adduct", "search_mode", "annotation", "formula", "SMILES", "InChIKey", "database", "peak_shape", "alignment_reference_file", "MS2_reference_file", "group_ID", "feature_ID", "isotope_state"}
+    flags, spectra = {"is_isotope", "is_in_source_fragment"}, {"MS2", "isotopes", "matched_MS2"}
+
+    def one(name: str) -> Column:
+        value, as_name = F.col(f"`{name}`"), _NAMES.get(name, name).lower()
+        if name in spectra:
+            return F.when(value.isNotNull(), decode_spectrum(value)).alias(as_name)
+        if name in flags:
+            return (F.lower(value) == "true").alias(as_name)
+        return value.alias(as_name) if name in text else value.try_cast("double").alias(as_name)
+
+    return raw.select(*[one(c) for c in raw.columns])
+
+
+def run_record(runs: DataFrame, errors: DataFrame, parameters: str, path: str) -> None:
+    """What a run was made with and how it went, as JSON: a line for the parameters and one for each file."""
+    files = runs.join(errors.select("sample_id", "step", "message"), "sample_id", "full_outer")
+    state = files.select(F.to_json(F.struct(*files.columns, F.when(F.col("message").isNull(), "done").otherwise("failed").alias("status"))).alias("value"))
+    head = runs.sparkSession.createDataFrame([(parameters.replace("\n", ""),)], "value string")
+    head.unionByName(state).write.mode("overwrite").text(path)

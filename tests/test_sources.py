@@ -175,3 +175,26 @@ def test_sinks(spark, tmp_path):
         sinks.msp(rows, str(tmp_path / "x.txt"))
     sinks.msp(rows, str(tmp_path / "x.msp"))
     assert spectra.lookup(rows, 100.0, 0.01).count() == 1
+
+
+def test_exported_table_reads_back(spark, tmp_path):
+    rows = [("1", 100.12345, 1.5, [(50.5, 10.0), (60.25, 20.0)], True), ("2", 200.0, 2.25, None, False)]
+    own = spark.createDataFrame(rows, "feature_id string, mz double, rt double, ms2 array<struct<mz:double,intensity:double>>, is_isotope boolean")
+    sinks.exported(own, ["feature_ID", "m/z", "RT", "MS2", "is_isotope", "annotation"]).write.csv(str(tmp_path / "t"), sep="\t", header=True)
+    back = {r.feature_id: r for r in sinks.read_features_tsv(spark, str(tmp_path / "t")).collect()}
+    assert (back["1"].mz, back["1"].rt, back["1"].is_isotope) == (100.1234, 1.5, True) and [tuple(p) for p in back["1"].ms2] == [(50.5, 10.0), (60.25, 20.0)]
+    assert back["2"].ms2 is None and back["2"].annotation is None and not back["2"].is_isotope
+
+
+def test_classifier_predicts_another_study(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    values = lambda shift: [(f, s, float(rng.lognormal(5, 0.2) * (4 if f < 5 and s % 2 else 1)), shift) for f in range(12) for s in range(30) if (f + s) % 11]
+    matrix = spark.createDataFrame(values(0), "feature_id long, sample_id long, intensity double, shift int").drop("shift")
+    labels = spark.createDataFrame([(s, float(s % 2)) for s in range(30)], "sample_id long, label double")
+    model, columns, rows = workflows.build_classifier(matrix, labels)
+    assert columns.count() == 12 and rows.count() == 30
+    known = spark.createDataFrame([(f, 100.0 + f, 1.0) for f in range(12)], "known_id long, known_mz double, known_rt double")
+    other = spark.createDataFrame([(500 + f, 100.001 + f, 1.1) for f in range(11)], "feature_id long, mz double, rt double")
+    again = spark.createDataFrame([(500 + f, s, v) for f, s, v, _ in values(1)] + [(999, 77, 5.0)], "feature_id long, sample_id long, intensity double")
+    found = {r.sample_id: r.prediction for r in workflows.predict_samples(model, columns, known, other, again).collect()}
+    assert len(found) == 31 and sum(found[s] == s % 2 for s in range(30)) >= 28
