@@ -43,7 +43,7 @@ def sample_components(scaled: DataFrame, k: int = 2) -> DataFrame:
 
 def neighbours(scaled: DataFrame, k: int = 15) -> DataFrame:
     """The exact k nearest samples of each, by Euclidean distance over features; what an embedding would start from.
-    Missing cells are 0, as in :func:`sample_components`. The few samples are one row while pairs are listed."""
+    Missing cells are 0, as in :func:`sample_components`; a sample without any row is not known and left out. The few samples are one row while pairs are listed."""
     from pyspark.sql import Window
 
     gram = products(scaled)

@@ -525,7 +525,7 @@ def mzrt_annotate(spark, sf):
 @query(f"""with {V.MATRIX}, f as (select feature_id, log10(min(intensity) * 0.2) as fill from matrix where intensity > 0 group by all),
 c as (select f.feature_id, s.sample_id, coalesce(log10(nullif(m.intensity, 0)), fill) as v from f cross join samples s left join matrix m on m.feature_id = f.feature_id and m.sample_id = s.sample_id),
 z as (select feature_id, sample_id, coalesce((v - avg(v) over w) / nullif(round(stddev_pop(v) over w, 9), 0), 0) as z from c window w as (partition by feature_id)),
-d as (select a.sample_id, b.sample_id as other_id, sqrt(sum(pow(a.z - b.z, 2))) as distance from z a join z b on a.feature_id = b.feature_id and a.sample_id <> b.sample_id group by all),
+d as (select a.sample_id, b.sample_id as other_id, sqrt(sum(pow(a.z - b.z, 2))) as distance from z a join z b on a.feature_id = b.feature_id and a.sample_id <> b.sample_id where a.sample_id in (select sample_id from matrix) and b.sample_id in (select sample_id from matrix) group by all),
 k as (select *, row_number() over (partition by sample_id order by round(distance, 9), other_id) as rank from d) select sample_id, other_id, round(distance, 4) as distance, rank from k where rank <= 5""")
 def sample_neighbours(spark, sf):
     return learning.neighbours(statistics.impute_scale(V.matrix(spark, sf), 20, relative=True), 5).withColumn("distance", R(F.col("distance"), 4))
