@@ -198,3 +198,18 @@ def test_classifier_predicts_another_study(spark, tmp_path):
     again = spark.createDataFrame([(500 + f, s, v) for f, s, v, _ in values(1)] + [(999, 77, 5.0)], "feature_id long, sample_id long, intensity double")
     found = {r.sample_id: r.prediction for r in workflows.predict_samples(model, columns, known, other, again).collect()}
     assert len(found) == 31 and sum(found[s] == s % 2 for s in range(30)) >= 28
+
+
+def test_grouping_by_chromatograms_of_the_reference_file(spark):
+    from peakloom.functions import chem
+    from peakloom.operators import detection
+
+    sodium = 100.0 - chem.BY_NAME["[M+H]+"][2] + chem.BY_NAME["[M+Na]+"][2]
+    up, down = [1.0, 2.0, 5.0, 2.0, 1.0], [5.0, 2.0, 1.0, 2.0, 5.0]
+    peaks = [(s, i, 1.0 + i * 0.01, m, v) for s, other in (("a", up), ("b", down)) for i in range(5) for m, v in ((100.0, up[i]), (sodium, other[i]))]
+    peaks = spark.createDataFrame(peaks, "sample_id string, scan_id int, rt double, mz double, intensity double")
+    for reference, n_groups in (("a", 1), ("b", 2)):
+        rows = spark.createDataFrame([(0, "x", 100.0, 1.02, 9.0, reference), (0, "y", sodium, 1.02, 5.0, reference)], "sample_id int, fid string, mz double, rt double, height double, reference string")
+        found = detection.group_ions(detection.pair_correlations(rows, peaks)).collect()
+        assert len({r.group_id for r in found}) == n_groups
+        assert {r.fid: r.adduct for r in found}["y"] == ("[M+Na]+" if n_groups == 1 else "[M+H]+")
