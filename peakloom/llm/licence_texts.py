@@ -1,4 +1,8 @@
-"""Short public licence texts, as their bodies read without copyright lines."""
+"""Public licence texts: short ones as their bodies read without copyright lines, and long ones from licence_bodies."""
+
+from __future__ import annotations
+
+from importlib import resources
 
 _AS_IS = '''THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
 IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
@@ -87,3 +91,53 @@ KNOWN: dict[str, str] = {
     "Zlib": "zlib License\n\n" + _ZLIB,
     "Zlib (body)": _ZLIB,
 }
+
+#: More titles under which the short texts are handed on.
+_TITLED = {
+    "MIT": (_MIT, ("The MIT License", "The MIT License (MIT)", "MIT License (MIT)")),
+    "BSD-2-Clause (titled)": (_BSD + _BSD_END, ("BSD 2-Clause \"Simplified\" License", "The 2-Clause BSD License", "Simplified BSD License")),
+    "BSD-3-Clause (titled)": (_BSD + _BSD_THIRD + _BSD_END, ("BSD 3-Clause \"New\" or \"Revised\" License", "The 3-Clause BSD License", "New BSD License")),
+    "ISC": (_ISC + ", provided that the above\ncopyright notice and this permission notice appear in all copies." + _ISC_END, ("The ISC License",)),
+    "Zlib": (_ZLIB, ("The zlib License",)),
+}
+#: Notices that stand for a licence: (license_id, file of licence_bodies or None, first words, last words).
+_NOTICES = (
+    ("Apache-2.0", "Apache-2.0", "Licensed under the Apache License, Version 2.0 (the", "limitations under the License."),
+    ("GPL-1.0", "GPL-1.0", "This program is free software; you can", "USA"),
+    ("GPL-2.0", "GPL-2.0", "This program is free software; you can", "USA"),
+    ("GPL-3.0", "GPL-3.0", "This program is free software: you can", "<https://www.gnu.org/licenses/>."),
+    ("LGPL-2.0", "LGPL-2.0", "This library is free software; you can", "USA"),
+    ("LGPL-2.1", "LGPL-2.1", "This library is free software; you can", "USA"),
+    ("MPL-2.0", "MPL-2.0", "This Source Code Form is subject to the terms", "http://mozilla.org/MPL/2.0/."),
+    ("Apache-2.0", None, "Licensed under the Apache License, Version 2.0.", ""),
+    ("CC-BY-NC-4.0", None, "Licensed under CC BY-NC 4.0.", ""),
+    ("GPL-3.0", None, "This work is licensed under the GNU General Public License, version 3.", ""),
+    ("MIT", None, "Released under the MIT License.", ""),
+)
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def bodies() -> dict[str, str]:
+    """Texts of the files in licence_bodies by file name; what follows a ``~`` tells editions of one licence apart."""
+    folder = resources.files(__package__) / "licence_bodies"
+    return {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of everything that is looked up: KNOWN, more titles, whole long texts with and without what
+    follows their terms, and standard notices."""
+    out = list(KNOWN.items())
+    out += [(name, f"{title}\n\n{body}") for name, (body, titles) in _TITLED.items() for title in titles]
+    long = bodies()
+    for name, text in long.items():
+        out.append((name.split("~")[0], text))
+        if _END in text:
+            terms = text[: text.index(_END)]
+            out += [(name.split("~")[0], terms), (name.split("~")[0], terms + _END)]
+    for name, file, first, last in _NOTICES:
+        text = first
+        if file:
+            start = long[file].index(first)
+            text = long[file][start : long[file].index(last, start) + len(last)]
+        out.append((f"{name} (notice)", text))
+    return out

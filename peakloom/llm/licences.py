@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .licence_texts import KNOWN
+from .licence_texts import KNOWN, known_texts
 
 #: Spellings that mean the same, as words of the normalised text.
 SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("organisation", "organization"), ("authorised", "authorized"), ("favour", "favor"), ("noninfringement", "non infringement"), ("whilst", "while"), ("modelled", "modeled"), ("http", "https"))
@@ -36,7 +36,7 @@ def canonical_sql(text: str) -> str:
 
 def known_licences(spark: SparkSession) -> DataFrame:
     """license_id and digest of the built-in texts; one row a digest."""
-    texts = spark.createDataFrame(list(KNOWN.items()), "license_id string, body string")
+    texts = spark.createDataFrame(known_texts(), "license_id string, body string")
     return texts.select("license_id", F.sha2(canonical(F.col("body")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 

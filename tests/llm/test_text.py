@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from peakloom.llm import decontaminate, licences, pii, secrets
-from peakloom.llm.licence_texts import KNOWN
+from peakloom.llm.licence_texts import KNOWN, bodies
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -136,3 +136,15 @@ def test_licences(spark, odd, none):
     n = len(KNOWN)
     assert [found[n + k] for k in range(5)] == ["MIT (body)", None, None, None, None]
     assert licences.scan(odd, licences.known_licences(spark)).count() == 11 and licences.scan(none, licences.known_licences(spark)).count() == 0
+
+
+def test_long_licences_and_notices(spark):
+    long = bodies()
+    apache = long["Apache-2.0"]
+    cases = [(text, name.split("~")[0]) for name, text in long.items()]
+    cases += [(apache[: apache.index("APPENDIX")], "Apache-2.0"), ("Licensed under CC BY-NC 4.0.\n", "CC-BY-NC-4.0 (notice)"), ("The MIT License (MIT)\n\nCopyright (c) 2020 Some One\n\n" + KNOWN["MIT (body)"], "MIT")]
+    cases += [(apache[: len(apache) // 2], None), ("Some words.\nLicensed under CC BY-NC 4.0.", None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    found = {r.doc_id: r.license_id for r in licences.scan(df, licences.known_licences(spark)).collect()}
+    assert [found[i] for i in range(len(cases))] == [name for _, name in cases]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0"} <= set(found.values())
