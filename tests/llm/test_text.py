@@ -148,3 +148,18 @@ def test_long_licences_and_notices(spark):
     found = {r.doc_id: r.license_id for r in licences.scan(df, licences.known_licences(spark)).collect()}
     assert [found[i] for i in range(len(cases))] == [name for _, name in cases]
     assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0"} <= set(found.values())
+
+
+def test_licences_at_any_width(spark):
+    import textwrap
+
+    from peakloom.llm.licence_texts import known_texts
+
+    flat = [(name, " ".join(text.split())) for name, text in known_texts()]
+    cases = [(name, textwrap.fill(t, width, break_long_words=False, break_on_hyphens=False)) for name, t in flat for width in (30, 47, 72, 79, 100, 10**6)]
+    body, isc = " ".join(KNOWN["MIT (body)"].split()), " ".join(KNOWN["ISC (body)"].split())
+    cases += [("MIT", f"MIT License Copyright (c) 2020-2021 Some One {body}"), ("ISC (body)", f"Copyright © 2020 Some One, All rights reserved. {isc}"), ("MIT (body)", f"Copyright 2019 A B\nCopyright (c) 2020 C\nD {body}")]
+    cases += [(None, isc.replace("copyright notice and this", "words and this")), (None, "Copyright (c) 2020 Some One"), (None, f"copyright holders {body}")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    found = {r.doc_id: r.license_id for r in licences.scan(df, licences.known_licences(spark)).collect()}
+    assert not [(i, found[i], name) for i, (name, _) in enumerate(cases) if found[i] != name]
