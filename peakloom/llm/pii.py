@@ -46,8 +46,13 @@ _HOSTS = rf"[a-z0-9-]+(?:[\s_-]dot[\s_-][a-z0-9-]+)*?[\s_-]dot[\s_-]{_TLD}"
 #: Disguises in brackets, and bare words where a whole host name that ends in a known top level follows.
 _AT = re.compile(rf"(?i)\s{{0,2}}[\[({{<]\s{{0,2}}(?:at|arroba|@)\s{{0,2}}[\])}}>]\s{{0,2}}|(?<=[a-z0-9])[\s_-]at[\s_-](?=[a-z0-9-]+\s{{0,2}}[\[({{<]\s{{0,2}}(?:dot|punto|punkt|point|\.)|{_HOSTS}|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.{_TLD})")
 _DOT = re.compile(rf"(?i)\s{{0,2}}[\[({{<]\s{{0,2}}(?:dot|punto|punkt|point|\.)\s{{0,2}}[\])}}>]\s{{0,2}}|(?<=[a-z0-9])[\s_-]dot[\s_-](?=(?:[a-z0-9-]+[\s_-]dot[\s_-])*?{_TLD}|[a-z0-9.]+@)")
-_BRACKET = re.compile(r"[\[({<]\s{0,2}(?:at|arroba|@|dot|punto|punkt|point|\.)\s{0,2}[\])}>]|[\s_-]dot[\s_-]|[\s_-]at[\s_-][a-z0-9-]{1,63}\.")
-_HINT = ("dot", "[at", "(at", "{at", "<at", "[ at", "( at", " at ", "arroba", "punto", "punkt", "point", "(.", "[.", "[@", "(@", "( .", "[ .", "[ @", "( @")
+#: What any match of _AT or _DOT holds, and any run that _spelled takes, in small letters; both begin with a set of
+#: characters, which is fast to scan for.
+_JOINED = re.compile(r"[\[({<\s_-](?:(?<=[\[({<])\s{0,2}(?:at|arroba|@|dot|punto|punkt|point|\.)\s{0,2}[\])}>]|(?<=[\s_-])(?:dot[\s_-]|at[\s_-][a-z0-9-]+(?:\.[a-z0-9-]+)+))")
+_THREE = re.compile(rf"{_NAME}(?:[\s,.·-]{{1,2}}(?:{_NAME}|[0-9])){{2,}}")
+#: Characters kept on both sides of a mark; more where an identifier reaches the edge.
+_MARGIN = 96
+
 
 def _emails(text: str) -> list[tuple[int, int]]:
     """Leftmost non-overlapping addresses, found from each ``@``: what stands before it is one run of local
@@ -142,15 +147,22 @@ def _spelled(m: re.Match):
     return found if len(found) >= 3 else None
 
 
-def _windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of the text around anything that a transducer rewrites; most texts have none."""
+def _marks(text: str) -> list[tuple[int, int]]:
+    """Places of anything that a transducer rewrites; most texts have none."""
     marks = [m.span() for m in _ODD.finditer(text)] if not text.isascii() else []
-    low = text.lower() if len(text.lower()) == len(text) else text
-    marks += [m.span() for m in _BRACKET.finditer(low)] if any(map(low.__contains__, _HINT)) else []
-    marks += [m.span() for m in _SPELLED.finditer(low) if len(m[0]) >= 11] if sum(map(low.count, _DIGITS)) >= 3 else []
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+    marks += [m.span() for m in _JOINED.finditer(low)]
+    marks += [m.span() for m in _THREE.finditer(low)]
+    return sorted(marks)
+
+
+def _windows(text: str, marks: list[tuple[int, int]], margin: int) -> list[tuple[int, int]]:
+    """Stretches of the text around the marks."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted(marks):
-        a, b = max(0, a - 96), min(len(text), b + 96)
+    for a, b in marks:
+        a, b = max(0, a - margin), min(len(text), b + margin)
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -158,10 +170,10 @@ def _windows(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans that show only in the normalised text and touch no plain span of their kind."""
+def _found(text: str, windows: list[tuple[int, int]], plain: list[tuple[str, int, int]]) -> set[tuple[str, int, int]] | None:
+    """Spans of the normalised windows that touch no plain span of their kind; None if an edge may have cut one."""
     out = set()
-    for left, right in _windows(text):
+    for left, right in windows:
         tape = _Tape(text[left:right])
         tape.rewrite(_ODD, lambda m: [(_LOOKS.get(m[0], ""), 0, 1)] if _LOOKS.get(m[0]) else [])
         tape.rewrite(_AT, lambda m: [("@", 0, len(m[0]))])
@@ -171,9 +183,20 @@ def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[
             for a, b in _FINDERS[kind](tape.text):
                 s, e = tape.source(a, b)
                 s, e = s + left, e + left
-                # a stretch's edge may cut an identifier; and what was plain already is not a new find
-                if (s > left or left == 0) and (e < right or right == len(text)) and not any(k == kind and x < e and s < y for k, x, y in plain):
-                    out.add((kind, s, e))
+                # what was plain already is not a new find
+                if any(k == kind and x < e and s < y for k, x, y in plain):
+                    continue
+                if (left > 0 and not text[left:s].strip(" -")) or (right < len(text) and not text[e:right].strip(" ().-")):
+                    return None
+                out.add((kind, s, e))
+    return out
+
+
+def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans that show only in the normalised text and touch no plain span of their kind."""
+    marks, margin = _marks(text), _MARGIN
+    while (out := _found(text, _windows(text, marks, margin), plain)) is None:
+        margin *= 4
     kept: list[tuple[str, int, int]] = []
     for kind in KINDS:
         free = 0

@@ -163,3 +163,32 @@ def test_licences_at_any_width(spark):
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
     found = {r.doc_id: r.license_id for r in licences.scan(df, licences.known_licences(spark)).collect()}
     assert not [(i, found[i], name) for i, (name, _) in enumerate(cases) if found[i] != name]
+
+
+@pytest.mark.parametrize("text, kind, span", [
+    ("mail john_at_example.com now", "email", "john_at_example.com"),
+    ("x john-at-example.com y", "email", "john-at-example.com"),
+    ("john\tat\texample.com", "email", "john\tat\texample.com"),
+    ("john{@}example.com", "email", "john{@}example.com"),
+    ("john@example{.}com", "email", "john@example{.}com"),
+    ("john< @ >example.com", "email", "john< @ >example.com"),
+    ("İ JOHN_AT_EXAMPLE.COM", "email", "JOHN_AT_EXAMPLE.COM"),
+    ("+1 202 555 one 2 3 4", "phone", "+1 202 555 one 2 3 4"),
+    ("word " * 50 + "a" * 200 + "_at_example.com " + "word " * 50, "email", "a" * 200 + "_at_example.com"),
+])
+def test_disguises_behind_gates(text, kind, span):
+    _, every = pii.spans_of(text)
+    assert [(k, text[a:b]) for k, a, b in every] == [(kind, span)]
+
+
+PARTS = ["john", "ann", "example", "com", "at", "dot", "AT", "arroba", "punto", "@", ".", "[", "]", "(", ")", "{", "}", "<", ">", " ", "  ", "\t", "_", "-", "one", "Two", "oh", "3", "+1 202 555", "4844", ",", "е", "​", "x " * 60]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=24))
+def test_gates_lose_nothing(parts):
+    text = "".join(parts)
+    plain = pii.base_spans(text)
+    whole = pii._found(text, [(0, len(text))], plain)
+    assert pii._found(text, pii._windows(text, pii._marks(text), len(text)), plain) == whole
+    assert set(pii.disguised_spans(text, plain)) == whole
