@@ -19,16 +19,22 @@ ASSIGN = r"""((?i)password|passwd|secret|token|api_?key(?-i))["']?\x20*[:=]\x20*
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-#: (class, what the whole candidate looks like, window, least bits): the first class that fits counts.
+#: (class, what the whole candidate looks like, window, least bits): the first class that fits counts, and the last fits
+#: all, so that every candidate is measured.
 CLASSES = (
     ("hex", r"^[0-9a-fA-F]+$", 32, 3.0),
     ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", 20, 3.8),
     ("lower36", r"^(?=(?:.*[0-9]){4})(?=(?:.*[a-z]){4})[a-z0-9]+$", 20, 3.7),
+    ("upper36", r"^(?=.*[0-9])(?=(?:.*[A-Z]){4})[A-Z0-9]+=*$", 20, 3.7),
+    ("joined36", r"^(?=(?:.*[0-9]){4})(?=(?:.*[A-Za-z]){4})(?:[a-z0-9+/_=-]+|[A-Z0-9+/_=-]+)$", 20, 3.9),
+    ("letters", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z+/_=-]+$", 20, 3.9),
+    ("rest", r"^", 20, 4.0),
 )
-#: Strings that look random and are none: UUIDs, words joined by marks, digits alone, and strings with placeholders.
+#: Strings that look random and are none: UUIDs, words joined by marks (unless a small letter stands alone between
+#: capitals, as in no word), digits alone, and strings with placeholders.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^[/_=-]*[A-Za-z]+([/_=-]+([A-Za-z]+|[0-9]{1,4}))*[/_=-]*$",
+    r"^(?!.*[A-Z][a-z][A-Z])[/_=-]*[A-Za-z]+([/_=-]+([A-Za-z]+|[0-9]{1,4}))*[/_=-]*$",
     r"^[0-9_=/+-]+$",
     r"(?i)example|placeholder|changeme|xxxx|0123456789|abcdefgh",
 )
@@ -63,7 +69,7 @@ def _spans(matches: Column, kind: str) -> Column:
     return F.transform(matches, lambda x: F.struct(x["s"].alias("s"), F.lit(number).alias("k"), x["e"].alias("e")))
 
 
-def window_entropy(text: Column, window: int) -> Column:
+def window_entropy(text: Column, window: int | Column) -> Column:
     """The highest Shannon entropy, in bits, of any ``window`` characters in a row of an ASCII string (of all, if it is
     shorter). One pass: each step takes one character out of the counts and one in, and the sum of n*log2(n) follows."""
     term = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
@@ -74,7 +80,7 @@ def window_entropy(text: Column, window: int) -> Column:
 
         def step(acc: Column, i: Column) -> Column:
             enter = F.element_at(codes, i)
-            leave = F.when(i > window, F.get(codes, i - F.lit(window + 1))).otherwise(F.lit(-1))
+            leave = F.when(i > window, F.get(codes, i - F.lit(window) - 1)).otherwise(F.lit(-1))
 
             def moved(x: Column) -> Column:
                 out_n, in_n = x["out_n"], x["in_n"]
@@ -98,9 +104,8 @@ def window_entropy(text: Column, window: int) -> Column:
 
 def is_random(value: Column) -> Column:
     """Whether the first class that a candidate fits finds enough entropy in it, and no allow-list pattern holds."""
-    verdict = F.lit(False)
-    for _, looks, window, bits in reversed(CLASSES):
-        verdict = F.when(value.rlike(looks), window_entropy(value, window) >= bits).otherwise(verdict)
+    chosen = F.coalesce(*[F.when(value.rlike(looks), F.struct(F.lit(window).alias("window"), F.lit(bits).alias("bits"))) for _, looks, window, bits in CLASSES])
+    verdict = _let(chosen, lambda c: window_entropy(value, c["window"]) >= c["bits"])
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | value.rlike(pattern)

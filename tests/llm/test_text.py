@@ -192,3 +192,14 @@ def test_gates_lose_nothing(parts):
     whole = pii._found(text, [(0, len(text))], plain)
     assert pii._found(text, pii._windows(text, pii._marks(text), len(text)), plain) == whole
     assert set(pii.disguised_spans(text, plain)) == whole
+
+
+def test_every_candidate_is_measured(spark):
+    cases = {
+        "JBSWY3DPEHPK3PXPMFRGGZDFMZTWQ2LK": 1, "key-3ax6xnjp29jd6fds4gc373sgvjxteol0": 1, "KEY_3AX6XNJP29JD6FDS4GC373SGVJXTEOL0": 1, "kJhGfDsAqWeRtYuIoPlMnBv": 1, "qwertzuiopasdfghjklyxcvbn1": 1,
+        "AbstractSingletonProxyFactoryBean": 0, "CONVERT_UTF8_TO_LATIN1_TABLE": 0, "some-page-title-v2-final-draft3": 0, "getListOfItemsToShowInTheView": 0, "A1A1A1A1A1A1A1A1A1A1A1A1": 0, "Donaudampfschifffahrtsgesellschaft": 0,
+    }
+    df = spark.createDataFrame([(i, f"see {t} end") for i, t in enumerate(cases)], "doc_id long, text string")
+    assert [r.n_entropy for r in secrets.detect(df).orderBy("doc_id").collect()] == list(cases.values())
+    looks = [re.compile(c[1]) for c in secrets.CLASSES]
+    assert all(any(x.search(t) for x in looks) for t in (*cases, "a" * 20, "=" * 20))
