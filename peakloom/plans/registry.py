@@ -627,6 +627,18 @@ def gap_fill_values(spark, sf):
     return detection.fill_gaps(cells, targets, V.peaks(spark, sf), mz_tol=0.5, rt_window=3000.0).drop("is_gap_filled")
 
 
+@query()
+def gap_fill_matrix(spark, sf):
+    """Values of all missing cells of the matrix, over all samples: each feature at the place of its highest peak, and the
+    feature view as each sample's peaks. A cell that has no peak around it stays without a value."""
+    own = V.features(spark, sf)
+    best = own.groupBy(F.col("part").alias("feature_id")).agg(F.max(F.struct("peak_height", "fid", "mz", "rt")).alias("b"))
+    targets = best.select("feature_id", F.col("b.mz").alias("consensus_mz"), F.col("b.rt").alias("consensus_rt"))
+    cells = alignment.missing_cells(V.matrix(spark, sf), V.samples(spark))
+    peaks = own.select("sample_id", F.col("rt").cast("long").alias("scan_id"), "rt", "mz", F.col("peak_height").alias("intensity"))
+    return detection.fill_gaps(cells, targets, peaks, mz_tol=0.5, rt_window=5.0).drop("is_gap_filled")
+
+
 @query(f"""with f as (select p_partkey, {_FORMULA} as formula from part), t as (select p_partkey, formula, unnest(regexp_extract_all(formula, '[A-Z][a-z]*[0-9]*')) as tok from f),
 m(element, mass) as (values {', '.join(f"('{e}', {m!r}::double)" for e, m in chem.MASSES.items())}), ad(adduct, shift, z, n) as (values {', '.join(f"('{a[0]}', {a[2]!r}::double, {a[3]}, {a[4]})" for a in chem.ADDUCTS)}),
 w as (select p_partkey, formula, sum(mass * coalesce(try_cast(nullif(regexp_extract(tok, '[0-9]+'), '') as bigint), 1)) as mass from t join m on m.element = regexp_extract(tok, '[A-Z][a-z]*') group by all)
