@@ -9,14 +9,35 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ELECTRON = 0.000548579909
+# Electron mass, step between isotopes, monoisotopic masses.
+ELECTRON = 0.00054857990946
 ISOTOPE_STEP = 1.003355
-#: Monoisotopic masses.
 MASSES = {
-    "H": 1.00782503207, "D": 2.01410177785, "C": 12.0, "N": 14.0030740048, "O": 15.99491461956, "F": 18.99840322, "Na": 22.9897692809, "Mg": 23.9850417,
-    "Si": 27.9769265325, "P": 30.97376163, "S": 31.972071, "Cl": 34.96885268, "K": 38.96370668, "Ca": 39.96259098, "Fe": 55.9349375, "Cu": 62.9295975,
-    "Zn": 63.9291422, "Se": 79.9165213, "Br": 78.9183371, "I": 126.904473, "Li": 7.01600455, "B": 11.0093054,
-}
+    "H": 1.00782503207,
+    "D": 2.01410177812,
+    "C": 12.0,
+    "N": 14.0030740052,
+    "O": 15.9949146221,
+    "F": 18.998403163,
+    "Na": 22.989769282,
+    "Mg": 23.985041697,
+    "P": 30.973761998,
+    "S": 31.97207069,
+    "Cl": 34.968852682,
+    "K": 38.96370649,
+    "Ca": 39.96259098,
+    "Fe": 55.93493633,
+    "Cu": 62.92959772,
+    "Zn": 63.92914201,
+    "Br": 78.9183376,
+    "I": 126.904473,
+    # of adducts and of elements that formulas may name beyond those
+    "Li": 7.016003443,
+    "Ag": 106.905092,
+    "B": 11.0093054,
+    "Si": 27.9769265325,
+    "Se": 79.9165213,
+}
 #: Isotopes: (mass, share).
 ISOTOPES = {
     "H": ((1.00782503207, 0.999885), (2.0141017778, 0.000115)), "C": ((12.0, 0.9893), (13.0033548378, 0.0107)), "N": ((14.0030740048, 0.99636), (15.0001088982, 0.00364)),
@@ -42,25 +63,49 @@ def parse(formula: str) -> dict[str, int]:
     return dict(out)
 
 
-def _adduct(name: str, charge: int, times: int, change: str, common: bool) -> tuple:
-    """``change`` such as ``+Na-H``: formulas that the ion has more or fewer of."""
-    modification: Counter = Counter()
-    for sign, formula in re.findall(r"([+-])([A-Z][A-Za-z0-9]*)", change):
-        for e, n in parse(formula).items():
-            modification[e] += n if sign == "+" else -n
-    modification = {e: n for e, n in modification.items() if n}
-    return name, "positive" if charge > 0 else "negative", float(sum(MASSES[e] * n for e, n in modification.items())), charge, times, common, modification
-
-
-#: (name, charge, molecules, change, considered when ions are enumerated)
-ADDUCTS = [_adduct(*x) for x in (
-    ("[M+H]+", 1, 1, "+H", True), ("[M+NH4]+", 1, 1, "+NH4", True), ("[M+Na]+", 1, 1, "+Na", True), ("[M+K]+", 1, 1, "+K", True), ("[M+Li]+", 1, 1, "+Li", False), ("[M]+", 1, 1, "", False),
-    ("[M+H-H2O]+", 1, 1, "+H-H2O", True), ("[M+H-2H2O]+", 1, 1, "+H-H4O2", False), ("[M+H-NH3]+", 1, 1, "+H-NH3", False), ("[M+H+CH3OH]+", 1, 1, "+H+CH4O", False), ("[M+H+CH3CN]+", 1, 1, "+H+C2H3N", True),
-    ("[M+2Na-H]+", 1, 1, "+Na2-H", False), ("[M+2K-H]+", 1, 1, "+K2-H", False), ("[M+CH3COOH+H]+", 1, 1, "+H+C2H4O2", False), ("[M+HCOOH+H]+", 1, 1, "+H+CH2O2", False),
-    ("[2M+H]+", 1, 2, "+H", True), ("[2M+NH4]+", 1, 2, "+NH4", True), ("[2M+Na]+", 1, 2, "+Na", True), ("[2M+K]+", 1, 2, "+K", False), ("[M+2H]2+", 2, 1, "+H2", True), ("[M+H+Na]2+", 2, 1, "+H+Na", False), ("[M+H+NH4]2+", 2, 1, "+NH5", False), ("[M+3H]3+", 3, 1, "+H3", True),
-    ("[M-H]-", -1, 1, "-H", True), ("[M+Cl]-", -1, 1, "+Cl", True), ("[M+Br]-", -1, 1, "+Br", False), ("[M+HCOO]-", -1, 1, "+CHO2", True), ("[M+CH3COO]-", -1, 1, "+C2H3O2", True), ("[M-H-H2O]-", -1, 1, "-H-H2O", True), ("[M+Na-2H]-", -1, 1, "+Na-H2", False), ("[M+K-2H]-", -1, 1, "+K-H2", False),
-    ("[M+CF3COO]-", -1, 1, "+C2F3O2", False), ("[2M-H]-", -1, 2, "-H", True), ("[2M+HCOO]-", -1, 2, "+CHO2", True), ("[M-2H]2-", -2, 1, "-H2", True), ("[M-3H]3-", -3, 1, "-H3", True),
-)]
+# Name, mass shift, charge, molecules, considered when ions are enumerated, change of the formula.
+POSITIVE = (
+    ("[M+H]+", 1.00782503227, 1, 1, True, {"H": 1}),
+    ("[M+NH4]+", 18.03437413328, 1, 1, True, {"N": 1, "H": 4}),
+    ("[M]+", 0.0, 1, 1, False, {}),
+    ("[M+H+CH3OH]+", 33.03403978155, 1, 1, False, {"C": 1, "H": 5, "O": 1}),
+    ("[M+Na]+", 22.989769282, 1, 1, True, {"Na": 1}),
+    ("[M+K]+", 38.963706493, 1, 1, True, {"K": 1}),
+    ("[M+H+CH3CN]+", 42.033826, 1, 1, False, {"C": 2, "H": 4, "N": 1}),
+    ("[M-H+2Na]+", 44.971165, 1, 1, False, {"Na": 2, "H": -1}),
+    ("[M+H-H2O]+", -17.00273965247, 1, 1, True, {"H": -1, "O": -1}),
+    ("[M+H+CH3COOH]+", 61.02895440175, 1, 1, True, {"C": 2, "H": 5, "O": 2}),
+    ("[M+H+HCOOH]+", 47.01330433721, 1, 1, True, {"C": 1, "H": 3, "O": 2}),
+    ("[2M+H]+", 1.00782503227, 1, 2, True, {"H": 1}),
+    ("[2M+NH4]+", 18.03437413328, 1, 2, False, {"N": 1, "H": 4}),
+    ("[2M+Na]+", 22.989769282, 1, 2, False, {"Na": 1}),
+    ("[2M+H-H2O]+", -17.00273965247, 1, 2, False, {"H": -1, "O": -1}),
+    ("[3M+H]+", 1.00782503227, 1, 3, True, {"H": 1}),
+    ("[3M+H-H2O]+", -17.00273965247, 1, 3, False, {"H": -1, "O": -1}),
+    ("[M+2H]2+", 2.01565006454, 2, 1, True, {"H": 2}),
+    ("[M+3H]3+", 3.02347509681, 3, 1, True, {"H": 3}),
+    ("[M+Li]+", 7.016003443, 1, 1, False, {"Li": 1}),
+    ("[M+Ag]+", 106.905092, 1, 1, False, {"Ag": 1}),
+    ("[M+Ca]2+", 39.96259092, 2, 1, False, {"Ca": 1}),
+    ("[M+Fe]2+", 55.9349363, 2, 1, False, {"Fe": 1}),
+)
+NEGATIVE = (
+    ("[M-H]-", -1.00782503227, -1, 1, True, {"H": -1}),
+    ("[M+Cl]-", 34.96885273, -1, 1, True, {"Cl": 1}),
+    ("[M+HCOO]-", 44.99765427267, -1, 1, True, {"C": 1, "H": 1, "O": 2}),
+    ("[M+CH3COO]-", 59.01330433721, -1, 1, True, {"C": 2, "H": 3, "O": 2}),
+    ("[M-H-H2O]-", -19.01838971701, -1, 1, True, {"H": -3, "O": -1}),
+    ("[2M-H]-", -1.00782503227, -1, 2, True, {"H": -1}),
+    ("[3M-H]-", -1.00782503227, -1, 3, True, {"H": -1}),
+    ("[M-2H]2-", -2.01565006454, -2, 1, True, {"H": -2}),
+    ("[M-3H]3-", -3.02347509681, -3, 1, True, {"H": -3}),
+    ("[2M+Cl]-", 34.96885273, -1, 2, False, {"Cl": 1}),
+    ("[2M+HCOO]-", 44.99765427267, -1, 2, False, {"C": 1, "H": 1, "O": 2}),
+    ("[2M+CH3COO]-", 59.01330433721, -1, 2, False, {"C": 2, "H": 3, "O": 2}),
+    ("[2M-H-H2O]-", -19.01838971701, -1, 2, False, {"H": -3, "O": -1}),
+)
+#: (name, polarity, mass shift, charge, molecules, considered, change)
+ADDUCTS = [(name, polarity, *rest) for polarity, table in (("positive", POSITIVE), ("negative", NEGATIVE)) for name, *rest in table]
 BY_NAME = {a[0]: a for a in ADDUCTS}
 
 
@@ -72,6 +117,11 @@ def mass(formula: str) -> float:
     return sum(MASSES[e] * n for e, n in parse(formula).items())
 
 
+def change_mass(adduct: str) -> float:
+    """Mass of the atoms that an adduct adds."""
+    return float(sum(MASSES[e] * n for e, n in BY_NAME[adduct][6].items()))
+
+
 def with_adduct(formula: str, adduct: str) -> dict[str, int]:
     _, _, _, _, times, _, change = BY_NAME[adduct]
     out = Counter({e: n * times for e, n in parse(formula).items()})

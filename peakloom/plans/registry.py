@@ -403,8 +403,25 @@ def mzrt_candidates(spark, sf):
     return annotation.list_candidates(own, V.library(spark, sf), 0.005, 0.2).select("feature_id", "lib_id", "mz", "rt", "lib_mz", "lib_rt")
 
 
-@query(f"""with {V.FEATURES}, ad(ion, shift, z, n) as (values {', '.join(f"('{a[0]}', {a[2]!r}::double, {abs(a[3])}, {a[4]})" for a in chem.ADDUCTS if a[5] and a[1] == 'positive')})
-select fid as feature_id, ion, round(((mz - {chem.MASSES['H']}) * n + shift) / z, 6) as ion_mz from features, ad where ion <> '[M+H]+'
+# Fixed values of the twins, written out here on their own, so that a wrong constant of the engine shows: ions of the
+# positive mode (name, mass shift, charge, molecules), atom masses, and all adducts (name, charge, molecules, change in
+# atoms of C, H, N, O and mass of other atoms).
+_POSITIVE_IONS = """('[M+NH4]+', 18.03437413328, 1, 1), ('[M+Na]+', 22.989769282, 1, 1), ('[M+K]+', 38.963706493, 1, 1), ('[M+H-H2O]+', -17.00273965247, 1, 1),
+ ('[M+H+CH3COOH]+', 61.02895440175, 1, 1), ('[M+H+HCOOH]+', 47.01330433721, 1, 1), ('[2M+H]+', 1.00782503227, 1, 2), ('[3M+H]+', 1.00782503227, 1, 3), ('[M+2H]2+', 2.01565006454, 2, 1), ('[M+3H]3+', 3.02347509681, 3, 1)"""
+_ATOMS = "('C', 12.0), ('H', 1.00782503207), ('N', 14.0030740052), ('O', 15.9949146221)"
+_CHANGES = """('[M+H]+', 1, 1, 0, 1, 0, 0, 0.0), ('[M+NH4]+', 1, 1, 0, 4, 1, 0, 0.0), ('[M]+', 1, 1, 0, 0, 0, 0, 0.0), ('[M+H+CH3OH]+', 1, 1, 1, 5, 0, 1, 0.0), ('[M+Na]+', 1, 1, 0, 0, 0, 0, 22.989769282),
+ ('[M+K]+', 1, 1, 0, 0, 0, 0, 38.96370649), ('[M+H+CH3CN]+', 1, 1, 2, 4, 1, 0, 0.0), ('[M-H+2Na]+', 1, 1, 0, -1, 0, 0, 45.979538564), ('[M+H-H2O]+', 1, 1, 0, -1, 0, -1, 0.0), ('[M+H+CH3COOH]+', 1, 1, 2, 5, 0, 2, 0.0),
+ ('[M+H+HCOOH]+', 1, 1, 1, 3, 0, 2, 0.0), ('[2M+H]+', 1, 2, 0, 1, 0, 0, 0.0), ('[2M+NH4]+', 1, 2, 0, 4, 1, 0, 0.0), ('[2M+Na]+', 1, 2, 0, 0, 0, 0, 22.989769282), ('[2M+H-H2O]+', 1, 2, 0, -1, 0, -1, 0.0),
+ ('[3M+H]+', 1, 3, 0, 1, 0, 0, 0.0), ('[3M+H-H2O]+', 1, 3, 0, -1, 0, -1, 0.0), ('[M+2H]2+', 2, 1, 0, 2, 0, 0, 0.0), ('[M+3H]3+', 3, 1, 0, 3, 0, 0, 0.0), ('[M+Li]+', 1, 1, 0, 0, 0, 0, 7.016003443),
+ ('[M+Ag]+', 1, 1, 0, 0, 0, 0, 106.905092), ('[M+Ca]2+', 2, 1, 0, 0, 0, 0, 39.96259098), ('[M+Fe]2+', 2, 1, 0, 0, 0, 0, 55.93493633),
+ ('[M-H]-', -1, 1, 0, -1, 0, 0, 0.0), ('[M+Cl]-', -1, 1, 0, 0, 0, 0, 34.968852682), ('[M+HCOO]-', -1, 1, 1, 1, 0, 2, 0.0), ('[M+CH3COO]-', -1, 1, 2, 3, 0, 2, 0.0), ('[M-H-H2O]-', -1, 1, 0, -3, 0, -1, 0.0),
+ ('[2M-H]-', -1, 2, 0, -1, 0, 0, 0.0), ('[3M-H]-', -1, 3, 0, -1, 0, 0, 0.0), ('[M-2H]2-', -2, 1, 0, -2, 0, 0, 0.0), ('[M-3H]3-', -3, 1, 0, -3, 0, 0, 0.0), ('[2M+Cl]-', -1, 2, 0, 0, 0, 0, 34.968852682),
+ ('[2M+HCOO]-', -1, 2, 1, 1, 0, 2, 0.0), ('[2M+CH3COO]-', -1, 2, 2, 3, 0, 2, 0.0), ('[2M-H-H2O]-', -1, 2, 0, -3, 0, -1, 0.0)"""
+_ELECTRON = "0.00054857990946"
+
+
+@query(f"""with {V.FEATURES}, ad(ion, shift, z, n) as (values {_POSITIVE_IONS})
+select fid as feature_id, ion, round(((mz - 1.00782503227::double) * n + shift::double) / z, 6) as ion_mz from features, ad
 union all select fid, 'M+' || i, round(mz + 1 + (i - 1) * 1.003355, 6) from features, (select unnest([1, 2, 3]) as i)""")
 def enumerate_ions(spark, sf):
     own = V.features(spark, sf).select(F.col("fid").alias("feature_id"), "mz")
@@ -428,8 +445,8 @@ def formula_parse(spark, sf):
 
 
 @query(f"""with f as (select p_partkey, {_FORMULA} as formula from part), t as (select p_partkey, formula, unnest(regexp_extract_all(formula, '[A-Z][a-z]*[0-9]*')) as tok from f),
-m(element, mass) as (values {', '.join(f"('{e}', {m!r}::double)" for e, m in chem.MASSES.items())})
-select p_partkey, formula, round(sum(mass * coalesce(try_cast(nullif(regexp_extract(tok, '[0-9]+'), '') as bigint), 1)) + {chem.MASSES['H']} - {chem.ELECTRON}, 6) as mz from t join m on m.element = regexp_extract(tok, '[A-Z][a-z]*') group by all""")
+m(element, mass) as (values {_ATOMS})
+select p_partkey, formula, round(sum(mass::double * coalesce(try_cast(nullif(regexp_extract(tok, '[0-9]+'), '') as bigint), 1)) + 1.00782503207 - {_ELECTRON}, 6) as mz from t join m on m.element = regexp_extract(tok, '[A-Z][a-z]*') group by all""")
 def formula_mass(spark, sf):
     own = V.table(spark, sf, "part").select("p_partkey", F.expr(_FORMULA).alias("formula"))
     return own.select("p_partkey", "formula", R(chem.mass_column(chem.parse_column(F.col("formula"))) + chem.MASSES["H"] - chem.ELECTRON).alias("mz"))
@@ -640,9 +657,9 @@ def gap_fill_matrix(spark, sf):
 
 
 @query(f"""with f as (select p_partkey, {_FORMULA} as formula from part), t as (select p_partkey, formula, unnest(regexp_extract_all(formula, '[A-Z][a-z]*[0-9]*')) as tok from f),
-m(element, mass) as (values {', '.join(f"('{e}', {m!r}::double)" for e, m in chem.MASSES.items())}), ad(adduct, shift, z, n) as (values {', '.join(f"('{a[0]}', {a[2]!r}::double, {a[3]}, {a[4]})" for a in chem.ADDUCTS)}),
-w as (select p_partkey, formula, sum(mass * coalesce(try_cast(nullif(regexp_extract(tok, '[0-9]+'), '') as bigint), 1)) as mass from t join m on m.element = regexp_extract(tok, '[A-Z][a-z]*') group by all)
-select p_partkey, adduct, round((mass * n + shift - z * {chem.ELECTRON}) / abs(z), 6) as mz from w, ad""")
+m(element, mass) as (values {_ATOMS}), ad(adduct, z, n, c, h, nn, o, other) as (values {_CHANGES}),
+w as (select p_partkey, formula, sum(mass::double * coalesce(try_cast(nullif(regexp_extract(tok, '[0-9]+'), '') as bigint), 1)) as mass from t join m on m.element = regexp_extract(tok, '[A-Z][a-z]*') group by all)
+select p_partkey, adduct, round((mass * n + c * 12.0::double + h * 1.00782503207::double + nn * 14.0030740052::double + o * 15.9949146221::double + other::double - z * {_ELECTRON}::double) / abs(z), 6) as mz from w, ad""")
 def formula_ions(spark, sf):
     own = V.table(spark, sf, "part").select("p_partkey", F.expr(_FORMULA).alias("formula"))
     return annotation.formula_ions(own, spark).select("p_partkey", "adduct", R(F.col("mz")).alias("mz"))
