@@ -1,14 +1,16 @@
 """Personal data in whole texts: plain patterns, and disguised ones through offset-preserving normalisation.
 
-The normalising transducer reads source characters and writes plain ones, each with the source place it came from:
+The normalising transducers read the whole text and write plain characters, each with the source place it came from:
 look-alike letters and full-width forms become ASCII, invisible characters vanish, spelled digits become digits,
-``[at]`` and ``(dot)`` disguises become ``@`` and ``.``. Identifiers are looked for in what it wrote, and the span found
-goes back to source characters by the places. Plain spans always stay; a disguised span that touches one of its own
-kind is left out.
+``[at]`` and ``(dot)`` disguises and bare words between name parts become ``@`` and ``.``. Identifiers are looked for in
+all that they wrote, and a span found goes back to source characters by the places. Plain spans always stay; a disguised
+span that touches one of its own kind is left out. Every step is linear in the text: patterns take a bounded stretch or
+one run of characters, and whether a bare word counts is settled from the right, each mark by the one after it.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -34,24 +36,22 @@ _LOOKS |= {chr(base + k): chr(start + k) for base, start in ((0x1D400, 65), (0x1
 _LOOKS |= {chr(base + k): chr(start + k) for base, start in ((0x1D41A, 97), (0x1D5BA, 97), (0x1D5EE, 97), (0x1D68A, 97)) for k in range(26)}
 _LOOKS |= {chr(c): "." for c in (0x2024, 0x3002, 0xFF61, 0xFE52)} | {chr(c): "-" for c in (0x2010, 0x2011, 0x2012, 0x2013, 0x2212)}
 _LOOKS |= {chr(0xFE6B): "@"} | {chr(c): " " for c in (0xA0, 0x2007, 0x202F, 0x3000)}
-_VOID = {chr(c): "" for c in (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD, 0x180E)}
-_ODD = re.compile("[" + "".join(map(re.escape, [*_LOOKS, *_VOID])) + "]")
+_LOOK_TABLE = str.maketrans(_LOOKS)
+_VOID = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad\u180e]")
 _DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _NAME = "(?:" + "|".join(_DIGITS) + ")"
-#: Three or more spelled or plain digits in a row, one of them spelled at least.
-_SPELLED = re.compile(rf"(?i)(?<![a-z]){_NAME}(?:[\s,.·-]{{1,2}}(?:{_NAME}|[0-9]))*(?![a-z])")
-_ONE_DIGIT = re.compile(rf"(?i){_NAME}|[0-9]")
-_TLD = "(?:com|org|net|edu|gov|mil|info|biz|io|co|ai|app|dev|me|tv|us|uk|eu|de|fr|es|it|nl|be|ch|at|pl|pt|se|no|dk|fi|ie|ru|cn|jp|kr|in|br|mx|ca|au|nz|za)(?![a-z0-9])"
-_HOSTS = rf"[a-z0-9-]+(?:[\s_-]dot[\s_-][a-z0-9-]+)*?[\s_-]dot[\s_-]{_TLD}"
-#: Disguises in brackets, and bare words where a whole host name that ends in a known top level follows.
-_AT = re.compile(rf"(?i)\s{{0,2}}[\[({{<]\s{{0,2}}(?:at|arroba|@)\s{{0,2}}[\])}}>]\s{{0,2}}|(?<=[a-z0-9])[\s_-]at[\s_-](?=[a-z0-9-]+\s{{0,2}}[\[({{<]\s{{0,2}}(?:dot|punto|punkt|point|\.)|{_HOSTS}|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.{_TLD})")
-_DOT = re.compile(rf"(?i)\s{{0,2}}[\[({{<]\s{{0,2}}(?:dot|punto|punkt|point|\.)\s{{0,2}}[\])}}>]\s{{0,2}}|(?<=[a-z0-9])[\s_-]dot[\s_-](?=(?:[a-z0-9-]+[\s_-]dot[\s_-])*?{_TLD}|[a-z0-9.]+@)")
-#: What any match of _AT or _DOT holds, and any run that _spelled takes, in small letters; both begin with a set of
-#: characters, which is fast to scan for.
-_JOINED = re.compile(r"[\[({<\s_-](?:(?<=[\[({<])\s{0,2}(?:at|arroba|@|dot|punto|punkt|point|\.)\s{0,2}[\])}>]|(?<=[\s_-])(?:dot[\s_-]|at[\s_-][a-z0-9-]+(?:\.[a-z0-9-]+)+))")
-_THREE = re.compile(rf"{_NAME}(?:[\s,.·-]{{1,2}}(?:{_NAME}|[0-9])){{2,}}")
-#: Characters kept on both sides of a mark; more where an identifier reaches the edge.
-_MARGIN = 96
+#: A run of spelled or plain digits that begins with a spelled one. Patterns from here on are for small letters.
+_SPELLED = re.compile(rf"(?<![a-z]){_NAME}(?:[\s,.·-]{{1,2}}(?:{_NAME}|[0-9]))*(?![a-z])")
+_ONE_DIGIT = re.compile(rf"{_NAME}|[0-9]")
+_PLUS = re.compile(rf"(?<![a-z])plus[\s,.-]{{1,2}}(?={_NAME}(?![a-z]))")
+_TLD = re.compile("(?:com|org|net|edu|gov|mil|info|biz|io|co|ai|app|dev|me|tv|us|uk|eu|de|fr|es|it|nl|be|ch|at|pl|pt|se|no|dk|fi|ie|ru|cn|jp|kr|in|br|mx|ca|au|nz|za)(?![a-z0-9])")
+#: Marks: at or dot in brackets, and as bare words between name parts.
+_MARK = re.compile(r"[\[({<]\s{0,2}(?:(at|arroba|@)|dot|punto|punkt|point|\.)\s{0,2}[\])}>]|(?<=[a-z0-9])(?:\s{1,2}|[_-])(?:(at)|(dot))(?:\s{1,2}|[_-])(?=[a-z0-9])")
+_LABEL = re.compile(r"[a-z0-9-]+")
+_HOST = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)*")
+_LOCAL_RUN = re.compile(r"[a-z0-9._%+-]*")
+_DIGIT_BEFORE = re.compile(rf"(?:{_NAME}|[0-9])$")
+_DIGIT_AFTER = re.compile(rf"{_NAME}(?![a-z])|[0-9]")
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -104,107 +104,126 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(kind, a, b) for kind in KINDS for a, b in _FINDERS[kind](text)]
 
 
-class _Tape:
-    """A written text with the source place of each character; ``rewrite`` runs one transducer over it."""
+def _small(text: str) -> str:
+    """Small letters, one a character of the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
+def _marks(low: str) -> list[tuple[int, int, str]]:
+    """(from, to, ``@`` or ``.``) of at and dot disguises. In brackets they always count. A bare ``dot`` counts before a
+    known top level, before a name part that a dot that counts follows, in the local part of an address, and between
+    digits; a bare ``at`` counts before a host name that ends in a known top level or goes on with a dot that counts."""
+    found: list[tuple[int, int, str, bool]] = []
+    for m in _MARK.finditer(low):
+        a, b = m.span()
+        bare = m[2] is not None or m[3] is not None
+        if not bare:  # up to two spaces on both sides
+            least = max(found[-1][1] if found else 0, a - 2)
+            while a > least and low[a - 1].isspace():
+                a -= 1
+            most = min(len(low), b + 2)
+            while b < most and low[b].isspace():
+                b += 1
+        found.append((a, b, "@" if m[1] or m[2] else ".", bare))
+    out: list[tuple[int, int, str]] = []
+    follows, start = "", len(low)  # the mark after this one, if it counts, and where it or the text's end is
+    for a, b, sign, bare in reversed(found):
+        good = not bare
+        if bare and sign == ".":
+            run = _LABEL.match(low, b, start)
+            good = bool(_TLD.match(low, b)) or (follows == "." and run is not None and run.end() == start)
+            if not good:
+                end = _LOCAL_RUN.match(low, b, start).end()
+                good = (end == start and follows == "@") or (end < len(low) and end < start and low[end] == "@")
+            good = good or bool(_DIGIT_AFTER.match(low, b) and _DIGIT_BEFORE.search(low[max(0, a - 5) : a]))
+        elif bare:
+            run = _HOST.match(low, b, start)
+            if run is not None:
+                good = (follows == "." and run.end() == start) or any(_TLD.match(part) for part in run[0].split(".")[1:])
+        if good:
+            out.append((a, b, sign))
+        follows, start = sign if good else "", a
+    return out[::-1]
+
+
+def _rewrites(low: str) -> list[tuple[int, int, str]]:
+    """(from, to, written) of all that the transducers change, in order and without overlaps."""
+    out = _marks(low)
+    dots = {x for a, b, sign in out if sign == "." for x in (a, b)}
+    for m in _SPELLED.finditer(low):
+        digits = list(_ONE_DIGIT.finditer(m[0]))
+        # fewer than three digits are words of a sentence, unless a dot mark makes them part of an address
+        if len(digits) >= 3 or m.start() in dots or m.end() in dots:
+            at = 0
+            for d in digits:
+                if d.start() > at:
+                    out.append((m.start() + at, m.start() + d.start(), ""))
+                if d.end() - d.start() > 1:
+                    out.append((m.start() + d.start(), m.start() + d.end(), _DIGITS[d[0]]))
+                at = d.end()
+    out += [(m.start(), m.end(), "+") for m in _PLUS.finditer(low)]
+    return sorted(out)
+
+
+class _Written:
+    """The normalised text, with the way back to places in the source."""
 
     def __init__(self, text: str):
-        self.text, self.start, self.end = text, None, None
-
-    def places(self) -> None:
-        if self.start is None:
-            self.start, self.end = list(range(len(self.text))), list(range(1, len(self.text) + 1))
-
-    def rewrite(self, pattern: re.Pattern, put) -> bool:
-        """Replace matches by ``put(match)``: a list of (text, from, to) with places relative to the match."""
-        out, start, end, at, changed = [], [], [], 0, False
-        for m in pattern.finditer(self.text):
-            made = put(m)
-            if made is None:
-                continue
-            self.places()
-            changed = True
-            out.append(self.text[at : m.start()])
-            start += self.start[at : m.start()]
-            end += self.end[at : m.start()]
-            for new, a, b in made:
-                out.append(new)
-                start += [self.start[m.start() + a]] * len(new)
-                end += [self.end[m.start() + b - 1]] * len(new)
-            at = m.end()
-        if changed:
-            out.append(self.text[at:])
-            start += self.start[at:]
-            end += self.end[at:]
-            self.text, self.start, self.end = "".join(out), start, end
-        return changed
+        self.kept: list[int] | None = None
+        low = text
+        if not text.isascii():
+            low = text.translate(_LOOK_TABLE)
+            if _VOID.search(low):
+                self.kept = [i for i, c in enumerate(low) if not _VOID.match(c)]
+                low = "".join([low[i] for i in self.kept])
+        changes = _rewrites(_small(low))
+        self.same = not changes and low == text
+        parts, at, size = [], 0, 0
+        #: piece -> where it begins in the normalised text, and from where to where it was; what was copied has its length
+        self.begins: list[int] = []
+        self.places: list[tuple[int, int]] = []
+        for a, b, new in [*changes, (len(low), len(low), "")]:
+            for piece, x, y in ((low[at:a], at, a), (new, a, b)):
+                if piece:
+                    parts.append(piece)
+                    self.begins.append(size)
+                    self.places.append((x, y))
+                    size += len(piece)
+            at = b
+        self.begins.append(size)
+        self.text = "".join(parts)
 
     def source(self, a: int, b: int) -> tuple[int, int]:
-        return (self.start[a], self.end[b - 1]) if self.start is not None else (a, b)
-
-
-def _spelled(m: re.Match):
-    found = [(_DIGITS.get(d[0].lower(), d[0]), d.start(), d.end()) for d in _ONE_DIGIT.finditer(m[0])]
-    return found if len(found) >= 3 else None
-
-
-def _marks(text: str) -> list[tuple[int, int]]:
-    """Places of anything that a transducer rewrites; most texts have none."""
-    marks = [m.span() for m in _ODD.finditer(text)] if not text.isascii() else []
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
-    marks += [m.span() for m in _JOINED.finditer(low)]
-    marks += [m.span() for m in _THREE.finditer(low)]
-    return sorted(marks)
-
-
-def _windows(text: str, marks: list[tuple[int, int]], margin: int) -> list[tuple[int, int]]:
-    """Stretches of the text around the marks."""
-    out: list[tuple[int, int]] = []
-    for a, b in marks:
-        a, b = max(0, a - margin), min(len(text), b + margin)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+        """Where the characters from ``a`` to ``b`` of the normalised text came from."""
 
+        def place(i: int) -> tuple[int, int]:
+            k = bisect.bisect_right(self.begins, i) - 1
+            x, y = self.places[k]
+            copied = self.begins[k + 1] - self.begins[k] == y - x
+            return (x + i - self.begins[k], x + i - self.begins[k] + 1) if copied else (x, y)
 
-def _found(text: str, windows: list[tuple[int, int]], plain: list[tuple[str, int, int]]) -> set[tuple[str, int, int]] | None:
-    """Spans of the normalised windows that touch no plain span of their kind; None if an edge may have cut one."""
-    out = set()
-    for left, right in windows:
-        tape = _Tape(text[left:right])
-        tape.rewrite(_ODD, lambda m: [(_LOOKS.get(m[0], ""), 0, 1)] if _LOOKS.get(m[0]) else [])
-        tape.rewrite(_AT, lambda m: [("@", 0, len(m[0]))])
-        tape.rewrite(_DOT, lambda m: [(".", 0, len(m[0]))])
-        tape.rewrite(_SPELLED, _spelled)
-        for kind in KINDS:
-            for a, b in _FINDERS[kind](tape.text):
-                s, e = tape.source(a, b)
-                s, e = s + left, e + left
-                # what was plain already is not a new find
-                if any(k == kind and x < e and s < y for k, x, y in plain):
-                    continue
-                if (left > 0 and not text[left:s].strip(" -")) or (right < len(text) and not text[e:right].strip(" ().-")):
-                    return None
-                out.add((kind, s, e))
-    return out
+        s, e = place(a)[0], place(b - 1)[1]
+        return (s, e) if self.kept is None else (self.kept[s], self.kept[e - 1] + 1)
 
 
 def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that show only in the normalised text and touch no plain span of their kind."""
-    marks, margin = _marks(text), _MARGIN
-    while (out := _found(text, _windows(text, marks, margin), plain)) is None:
-        margin *= 4
-    kept: list[tuple[str, int, int]] = []
+    written = _Written(text)
+    if written.same:
+        return []
+    out = []
     for kind in KINDS:
-        free = 0
-        for k, s, e in sorted(x for x in out if x[0] == kind):
-            if s >= free:
-                kept.append((k, s, e))
+        own = [(a, b) for k, a, b in plain if k == kind]
+        starts, free = [a for a, _ in own], 0
+        for a, b in _FINDERS[kind](written.text):
+            s, e = written.source(a, b)
+            k = bisect.bisect_left(starts, e)
+            # what was plain already is not a new find
+            if s >= free and not (k and own[k - 1][1] > s):
+                out.append((kind, s, e))
                 free = e
-    return kept
+    return out
 
 
 def spans_of(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -235,18 +254,18 @@ def redacted(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_email, n_ip, n_card, n_phone (plain spans), base_sha256, spans (all spans, joined) and
-    n_disguised. A null text is empty; rows that repeat stay; further columns are ignored; no row gives no row."""
-    fields = [("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_disguised", pa.int64())]
+    """Per row: doc_id, n_email, n_ip, n_card, n_phone (plain spans), base_sha256, spans (all spans, joined),
+    n_disguised and n_spans (all spans). A null text is empty; rows that repeat stay; further columns are ignored; no row gives no row."""
+    fields = [("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_disguised", pa.int64()), ("n_spans", pa.int64())]
 
     def find(_, row):
         doc_id, text = row
         plain, every = spans_of(text)
         counts = [sum(k == kind for k, _, _ in plain) for kind in KINDS]
-        yield (doc_id, *counts, hashlib.sha256(listed(plain).encode()).hexdigest(), listed(every), len(every) - len(plain)), 200
+        yield (doc_id, *counts, hashlib.sha256(listed(plain).encode()).hexdigest(), listed(every), len(every) - len(plain), len(every)), 200
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ddl = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_disguised long"
+    ddl = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_disguised long, n_spans long"
     return common.mapped(source, find, ["doc_id", "text"], pa.schema(fields), ddl)
 
 
