@@ -85,17 +85,57 @@ def test_entropy(spark):
     import math
     from collections import Counter
 
-    texts = ["aaaa", "abcdabcd", "Zk3" * 20, "q8Zr1LxT0vBn5MwYd7Hs2Kc", "ab"]
+    import random
+
+    rng = random.Random(4)
+    texts = ["aaaa", "abcdabcd", "Zk3" * 20, "q8Zr1LxT0vBn5MwYd7Hs2Kc", "ab", ""]
+    texts += ["".join(rng.choices(alphabet, k=rng.randrange(1, 90))) for alphabet in ("+,-./01234", "+z5AK", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=", "-_az") for _ in range(40)]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", secrets.window_entropy(F.col("t"), 20).alias("h"))
     for r in df.collect():
         w = min(20, len(r.t))
-        best = max(-sum(c / w * math.log2(c / w) for c in Counter(r.t[i : i + w]).values()) for i in range(len(r.t) - w + 1))
+        best = max(-sum(c / w * math.log2(c / w) for c in Counter(r.t[i : i + w]).values()) for i in range(len(r.t) - w + 1)) if w else 0
         assert r.h == pytest.approx(best, abs=1e-9)
     cases = {"key q8Zr1LxT0vBn5MwYd7Hs2Kc end": 1, "id 123e4567-e89b-12d3-a456-426614174000": 0, "see path/to/some/long/folder/name": 0, "Donaudampfschifffahrtsgesellschaft": 0, "EXAMPLE8Zr1LxT0vBn5MwYd7example": 0, "aaaaaaaaaaaaaaaaaaaaaaaaA1": 0}
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     assert [r.n_entropy for r in secrets.detect(df).orderBy("doc_id").collect()] == list(cases.values())
 
 
+def test_running(spark):
+    rows = [(n, [(k * 7919) % 101 for k in range(n)]) for n in (0, 1, 63, 64, 65, 200, 4097, 20_000)]
+    df = spark.createDataFrame(rows, "n int, v array<bigint>")
+    df = df.select("n", "v", secrets.running(F.col("v"), lambda a, b: a + b).alias("sums"), secrets.running(F.col("v"), lambda a, b: F.greatest(a, b)).alias("tops"))
+    import itertools
+
+    for r in df.collect():
+        assert r.sums == list(itertools.accumulate(r.v)) and r.tops == list(itertools.accumulate(r.v, max))
+
+
+def slow_entropy_spans(text):
+    """Candidates that overlap no plain span and whose own verdict holds, pair by pair."""
+    plain = [x.split(":") for x in plain_secrets(text).split(",") if x]
+    found = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text)]
+    return [(a, b) for a, b in found if not any(int(x) < b and a < int(y) for _, x, y in plain)]
+
+
+def test_many_matches_of_long_texts(spark):
+    """Rows of thousands of matches of every kind, some side by side, keep their places; work grows as the text does."""
+    import random
+    import time
+
+    rng = random.Random(9)
+    make = [lambda: "token=" + "abcdefgh" * rng.randint(1, 3), lambda: f"{rng.getrandbits(128):032x}", lambda: "AKIA" + "Q7" * 8, lambda: "q8Zr1LxT0vBn5MwYd7Hs2Kc", lambda: "some-hyphenated-words-in-a-row", lambda: "\x01\x02é😀", lambda: "x"]
+    text = "".join(rng.choice(make)() + rng.choice([" ", " ", "", "\n"]) for _ in range(6000))
+    df = spark.createDataFrame([(1, text), (2, "ab-" * 150_000), (3, " ".join(["some-hyphen-ated-word-s"] * 12_000))], "doc_id long, text string")
+    began = time.perf_counter()
+    rows = {r.doc_id: r for r in secrets.detect(df).collect()}
+    assert time.perf_counter() - began < 30
+    assert rows[1].base_sha256 == hashlib.sha256(plain_secrets(text).encode()).hexdigest()
+    more = [tuple(map(int, x.split(":")[1:])) for x in rows[1].spans.split(",") if x.startswith("entropy")]
+    candidates = slow_entropy_spans(text)
+    assert set(more) <= set(candidates) and {c for c in candidates if text[slice(*c)] == "q8Zr1LxT0vBn5MwYd7Hs2Kc"} <= set(more)
+    assert (rows[2].n_entropy, rows[3].n_entropy) == (0, 0)
+
+
 def test_secrets_stay_in_the_jvm(spark, odd):
     plan = secrets.detect(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
