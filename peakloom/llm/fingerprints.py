@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
 
@@ -12,6 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common
 
@@ -83,59 +85,94 @@ class Sketch:
         return min(1.0, self.resemblance(other) * self.merge(other).distinct() / self.distinct())
 
 
-def merged(sketches: DataFrame, by: list[str], sketch_col: str = "fingerprint") -> DataFrame:
-    """One sketch a group from the sketches of its parts: merged within each task first, then across tasks, so a hot
-    group costs one sketch a task."""
+def merged(sketches: DataFrame, by: list[str], sketch_col: str = "fingerprint", held: int = 20_000) -> DataFrame:
+    """One sketch a group from the sketches of its parts. Tasks merge what they have first, ``held`` groups at a time, so
+    a hot group costs few sketches a task; then a group's rows come together and in a row, and one group is merged at a
+    time, however many there are. A null sketch is a part without shingles; a null key is a group of its own; no row
+    gives no row."""
     schema = sketches.select(*by, sketch_col).schema
-
-    def within(frames):
-        held: dict[tuple, Sketch] = {}
-
-        def out():
-            frame = pd.DataFrame([(*key, str(s)) for key, s in held.items()], columns=[*by, sketch_col])
-            held.clear()
-            return frame
-
-        for frame in frames:
-            for *key, text in frame[[*by, sketch_col]].itertuples(index=False, name=None):
-                if text is not None:
-                    own = Sketch.parse(text)
-                    held[tuple(key)] = held[tuple(key)].merge(own) if tuple(key) in held else own
-            if len(held) > 50_000:
-                yield out()
-        if held:
-            yield out()
-
-    part = sketches.select(*by, sketch_col).mapInPandas(within, schema)
-    return part.repartition(*by).mapInPandas(within, schema)
-
-
-def with_next(docs: DataFrame, each_bytes: int = 32 << 20, most_parts: int = 20_000) -> DataFrame:
-    """doc_id, text and ``ctx`` rows, dealt by ranges of doc_id and sorted from the highest down, so that each row's
+    names = [*by, sketch_col]
+
+    def pairs(batches):
+        for *key, text in common.rows_of(batches, *names):
+            yield tuple(key), None if text is None else Sketch.parse(text)
+
+    def joined(a: Sketch | None, b: Sketch | None) -> Sketch | None:
+        return a if b is None else b if a is None else a.merge(b)
+
+    def partly(batches):
+        arrow = to_arrow_schema(schema)
+        own: dict[tuple, Sketch | None] = {}
+        for key, sketch in pairs(batches):
+            own[key] = joined(own.get(key), sketch)
+            if len(own) >= held:
+                yield from _batch(own.items(), arrow)
+                own = {}
+        yield from _batch(own.items(), arrow)
+
+    def wholly(batches):
+        arrow = to_arrow_schema(schema)
+        done: list[tuple] = []
+        last: tuple | None = None
+        sketch = None
+        for key, part in pairs(batches):
+            if key != last:
+                if last is not None:
+                    done.append((last, sketch or Sketch.of(None)))
+                    if len(done) >= 2000:
+                        yield from _batch(done, arrow)
+                        done = []
+                last, sketch = key, None
+            sketch = joined(sketch, part)
+        if last is not None:
+            done.append((last, sketch or Sketch.of(None)))
+        yield from _batch(done, arrow)
+
+    part = sketches.select(*names).mapInArrow(partly, schema)
+    return part.repartition(*by).sortWithinPartitions(*by).mapInArrow(wholly, schema)
+
+
+def _batch(rows, schema: pa.Schema):
+    columns = list(zip(*[(*key, None if s is None else str(s)) for key, s in rows], strict=True))
+    if columns:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def with_next(docs: DataFrame, each_bytes: int = 32 << 20, most_parts: int = 100_000) -> DataFrame:
+    """ctx, doc_id and text rows in ranges of (doc_id, hash of the text), the highest doc_id first, so that each row's
     successor is the next row of its own partition. The first row of each range is also put, marked ``ctx``, at the end
-    of the range before it (that of the first range after the last one). One shuffle of the texts; the driver holds one
-    id a range, of which there are at most ``most_parts``."""
+    of the range before it (that of the first range after the last one). Borders are those of a sample of rows, so an id
+    (or null) that many texts share is parted too; only equal rows stay together. One shuffle of the texts. Ranges hold
+    about ``each_bytes``, and more where there would be over ``most_parts``: they are sorted with spilling and gone
+    through row by row, so memory doesn't grow with them. The driver holds a key a range and its sample, 400,000 keys or
+    three a range."""
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.length("text") + 64)).first()[0] or 0
-    n = min(most_parts, max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.pieces_for(total, each_bytes)))
-    edges = np.unique(np.array(docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else [], dtype=np.float64)).astype(np.int64)
+    key = [F.bitwise_not("doc_id").alias("down"), F.xxhash64("text").alias("hash")]
+    size = docs.agg(F.sum(F.length("text") + 64).alias("bytes"), F.count("*").alias("rows")).first()
+    n = min(most_parts, max(int(spark.conf.get("spark.sql.shuffle.partitions")), common.pieces_for(size.bytes or 0, each_bytes)))
+    share = min(1.0, n * max(3, min(20, 400_000 // n)) / max(1, size.rows))
+    sample = sorted((r.down, r.hash) for r in docs.sample(share, seed=5).select(*key).collect())
+    edges = sorted({sample[len(sample) * k // n] for k in range(1, n)}) if sample else []
+
+    def ranges(down: pd.Series, hashes: pd.Series) -> list[int]:
+        return [bisect.bisect_right(edges, x) for x in zip(down.tolist(), hashes.tolist(), strict=True)]
 
     @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(edges) - np.searchsorted(edges, ids.to_numpy(), side="right")).astype("int32")
+    def range_of(down: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(ranges(down, hashes), dtype="int32")
 
-    heads = [(r.part, r.head) for r in docs.select("doc_id").withColumn("part", range_of("doc_id")).groupBy("part").agg(F.max("doc_id").alias("head")).collect()]
-    heads.sort()
+    firsts = docs.select(*key).withColumn("part", range_of("down", "hash")).groupBy("part").agg(F.min(F.struct("down", "hash")).alias("head"))
+    heads = sorted((r.part, (r.head.down, r.head.hash)) for r in firsts.collect())
     before = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}
 
     @F.pandas_udf("array<int>")
-    def parts_of(ids: pd.Series) -> pd.Series:
-        own = len(edges) - np.searchsorted(edges, ids.to_numpy(), side="right")
-        return pd.Series([[int(p), -1 - before[i]] if i in before else [int(p)] for i, p in zip(ids.tolist(), own, strict=True)])
+    def parts_of(down: pd.Series, hashes: pd.Series) -> pd.Series:
+        own = zip(ranges(down, hashes), zip(down.tolist(), hashes.tolist(), strict=True), strict=True)
+        return pd.Series([[p, -1 - before[x]] if x in before else [p] for p, x in own])
 
-    dealt = docs.select(F.explode(parts_of("doc_id")).alias("to"), "doc_id", "text")
-    dealt = dealt.select(F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("part"), (F.col("to") < 0).alias("ctx"), "doc_id", "text")
-    return dealt.repartitionById(max(1, len(edges) + 1), F.col("part")).sortWithinPartitions(F.col("ctx"), F.col("doc_id").desc(), F.xxhash64("text"))
+    dealt = docs.select("doc_id", "text", *key).withColumn("to", F.explode(parts_of("down", "hash")))
+    dealt = dealt.select(F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("part"), (F.col("to") < 0).alias("ctx"), "doc_id", "text", "hash")
+    return dealt.repartitionById(max(1, len(edges) + 1), F.col("part")).sortWithinPartitions(F.col("ctx"), F.col("doc_id").desc(), F.col("hash")).drop("hash", "part")
 
 
 def compare_edited(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

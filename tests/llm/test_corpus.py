@@ -31,6 +31,30 @@ def test_merged_groups(spark):
     assert len(out) == 2 and fingerprints.Sketch.parse(out[0].fingerprint).distinct() == 41  # 40 first shingles and the common one
 
 
+def test_many_groups_are_merged_whole(spark):
+    """70,000 groups of two parts in one partition: each comes out once; null keys and null sketches have a result."""
+    a, b = (str(fingerprints.Sketch.of(t)) for t in ("a b c d e f", "g h i j k l"))
+    rows = spark.range(70_000).select(F.when(F.col("id") > 0, F.col("id")).alias("g"), F.explode(F.array(F.lit(a), F.lit(b), F.lit(None).cast("string"))).alias("fingerprint"))
+    more = spark.createDataFrame([(70_001, None), (70_001, None)], "g long, fingerprint string")
+    out = fingerprints.merged(rows.unionByName(more).orderBy(F.xxhash64("g", "fingerprint")).coalesce(1), ["g"]).collect()
+    both = str(fingerprints.Sketch.parse(a).merge(fingerprints.Sketch.parse(b)))
+    assert len(out) == 70_001 and {r.fingerprint for r in out if r.g != 70_001} == {both}
+    assert [r.fingerprint for r in out if r.g == 70_001] == [str(fingerprints.Sketch.of(None))] and sum(r.g is None for r in out) == 1
+
+
+def test_a_shared_id_is_parted(spark):
+    """A third of all rows without an id: the ranges stay even, and each row is followed by the next of the order."""
+    rows = [(None if k % 3 == 0 else k, f"text {k} " + "w " * (k % 50)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text")
+    own = fingerprints.with_next(df, each_bytes=4000).select(F.spark_partition_id().alias("p"), "*").collect()
+    sizes = {}
+    for r in own:
+        sizes[r.p] = sizes.get(r.p, 0) + 1
+    assert len(own) - sum(r.ctx for r in own) == 3000 and max(sizes.values()) < 4 * np.median(list(sizes.values()))
+    out = fingerprints.compare_edited(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out.count() == 3000 and out.where("doc_id is null").count() == 1000
+
+
 @pytest.mark.parametrize("n", [1, 2, 40])
 def test_edited(spark, documents, n):
     rows = [*documents[:n], (10**6, None)] if n > 1 else documents[:1]
@@ -44,7 +68,7 @@ def test_edited(spark, documents, n):
         edited = text[i][: len(text[i]) - half] + after[:half]
         assert out[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and out[i].n_chars == len(text[i])
         a, b = (set(fingerprints.shingle_hashes(t).tolist()) for t in (text[i], edited))
-        assert out[i].near_edited == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0, abs=0.25)
+        assert out[i].near_edited == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0, abs=0.15)  # the sketch's own error is about 0.044
         assert out[i].near_next == fingerprints.Sketch.of(text[i]).resemblance(fingerprints.Sketch.of(after))
 
 
