@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words in a window, and bytes of item text that one set of tables is made of.
-WINDOW, BLOCK_BYTES = 8, 4 << 20
+#: Words in a window, bytes of item text that one set of tables is made of, and windows in a piece of a long item.
+WINDOW, BLOCK_BYTES, PIECE_WORDS = 8, 4 << 20, 5000
 _WORD = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(128, 256))
 _TABLE = bytes(i if i in _WORD else 32 for i in bytes(range(256)).lower())
 
@@ -75,34 +76,82 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(items: DataFrame, item_col: str, text_col: str):
-    """Broadcasts of item texts, dealt by item id into blocks of about BLOCK_BYTES; the texts are counted first, so
-    memory has a bound whatever the size of ``items``. An item without an id is left out."""
-    items = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("binary").alias("body")).where("item is not null")
-    total = items.agg(F.sum(F.length("body"))).first()[0] or 0
-    n = common.pieces_for(total, BLOCK_BYTES)
-    for block in range(n):
-        chosen = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == block) if n > 1 else items
-        yield items.sparkSession.sparkContext.broadcast([(r.item, bytes(r.body) if r.body is not None else None) for r in chosen.collect()])
+def _pieces(items: DataFrame, window: int, item_col: str, text_col: str) -> DataFrame:
+    """item and body rows: the items' words, those of a long item in pieces of PIECE_WORDS that overlap by all but one
+    word of a window, so that each window is in one piece. An item without an id or without words has none."""
+    schema = pa.schema([("item", pa.int64()), ("body", pa.binary())])
+
+    def run(batches):
+        out = common.Rows(schema)
+        for item, body in common.rows_of(batches, "item", "body"):
+            words = words_of(body)
+            for at in range(0, max(1, len(words) - window + 1) if words else 0, PIECE_WORDS):
+                piece = b" ".join(words[at : at + PIECE_WORDS + window - 1])
+                yield from out.add((item, piece), len(piece))
+        yield from out.rest()
+
+    named = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("binary").alias("body")).where("item is not null")
+    return named.mapInArrow(run, "item long, body binary")
+
+
+class _Blocks:
+    """Item texts in blocks of about BLOCK_BYTES, dealt by hash. The bytes are counted first; the driver holds, and
+    broadcasts, one block at a time, whatever the size of ``items`` or of one item."""
+
+    def __init__(self, items: DataFrame, window: int, item_col: str, text_col: str):
+        self.pieces = _pieces(items, window, item_col, text_col)
+        total = self.pieces.agg(F.sum(F.length("body"))).first()[0] or 0
+        self.n = common.pieces_for(total, BLOCK_BYTES)
+        if self.n > 1:
+            dealt = self.pieces.withColumn("block", F.pmod(F.xxhash64("item", "body"), F.lit(self.n)))
+            self.pieces = common.stored(dealt.repartition("block").sortWithinPartitions("block"), "items")
+
+    def __iter__(self):
+        for block in range(self.n):
+            chosen = self.pieces.where(F.col("block") == block) if self.n > 1 else self.pieces
+            held = self.pieces.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r.item, bytes(r.body)) for r in chosen.select("item", "body").collect()]))
+            yield held
+            held.unpersist()
+
+
+_made: dict[tuple, list[Tables]] = {}
+
+
+def _tables(block, window: int) -> list[Tables]:
+    """The tables of a broadcast block; a worker process makes them once and keeps those of one block."""
+    name, items = block.value
+    if (name, window) not in _made:
+        _made.clear()
+        _made[name, window] = tables_of(items, window)
+    return _made[name, window]
+
+
+def _joined(batches):
+    """Rows whose spans, those of several blocks one after the other, are put in order and merged."""
+    for batch in batches:
+        k = batch.schema.get_field_index("spans")
+        spans = [[{"s": a, "e": b} for a, b in _merged([(x["s"], x["e"]) for x in own])] for own in batch.column(k).to_pylist()]
+        yield batch.set_column(k, batch.schema.field(k), pa.array(spans, batch.column(k).type))
 
 
 def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, spans (array of [from, to) word places inside any occurrence, merged) and
     items (those with an occurrence, sorted as numbers). One block of item texts is searched at a time; with more than
-    one the blocks' results are put together by row. Nulls have no words; repeated rows stay; further columns are
-    ignored."""
-    blocks = list(_blocks(items, item_col, item_text_col))
+    one, each block's hits are written before the next one is taken up, and put together by row. Null texts have no
+    words; rows that repeat, and null ids, stay as rows of their own; further columns are ignored; no row gives no row,
+    and without items every row has no occurrence."""
+    blocks = _Blocks(items, window, item_col, item_text_col)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
-    if len(blocks) > 1:
+    if blocks.n > 1:
         source = common.stored(source.withColumn("row", F.monotonically_increasing_id()), "numbered")
     span = pa.struct([("s", pa.int32()), ("e", pa.int32())])
     found = [("n_words", pa.int64()), ("spans", pa.list_(span)), ("items", pa.list_(pa.int64()))]
     head = ", ".join(f"{f.name} long" for f in source.schema if f.name != "body")
-    results = []
-    for texts in blocks:
+    out = None
+    for block in blocks:
 
-        def run(batches, texts=texts):
-            tables = tables_of(texts.value, window)
+        def run(batches, block=block):
+            tables = _tables(block, window)
             for big in batches:
                 for at in range(0, big.num_rows, 1024):
                     batch = big.slice(at, 1024)
@@ -121,26 +170,27 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col:
                     made = [pa.array(c, t) for c, (_, t) in zip((counts, spans, hits), found, strict=True)]
                     yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + made, names=[batch.schema.names[i] for i in rest] + [n for n, _ in found])
 
-        results.append(source.mapInArrow(run, f"{head}, n_words long, spans array<struct<s:int,e:int>>, items array<long>"))
-    out = results[0]
-    if len(blocks) > 1:
-        for more in results[1:]:
-            out = out.unionByName(more)
+        made = source.mapInArrow(run, f"{head}, n_words long, spans array<struct<s:int,e:int>>, items array<long>")
+        if blocks.n > 1:  # every row from the first block, from others those with a hit
+            made = common.stored(made if out is None else made.where(F.size("items") > 0), "hits")
+        out = made if out is None else out.unionByName(made)
+    if blocks.n > 1:
         firsts = [F.first(c).alias(c) for c in ("doc_id", "n_words")]
-        out = out.groupBy("row").agg(*firsts, F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
-        joined = "aggregate(spans, cast(array() as array<struct<s:int,e:int>>), (a, x) -> if(size(a) > 0 and x.s <= element_at(a, -1).e, concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(x.e, element_at(a, -1).e)))), concat(a, array(x))))"
-        out = out.withColumn("spans", F.expr(joined))
+        out = out.groupBy("row").agg(*firsts, F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        out = out.mapInArrow(_joined, out.schema)
     return out.select("doc_id", "n_words", "spans", "items")
 
 
 def without_occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no window of any item occurs. A block of item texts after
-    the other takes its rows out; texts cross to Python once a block."""
+    the other takes its rows out; texts cross to Python once a block. Null and empty texts stay, as do rows that repeat
+    and null ids; without items all rows stay."""
     at = docs.columns.index(text_col)
-    for number, texts in enumerate(_blocks(items, item_col, item_text_col)):
+    blocks = _Blocks(items, window, item_col, item_text_col)
+    for number, block in enumerate(blocks, 1):
 
-        def run(batches, texts=texts):
-            tables = tables_of(texts.value, window)
+        def run(batches, block=block):
+            tables = _tables(block, window)
             for big in batches:
                 for first in range(0, big.num_rows, 1024):
                     batch = big.slice(first, 1024)
@@ -151,7 +201,9 @@ def without_occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                         free.append(not any(True for table in tables for _ in table.search(words)))
                     yield batch.filter(pa.array(free, pa.bool_()))
 
-        docs = (common.stored(docs, "left") if number else docs).mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
+        if number < blocks.n:
+            docs = common.stored(docs, "left")
     return docs
 
 

@@ -145,9 +145,10 @@ ITEMS = [(1, "a b c d e f g h i j"), (2, "x y z"), (3, "c d e f g h i j k"), (4,
 DOCS = [(1, "zero A b, c d e f g h i j k end"), (2, "x y x y z z"), (3, ""), (4, None), (5, "a b c d e f g"), (6, "x y z " * 200), (7, "q q q q q q q q q")]
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 12])
-def test_windows(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, piece", [(decontaminate.BLOCK_BYTES, decontaminate.PIECE_WORDS), (12, 5000), (40, 2), (10**6, 1)])
+def test_windows(spark, monkeypatch, block, piece):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", piece)
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     found = sorted(tuple(r) for r in decontaminate.contamination(docs, items).collect())
@@ -158,6 +159,25 @@ def test_windows(spark, monkeypatch, block):
     assert {r.n_items for r in decontaminate.contamination(docs, items.where("false")).collect()} == {0}
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 400])
+def test_windows_of_odd_rows(spark, odd, none, monkeypatch, block):
+    """Nulls, empty, repeated and very long texts, clashing columns; a very long item is found in each of its parts."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    long = " ".join(f"i{k}" for k in range(30_000))
+    items = [(1, "the same text of several words that is repeated here"), (2, "a row without an id that has some words"), (3, long), (4, None), (5, "")]
+    df = spark.createDataFrame([(*x, "y", 1) for x in items], "item_id long, text string, body string, row long") if block > 400 else spark.createDataFrame([(i, t, "y", 1) for i, t in items[:2]], "item_id long, text string, body string, row long")
+    more = odd.unionByName(odd.where("doc_id = 9").withColumn("doc_id", F.lit(77).cast("long")).withColumn("text", F.lit(" ".join(f"I{k}" for k in range(12_345, 12_353)))))
+    rows = decontaminate.contamination(more, df).collect()
+    assert len(rows) == 12
+    found = sorted(((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in rows))
+    expected = sorted((i or 0, w, h, n) for i, w, h, n, *_ in decontaminate.brute_force([(r.doc_id, r.text) for r in more.select("doc_id", "text").where("length(text) < 1000 or text is null").collect()], [(i, t) for i, t in items if block > 400 and i != 3 or i < 3]))
+    assert [x for x in found if x[0] not in (4, 77)] == [x for x in expected if x[0] != 77]
+    assert [x[2:] for x in found if x[0] == 77] == [(8, 1) if block > 400 else (0, 0)] and [x[1:] for x in found if x[0] == 4] == [(60_000, 0, 0)]
+    left = decontaminate.without_occurrences(more, df)
+    assert left.columns == more.columns and sorted(r.doc_id or 0 for r in left.collect()) == sorted(x[0] for x in found if not x[3])
+    assert decontaminate.contamination(none, df).count() == 0 and decontaminate.without_occurrences(none, df).count() == 0
+
+
 def test_windows_of_documents(spark, sf, documents):
     import duckdb
 
