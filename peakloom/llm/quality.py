@@ -80,9 +80,32 @@ class Model:
         return _sigmoid(self.logits(x).astype(np.float64))
 
 
+def _loss(z: np.ndarray) -> np.ndarray:
+    """Logistic loss of logits of texts that should score high; of ``-z``, low."""
+    return np.logaddexp(0, -z)
+
+
+def pu_risk(pos: np.ndarray, unl: np.ndarray, prior: float | None) -> float:
+    """The non-negative unbiased risk of logits: prior * R(pos, +) + max(0, R(unl, -) - prior * R(pos, -)). With
+    ``prior`` None: plain positive-against-unlabelled logistic risk."""
+    if prior is None:
+        return float(_loss(pos).mean() + _loss(-unl).mean())
+    return float(prior * _loss(pos).mean() + max(0.0, _loss(-unl).mean() - prior * _loss(-pos).mean()))
+
+
+def pu_step(pos: np.ndarray, unl: np.ndarray, prior: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """What a step goes down, by the logits of both: the gradient of the risk where the bracket isn't negative; else the
+    bracket itself is driven up."""
+    sp, su = _sigmoid(pos), _sigmoid(unl)
+    if prior is None:
+        return (sp - 1) / len(sp), su / len(su)
+    if _loss(-unl).mean() - prior * _loss(-pos).mean() >= 0:
+        return (prior * (sp - 1) - prior * sp) / len(sp), su / len(su)
+    return prior * sp / len(sp), -su / len(su)
+
+
 def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, hidden: int = 24, epochs: int = 30, batch: int = 512, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Adam on the logistic non-negative PU risk: prior * R(pos, +) + max(0, R(unl, -) - prior * R(pos, -)); where the
-    bracket is negative the step goes up it instead. With ``prior`` None: plain positive-against-unlabelled logistic."""
+    """Adam on :func:`pu_risk`, in batches."""
     rng = np.random.default_rng(seed)
     every = np.concatenate([pos, unl])
     mean, scale = every.mean(0), every.std(0) + 1e-2
@@ -95,18 +118,8 @@ def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, hidden: int = 24
             a, b = pos[rng.integers(len(pos), size=batch)], unl[rng.integers(len(unl), size=batch)]
             x = np.concatenate([a, b])
             h = np.maximum(x @ p[0] + p[1], 0)
-            s = _sigmoid(h @ p[2] + p[3])
-            sp, su = s[:batch], s[batch:]
-            g = np.zeros(2 * batch)
-            if prior is None:
-                g[:batch], g[batch:] = (sp - 1) / batch, su / batch
-            else:
-                minus = lambda q: -np.log(np.clip(1 - q, 1e-9, 1)).mean()
-                if minus(su) - prior * minus(sp) >= 0:
-                    g[:batch] = prior * (sp - 1) / batch - prior * sp / batch
-                    g[batch:] = su / batch
-                else:
-                    g[:batch], g[batch:] = prior * sp / batch, -su / batch
+            z = h @ p[2] + p[3]
+            g = np.concatenate(pu_step(z[:batch], z[batch:], prior))
             back = np.outer(g, p[2]) * (h > 0)
             grads = [x.T @ back + decay * p[0], back.sum(0), h.T @ g + decay * p[2], np.array([g.sum()])]
             t += 1
@@ -146,13 +159,16 @@ def remainder(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model | None:
     """A model of a sample by hash of the id: at most about ``most_positive`` texts labelled good and
-    ``most_unlabelled`` of all texts, both from rows that aren't held out. One pass over the texts."""
+    ``most_unlabelled`` of all texts, both from rows that aren't held out. One pass over the texts. Of rows that share an
+    id one counts, so the driver gets at most about as many rows as both bounds allow, whatever repeats. Null ids are
+    left out, null and empty texts have features of zeros, and labels without a document, or null, are of no account;
+    without positives or without documents there is no model."""
     seen = lambda c: F.coalesce(remainder(c), F.lit(0)) != 0
     share = lambda c, most, n: F.pmod(F.xxhash64(c, F.lit(17)), F.lit(1 << 30)) < int(min(1.0, most / max(1, n)) * (1 << 30))
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where(seen(F.col("doc_id"))).distinct()
     good = good.where(share(F.col("doc_id"), most_positive, good.count())).withColumn("good", F.lit(1))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body")).where(seen(F.col("doc_id")))
-    n = docs.select("doc_id").count()
+    n = docs.agg(F.approx_count_distinct("doc_id", 0.01)).first()[0]
     rows = rows.join(F.broadcast(good), "doc_id", "left")  # at most about most_positive rows
     rows = rows.withColumn("any", share(F.concat_ws("/", "doc_id"), most_unlabelled, n)).where("good = 1 or any")
 
@@ -162,7 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
             get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([get("doc_id"), get("good"), get("any"), pa.array(made, pa.binary())], names=["doc_id", "good", "any", "x"])
 
-    sample = sorted(((r.doc_id, r.good, r["any"], bytes(r.x)) for r in rows.mapInArrow(run, "doc_id long, good int, any boolean, x binary").collect()), key=lambda r: (r[0], r[3]))
+    made = rows.mapInArrow(run, "doc_id long, good int, any boolean, x binary")
+    made = made.groupBy("doc_id").agg(F.max("good").alias("good"), F.max("any").alias("any"), F.min("x").alias("x"))
+    sample = sorted(((r.doc_id, r.good, r["any"], bytes(r.x)) for r in made.collect()), key=lambda r: (r[0], r[3]))
     matrix = lambda chosen: np.frombuffer(b"".join(chosen), dtype=np.float32).reshape(-1, N_FEATURES).astype(np.float64)
     return train(matrix([r[3] for r in sample if r[1]]), matrix([r[3] for r in sample if r[2]]))
 
@@ -192,7 +210,8 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
 
 
 def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text scores ``threshold`` or more. One narrow pass."""
+    """The rows of ``docs``, with all their columns, whose text scores ``threshold`` or more. One narrow pass. A
+    null text is empty; rows that repeat, and null ids, are kept or not like others; without a model all stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -162,6 +163,48 @@ def test_quality(spark, sf, small_dir):
     assert quality.score(docs.where("false"), None).count() == 0
 
 
+@pytest.mark.parametrize("prior", [None, 0.2, 0.7, 0.95])
+def test_risk_and_its_gradient(prior):
+    """The risk is its formula written out term by term, and a step goes along its numerical gradient."""
+    rng = np.random.default_rng(1)
+    for shift in (-3.0, 0.0, 3.0):
+        pos, unl = rng.normal(1 + shift, 1, 7), rng.normal(shift, 2, 9)
+        plus = [float(np.log(1 + np.exp(-z))) for z in pos]
+        minus = [float(np.log(1 + np.exp(z))) for z in pos]
+        low = [float(np.log(1 + np.exp(z))) for z in unl]
+        bracket = sum(low) / 9 - (prior or 0) * sum(minus) / 7
+        expected = sum(plus) / 7 + sum(low) / 9 if prior is None else prior * sum(plus) / 7 + max(0.0, bracket)
+        assert quality.pu_risk(pos, unl, prior) == pytest.approx(expected, rel=1e-12)
+        goal = (lambda a, b: quality.pu_risk(a, b, prior)) if prior is None or bracket >= 0 else lambda a, b: prior * np.logaddexp(0, a).mean() - np.logaddexp(0, b).mean()
+        for own, which in zip(quality.pu_step(pos, unl, prior), (0, 1), strict=True):
+            for k in range(len(own)):
+                ends = []
+                for d in (-1e-5, 1e-5):
+                    both = [pos.copy(), unl.copy()]
+                    both[which][k] += d
+                    ends.append(goal(*both))
+                assert own[k] == pytest.approx((ends[1] - ends[0]) / 2e-5, abs=1e-6)
+
+
+def test_repeated_ids_are_sampled_once(spark, monkeypatch):
+    """A labelled id that a third of all rows share reaches the driver as one row."""
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda pos, unl: seen.append((len(pos), len(unl))))
+    rows = [(k if k % 3 else 1, f"text number {k}") for k in range(3000)]
+    labels = spark.createDataFrame([(1, 1), (2, 1), (4, 1), (5, 0), (None, 1)], "doc_id long, quality int")
+    assert quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels) is None
+    kept = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5}
+    assert seen == [(len(kept & {1, 2, 4}), len(kept))]
+
+
+def test_quality_stage_against_scores(spark, sf):
+    """The rows that stay are those, in all their columns, that the model itself scores 0.3 or more, one by one."""
+    docs = common.corpus(spark, sf)
+    model = quality.fit(docs, common.corpus(spark, sf, "labels"))
+    kept = sorted(map(tuple, quality.keep_good(docs, model).collect()))
+    assert kept == sorted(tuple(r) for r in docs.collect() if model.scores(quality.features((r.text or "").encode())[None])[0] >= 0.3) and kept
+
+
 def test_prior_is_found():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(1, 1, (3000, 5)), rng.normal(-2, 1, (1200, 5))
