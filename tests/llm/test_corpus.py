@@ -79,17 +79,55 @@ def test_edited_odd(odd, none):
     assert fingerprints.compare_edited(none).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(30))
+class Folded(sharding.Stretches):
+    """Groups behind stretches of up to five, which part into single ones."""
+
+    def __init__(self, groups):
+        self.groups = groups
+        parts = [groups[i : i + 5] for i in range(0, len(groups), 5)]
+        super().__init__([(p[0][0], sum(s for _, s in p), max(s for _, s in p), len(p)) for p in parts])
+
+    def refine(self, wanted):
+        kept = [r for i, r in enumerate(self.rows) if i not in wanted]
+        for i in wanted:
+            at = next(k for k, g in enumerate(self.groups) if g[0] == self.rows[i][0])
+            kept += [(k, s, s, 1) for k, s in self.groups[at : at + self.rows[i][3]]]
+        self._set(kept)
+
+
+@pytest.mark.parametrize("seed", range(60))
 def test_minimax(seed):
+    """The capacity and the largest shard of the final cuts are those of the best of all partitions."""
     rng = random.Random(seed)
-    groups = [(f"{i:04d}", rng.randint(1, 20)) for i in range(rng.randint(1, 11))]
-    k, n = rng.randint(1, 4), 0
-    n = len(groups)
-    best = min(max(sum(s for _, s in groups[x:y]) for x, y in zip((0, *c), (*c, n), strict=True)) for c in itertools.combinations(range(1, n), min(k, n) - 1))
-    capacity, _ = sharding.minimax(sharding.Listed(groups), k)
-    assert capacity == max(best, -(-sum(s for _, s in groups) // k))
-    keys = sharding.balanced(sharding.Listed(groups), k)
-    assert len(keys) < k and keys == sorted(set(keys))
+    n, k = rng.randint(1, 12), rng.randint(1, 5)
+    groups = [(f"{i:04d}", rng.choice([rng.randint(1, 20), rng.randint(1, 3), 60 if rng.random() < 0.2 else 5])) for i in range(n)]
+    shards = lambda c: [sum(s for _, s in groups[x:y]) for x, y in zip((0, *c), (*c, n), strict=True)]
+    best = min(max(shards(c)) for c in itertools.combinations(range(1, n), min(k, n) - 1))
+    for make in (sharding.Listed, Folded):
+        capacity, _ = sharding.minimax(make(groups), k)
+        assert capacity == best
+        keys = sharding.balanced(make(groups), k)
+        assert len(keys) < k and keys == sorted(set(keys))
+        assert max(shards([int(x) for x in keys])) == best
+
+
+def test_cuts_of_many_groups(spark):
+    """Groups of a table, refined by digits, are cut as the whole list would be, with ties and one hot group too."""
+    for hot in (0, 40_000):
+        rows = [(hashlib.md5(str(i).encode()).hexdigest(), 1 + i % 7) for i in range(20_000)]
+        rows += [(hashlib.md5(b"hot").hexdigest(), hot)] if hot else []
+        df = spark.createDataFrame(rows, "key string, bytes long")
+        for digits in (1, 3):
+            own = sharding.Ordered(df, digits)
+            assert sharding.balanced(own, 8) == own_keys(sorted(rows), own)
+        assert len(own.rows) < 5000
+
+
+def own_keys(rows, own):
+    """First keys of the stretches of one group, or the whole keys that begin with them."""
+    cuts = sharding.balanced(sharding.Listed(rows), 8)
+    firsts = [r[0] for r in own.rows]
+    return [next(f for f in firsts if c.startswith(f)) for c in cuts]
 
 
 def test_shards(spark, odd, none, documents):
