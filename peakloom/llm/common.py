@@ -51,13 +51,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written once as a table in the shared folder and read again: later stages survive lost executors and
-    see one fixed version of values that depend on the partitioning."""
+    see one fixed version of values that depend on the partitioning. A table at a given ``path`` is the caller's."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if path is None:
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _tables.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
-    _tables.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,15 +31,16 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return shift + np.arange(total)
 
 
-def repair(seq: np.ndarray, last: np.ndarray, base: int, least: int = 6, a_round: int = 8192, least_gain: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(seq: np.ndarray, last: np.ndarray, base: int, least: int = 5, a_round: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair in rounds: count all adjacent pairs, give each of the ``a_round`` most frequent a nonterminal, replace
-    their occurrences from left to right, and again on the shorter sequence, until no pair occurs ``least`` times or a
-    round shortens the sequence by less than ``least_gain`` of it. ``last`` marks symbols at the end of a document; no
-    pair starts there. -> sequence, its marks, rules (R, 2)."""
+    their occurrences from left to right, and again on the shorter sequence, until no pair occurs ``least`` times. A rule
+    takes two symbols and four bytes of the file and saves a symbol an occurrence, so with symbols of two bytes it pays
+    from five occurrences on. ``last`` marks symbols at the end of a document; no pair starts there. -> sequence, its
+    marks, rules (R, 2)."""
     rules: list[np.ndarray] = []
     symbols = base
     while len(seq) > 1:
-        width, bits = (np.uint32, 16) if symbols <= 0xFFFE else (np.uint64, 32)
+        width, bits = (np.uint32, 16) if symbols + a_round < 0xFFFF else (np.uint64, 32)
         pairs = seq[:-1].astype(width)
         pairs <<= width(bits)
         pairs |= seq[1:].astype(width)
@@ -48,12 +49,11 @@ def repair(seq: np.ndarray, last: np.ndarray, base: int, least: int = 6, a_round
         ordered = np.sort(pairs)
         edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
         counts, values = np.diff(edges), ordered[edges[:-1]]
-        room = min(a_round, 0xFFFE - symbols if bits == 16 else a_round)
         often = np.flatnonzero((counts >= least) & (values != none))
-        if not len(often) or room <= 0:
+        if not len(often):
             break
-        if len(often) > room:
-            often = often[np.argpartition(-counts[often], room - 1)[:room]]
+        if len(often) > a_round:
+            often = often[np.argpartition(-counts[often], a_round - 1)[:a_round]]
         chosen = np.sort(values[often])
         # a small table by hash gives each pair's number; of two that share a slot one waits for the next round
         slots = (chosen * width(2654435761) >> width(12)) & width(0xFFFFF)
@@ -87,8 +87,6 @@ def repair(seq: np.ndarray, last: np.ndarray, base: int, least: int = 6, a_round
         left[places + 1] = False
         seq, last = seq[left], last[left]
         symbols += len(made)
-        if len(places) < least_gain * size:
-            break
     return seq, last, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
 
 
@@ -183,10 +181,13 @@ class Shard:
             d = upto
 
 
-def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text", out: str | None = None) -> DataFrame:
     """The ids of all rows, each with the end id, as shard files in ascending doc_id order (nulls first, equal ids by
-    text), written to the shared folder: a table part, part_start (tokens of the task before the shard), n_tokens,
-    doc_ids, blob. One shuffle by ranges of doc_id; a shard ends once it has ``shard_tokens`` tokens."""
+    text): a table part, part_start (tokens of the task before the shard), n_tokens, doc_ids, blob, each blob a file of
+    the format above. It is written to ``out``, which stays and which ``read_shards(spark.read.parquet(out))`` reads at
+    any time, or else to the shared folder for the time of the session. One shuffle by ranges of doc_id and text; a
+    shard ends once it has ``shard_tokens`` tokens. A null or empty text is the end id alone, rows that repeat stay,
+    further columns are ignored, and no row gives no shard."""
     path = path or tokens.default_path()
     schema = pa.schema([("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("blob", pa.binary())])
     last = end_id.to_bytes(4, "little")
@@ -210,11 +211,13 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return common.stored(ordered.mapInArrow(run, "part int, part_start long, n_tokens long, doc_ids array<long>, blob binary"), "shards")
+    made = ordered.mapInArrow(run, "part int, part_start long, n_tokens long, doc_ids array<long>, blob binary")
+    return common.stored(made, "shards", out)
 
 
 def read_shards(shards: DataFrame, with_ids: bool = True) -> DataFrame:
-    """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked, ids."""
+    """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked, ids
+    (binary, unsigned 32-bit little-endian). A blob that isn't of the format is an error; no shard gives no row."""
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     offsets = common.small(common.running_offsets(totals, ["part"], "n"))
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]

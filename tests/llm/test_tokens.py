@@ -68,8 +68,25 @@ def test_grammar_round_trip(seed):
         grammar.Shard(b"x" * 40)
 
 
-def test_shards(spark, odd, none, tokenizer):
-    out = grammar.read_shards(grammar.write_shards(odd, shard_tokens=40)).orderBy("start").collect()
+def test_more_symbols_than_two_bytes_hold():
+    """Rules go on beyond 65,536 symbols, and until no pair is frequent."""
+    rng = np.random.default_rng(8)
+    words = [rng.integers(0, 2**31, 3).astype("<u4") for _ in range(30_000)]
+    docs = [np.concatenate([words[i] for i in rng.integers(0, len(words), 60)]).tobytes() for _ in range(4000)]
+    blob = grammar.encode(docs)
+    assert int.from_bytes(blob[20:24], "little") == 4
+    shard = grammar.Shard(blob)
+    assert list(shard.documents()) == docs
+    ends = np.zeros(len(shard.seq), bool)
+    ends[shard.offsets[1:] - 1] = ends[-1] = True
+    pairs = np.stack([shard.seq[:-1], shard.seq[1:]], axis=1)[~ends[:-1]]
+    assert np.unique(pairs, axis=0, return_counts=True)[1].max() < 5 and len(blob) < 0.75 * sum(map(len, docs))
+
+
+def test_shards(spark, odd, none, tokenizer, tmp_path):
+    kept = str(tmp_path / "kept")
+    grammar.write_shards(odd, shard_tokens=40, out=kept)
+    out = grammar.read_shards(spark.read.parquet(kept)).orderBy("start").collect()
     assert [r.doc_id for r in out] == [None, 1, 2, 3, 4, 5, 6, 6, 7, 8, 9]
     text = {r.doc_id: r.text for r in odd.collect()}
     at = 0
