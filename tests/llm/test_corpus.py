@@ -179,6 +179,46 @@ def test_near_duplicates_odd(odd, none):
     assert left.columns == odd.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 5, 7, 8, 9]
 
 
+def test_texts_of_one_id_and_rows_without_ids(spark):
+    """Different texts under one id are classes of their own; near copies among rows without an id are linked too."""
+    base = [f"v{k}" for k in range(60)]
+    near = " ".join([*base[:-2], "x", "y"])
+    other = " ".join(f"u{k}" for k in range(40))
+    rows = [(7, " ".join(base)), (7, other), (7, other), (3, near), (None, near + " z"), (None, other), (None, "lone words without an id"), (None, "lone words without an id"), (9, "a b c"), (9, None), (9, None), (12, "q " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in nearduplicates.near_duplicates(df).collect()), key=str)
+    assert found == sorted([(7, 59, 3, False), (7, 39, 7, True), (7, 39, 7, True), (3, 59, 3, True), (0, 60, 3, False), (0, 39, 7, False), (0, 4, None, True), (0, 4, None, True), (9, 2, 9, True), (9, 0, 9, True), (9, 0, 9, True), (12, 1, 12, True)], key=str)
+    left = sorted(((r.doc_id or 0, r.text or "") for r in nearduplicates.keep_one(df, words=2).collect()))
+    assert left == sorted([(7, other), (3, near), (0, "lone words without an id"), (9, "a b c"), (9, ""), (9, ""), (12, "q " * 9)])
+
+
+def test_a_hot_bucket_is_salted(spark, monkeypatch):
+    """Joins on keys that many rows share give the rows of a plain join, in parts of bounded size."""
+    monkeypatch.setattr(nearduplicates, "HOT_ROWS", 50)
+    left = spark.range(3000).select((F.when(F.col("id") < 1000, 0).otherwise(F.col("id") % 500)).alias("k"), F.col("id").alias("v"))
+    right = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    assert sorted(map(tuple, nearduplicates.spread(left, right, "k", "v").collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+    rng = np.random.default_rng(3)
+    base = [f"v{k}" for k in rng.integers(0, 10**6, 90)]
+    rows = list(enumerate(near_copies(rng, base, 400, 14) + [" ".join(base)] * 200 + [None] * 200))
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nearduplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == nearduplicates.brute_force(rows)
+
+
+@pytest.mark.parametrize("together", [5, 9, 10, 20, 60, 300])
+def test_recall_of_bands(together):
+    """Pairs of sets at a similarity of just 0.8 and above share a key; the smallest ones without exception."""
+    rng = np.random.default_rng(together)
+    for shared in sorted({-(-8 * together // 10), -(-9 * together // 10)}):
+        missed, n = 0, 400
+        for _ in range(n):
+            own = rng.integers(0, 2**64, together, dtype=np.uint64)
+            only_a = rng.integers(0, together - shared + 1)
+            a, b = np.delete(own, np.arange(shared, shared + only_a)), own[: shared + only_a]
+            missed += not set(nearduplicates.band_keys(np.unique(a)).tolist()) & set(nearduplicates.band_keys(np.unique(b)).tolist())
+        assert missed == 0
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     nodes = spark.range(103).withColumnRenamed("id", "node")
@@ -266,7 +306,17 @@ def test_pipeline_stages(spark, sf):
     assert set(rows[3]) == clean and 0 < len(clean) < len(rows[2])
     assert rows[4] == {i: pii.redacted(t, pii.spans_of(t)[1]) for i, t in rows[3].items()}
     pieces = corpus_pipeline.STAGES[-1][1](spark, kept[-1], sf)
-    assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == set(rows[4])
+    from tokenizers import Tokenizer
+
+    from peakloom.llm import tokens
+
+    tokenizer = Tokenizer.from_file(tokens.default_path())
+    own, at = {}, 0
+    for r in pieces.orderBy("sequence_id", "offset").collect():
+        assert r.sequence_id * 4096 + r.offset == at and r.offset + r.length <= 4096 and zlib.crc32(r.ids) == r.ids_crc32
+        at += r.length
+        own.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
+    assert {i: b"".join(x for _, x in sorted(p)) for i, p in own.items()} == {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for i, t in rows[4].items()}
 
 
 def test_pipeline_of_odd_rows(spark, small_dir):
