@@ -30,7 +30,7 @@ from .fingerprints import _mixed, shingle_hashes
 #: FEW_SHINGLES have keys of all their subsets without one shingle too, which finds all pairs of up to nine together.
 WORDS, PERCENT, ROWS, BANDS, FEW_SHINGLES = 2, 80, 3, 40, 10
 #: A chunk that a single task compares: shingles of eight bytes, and what a row counts beside its shingles.
-CHUNK, ROW_WEIGHT = 100_000, 100
+CHUNK, ROW_WEIGHT = 32_000, 100
 #: Rows of one join key from which it is salted; more where there would be over 10,000 such keys.
 HOT_ROWS = 2000
 
@@ -219,7 +219,9 @@ def unresolved(members: DataFrame, sets: DataFrame, several: DataFrame, percent:
     alone, joint = _weighed(torn, "key"), _weighed(torn.dropDuplicates(["main", "node"]), "main")
     by_main = mains.join(alone, "key").groupBy("main").agg(F.sum("sent").alias("alone")).join(joint, "main")
     by_main = by_main.select("main", F.when(F.col("sent") <= F.col("alone"), F.struct("n_main", "n_rest")).alias("joint"))
-    plan = mains.join(alone, "key").join(by_main, "main")
+    by_main = common.stored(by_main, "by_main")
+    kept = mains.join(alone, "key")
+    plan = kept.join(F.broadcast(by_main), "main") if by_main.limit(common.SMALL_ROWS + 1).count() <= common.SMALL_ROWS else spread(kept, by_main, "main", "key")
     plan = common.stored(plan.select("key", F.col("joint").isNotNull().alias("together"), F.coalesce("joint", F.struct("n_main", "n_rest")).alias("parts")), "plan")
     rows = spread(torn, plan, "key", "node", several)
     # labels and keys are different numbers, so the pair names the group
