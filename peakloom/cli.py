@@ -22,6 +22,7 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--params", help="CSV of parameters")
         p.add_argument("--samples", help="CSV of samples")
         p.add_argument("--group", default="group", help="column of the sample table to classify by")
+        p.add_argument("--features", help="Parquet of the aligned features, for build-classifier: of these, annotated ones of good shape are taken")
     args = parser.parse_args(sys.argv[1:] if argv is None else argv)
     spark = SparkSession.builder.appName("peakloom").getOrCreate()
     params = read_params(spark, args.params) if args.params else Params()
@@ -39,7 +40,9 @@ def main(argv: list[str] | None = None) -> int:
 
         samples = projects.read_samples(spark, args.samples).where(F.col(args.group).isNotNull() & ~F.col("is_qc") & ~F.col("is_blank"))
         labels = StringIndexer(inputCol=args.group, outputCol="label", stringOrderType="alphabetAsc").fit(samples).transform(samples).select("sample_id", "label", args.group)
-        model, columns, _ = workflows.build_classifier(spark.read.parquet(args.data), labels)
+        model, columns, rows = workflows.build_classifier(spark.read.parquet(args.data), labels, features=spark.read.parquet(args.features) if args.features else None)
+        for name, table in workflows.assess_classifier(rows).items():
+            table.coalesce(1).write.mode("overwrite").csv(f"{args.out}/{name}", header=True)
         model.write().overwrite().save(f"{args.out}/model")
         columns.write.mode("overwrite").parquet(f"{args.out}/columns")
         labels.select("label", args.group).distinct().coalesce(1).write.mode("overwrite").csv(f"{args.out}/groups", header=True)

@@ -86,6 +86,28 @@ def cross_validate(rows: DataFrame, n_features: int, folds: int = 5, key: str =
     return rows.sparkSession.createDataFrame(out, "fold int, n long, accuracy double")
 
 
+def roc_curve(scored: DataFrame, label: str = "label", probability: str = "probability") -> DataFrame:
+    """place, fpr and tpr of each cut of the second class's probability, from (0, 0) on; rows of equal scores are one
+    step. One row a distinct score, so the window is that of a hold-out of samples."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import Window
+
+    own = scored.select(F.round(F.get(vector_to_array(probability), F.lit(1)), 12).alias("s"), F.col(label).alias("y"))
+    steps = own.groupBy("s").agg(F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") > 0, 0).otherwise(1)).alias("n"))
+    upto, whole = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    rates = steps.select(F.row_number().over(Window.orderBy(F.col("s").desc())).alias("place"), F.try_divide(F.sum("n").over(upto).cast("double"), F.sum("n").over(whole)).alias("fpr"), F.try_divide(F.sum("p").over(upto).cast("double"), F.sum("p").over(whole)).alias("tpr"))
+    return scored.sparkSession.createDataFrame([(0, 0.0, 0.0)], "place int, fpr double, tpr double").unionByName(rates)
+
+
+def area_under(roc: DataFrame) -> DataFrame:
+    """auc: the area under a curve of :func:`roc_curve`, by trapezoids."""
+    from pyspark.sql import Window
+
+    order = Window.orderBy("place")
+    parts = roc.select((F.col("fpr") - F.lag("fpr").over(order)).alias("w"), ((F.col("tpr") + F.lag("tpr").over(order)) / 2).alias("h"))
+    return parts.agg(F.sum(F.col("w") * F.col("h")).alias("auc"))
+
+
 def match_to_model(features: DataFrame, known: DataFrame, mz_tol: float = 0.01, rt_tol: float = 0.3) -> DataFrame:
     """Known features (known_id, known_mz, known_rt) with the nearest feature within both tolerances; null where there is
     none, to be imputed by name rather than by place."""

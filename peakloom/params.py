@@ -45,11 +45,14 @@ class Params:
     rt_tol_annotation: float = 0.2
     ms2_sim_tol: float = 0.7
     consider_rt: bool = False
+    fuzzy_search: bool = False
     ms2_library_path: str | None = None
     mzrt_list_path: str | None = None
     signal_normalization: bool = False
     sample_normalization: bool = False
     quant_method: str = "peak_height"
+    run_statistics: bool = False
+    by_group_name: str | None = None
     ion_mode: str = "positive"
     ms_type: str | None = None
 

@@ -148,7 +148,17 @@ def _row(sample: str, scan: tuple) -> tuple:
 _NAMES = ["sample_id", "scan_id", "level", "rt", "precursor_mz", "iso_lo", "iso_hi", "peaks"]
 
 
-def read_scans(spark: SparkSession, path: str, levels: tuple[int, ...] = (1, 2), rt_low: float = 0.0, rt_high: float = 1e9) -> tuple[DataFrame, DataFrame]:
+def raw_files(spark: SparkSession, path: str, done: DataFrame | None = None) -> list[str]:
+    """Paths of the raw files at a path, folder or pattern, without those of the samples (sample_id) in ``done``. Only
+    names are read, one a file."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][zZ]*[mM][lL]").load(path).select("path")
+    named = files.withColumn("sample_id", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))
+    if done is not None:
+        named = named.join(done.select("sample_id").distinct(), "sample_id", "left_anti")
+    return sorted(r.path for r in named.select("path").collect())
+
+
+def read_scans(spark: SparkSession, path: str | list[str], levels: tuple[int, ...] = (1, 2), rt_low: float = 0.0, rt_high: float = 1e9) -> tuple[DataFrame, DataFrame]:
     """(scans, errors) of all mzML and mzXML files at a path, folder or pattern. A file that can't be parsed gives a row
     (sample_id, step, message) in errors and no scans. One file is one row of Spark's binary reader, parsed once."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][zZ]*[mM][lL]").load(path).select("path", "content")

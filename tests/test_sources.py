@@ -213,3 +213,83 @@ def test_grouping_by_chromatograms_of_the_reference_file(spark):
         found = detection.group_ions(detection.pair_correlations(rows, peaks)).collect()
         assert len({r.group_id for r in found}) == n_groups
         assert {r.fid: r.adduct for r in found}["y"] == ("[M+Na]+" if n_groups == 1 else "[M+H]+")
+
+
+MSP = "NAME: found\nPRECURSORMZ: 200.2\nPRECURSORTYPE: [M+H]+\nIONMODE: Positive\nNum Peaks: 2\n80.5 900\n120.25 4000\n\nNAME: moved\nPRECURSORMZ: 500.0\nIONMODE: Positive\nNum Peaks: 2\n80.5 900\n120.25 4000\n"
+
+
+def test_single_file_is_annotated(spark, folder, tmp_path):
+    (tmp_path / "l.msp").write_text(MSP)
+    rows = workflows.process_single_file(spark, f"{folder}/a.one.mzML", Params(ms2_library_path=str(tmp_path / "l.msp"))).collect()
+    found = {round(r.mz, 1): (r.annotation, r.search_mode, r.adduct, r.matched_peak_number) for r in rows if r.annotation}
+    assert found == {200.2: ("found", "identity_search", "[M+H]+", 2)} and len(rows) == 5
+
+
+def test_workflow_annotates_and_tests(spark, folder, tmp_path):
+    (tmp_path / "l.msp").write_text(MSP)
+    (tmp_path / "s.csv").write_text("sample_name,is_qc,is_blank,kind\na.one,,,x\nb,,,x\nc,,,y\n")
+    params = Params(correct_rt=False, ms2_library_path=str(tmp_path / "l.msp"), run_statistics=True, by_group_name="kind")
+    out = workflows.untargeted(spark, folder, str(tmp_path / "out"), params, str(tmp_path / "s.csv"))
+    rows = {round(r.mz, 1): r for r in out["aligned"].collect() if r.annotation}
+    assert set(rows) == {200.2} and rows[200.2].search_mode == "identity_search" and rows[200.2].ms2_reference_file in ("a.one", "b", "c")
+    assert out["components"].count() == 3 and out["neighbours"].count() == 6 and "univariate" in out
+
+
+def test_later_spectra_of_a_feature_are_searched(spark, tmp_path):
+    """The best spectrum matches nothing, the third does: that becomes the feature's; the open search takes the first."""
+    (tmp_path / "l.msp").write_text(MSP)
+    s = lambda file, peaks: (1.0, peaks, file, 7, 0.5)
+    strange, known = [(51.0, 9.0), (71.0, 9.0)], [(80.5, 900.0), (120.25, 4000.0)]
+    kind = "array<struct<tic:double,ms2:array<struct<mz:double,intensity:double>>,ms2_reference_file:string,ms2_scan_id:int,precursor_ion_fraction:double>>"
+    rows = [(1, 200.2, 1.0, strange, "a", 7, 0.5, [s("a", strange), s("b", strange), s("c", known)]), (2, 400.0, 1.0, known, "a", 7, 0.5, [s("a", known)]), (3, 400.0, 1.0, None, None, None, None, None)]
+    own = spark.createDataFrame(rows, f"feature_id long, mz double, rt double, ms2 array<struct<mz:double,intensity:double>>, ms2_reference_file string, ms2_scan_id int, precursor_ion_fraction double, ms2_spectra {kind}")
+    found = {r.feature_id: r for r in workflows.annotate(spark, own, Params(ms2_library_path=str(tmp_path / "l.msp"), fuzzy_search=True)).collect()}
+    assert (found[1].annotation, found[1].ms2_reference_file, found[1].search_mode) == ("found", "c", "identity_search") and [p.mz for p in found[1].ms2] == [80.5, 120.25]
+    assert found[2].search_mode == "fuzzy_search" and found[3].annotation is None and len(found) == 3
+    assert {r.feature_id for r in workflows.annotate(spark, own, Params(ms2_library_path=str(tmp_path / "l.msp"))).collect() if r.annotation} == {1}
+
+
+def test_batch_resumes_before_it_reads(spark, folder, tmp_path, monkeypatch):
+    out, read = str(tmp_path / "features"), []
+    original = workflows.raw.read_scans
+    monkeypatch.setattr(workflows.raw, "read_scans", lambda s, p, *a: read.append(sorted(x.rsplit("/", 1)[-1] for x in p)) or original(s, p, *a))
+    import shutil
+
+    part = tmp_path / "part"
+    part.mkdir()
+    for name in ("a.one.mzML", "b.mzML"):
+        shutil.copy(f"{folder}/{name}", part)
+    assert workflows.batch_file_processing(spark, str(part), out).count() == 0
+    assert [r.sample_id for r in workflows.batch_file_processing(spark, folder, out).collect()] == ["broken"]
+    assert read == [["a.one.mzML", "b.mzML"], ["broken.mzML", "c.mzML"]]
+    assert workflows.batch_file_processing(spark, str(part), out).count() == 0 and len(read) == 2
+    assert spark.read.parquet(out).groupBy("sample_id").count().count() == 3
+
+
+def test_classifier_is_built_on_annotated_features_and_assessed(spark):
+    rng = np.random.default_rng(1)
+    values = [(f, s, float(rng.lognormal(5, 0.2) * (4 if f < 5 and s % 2 else 1))) for f in range(12) for s in range(60)]
+    matrix = spark.createDataFrame(values, "feature_id long, sample_id long, intensity double")
+    labels = spark.createDataFrame([(s, float(s % 2)) for s in range(60)], "sample_id long, label double")
+    features = [(f, f"name {f % 11}", "identity_search" if f != 9 else "fuzzy_search", 0.9 if f != 8 else 0.1, False, f == 7, 1.0) for f in range(12)]
+    features = spark.createDataFrame(features, "feature_id long, annotation string, search_mode string, gaussian_similarity double, is_in_source_fragment boolean, is_isotope boolean, detection_rate double")
+    _, columns, rows = workflows.build_classifier(matrix, labels, features=features)
+    assert sorted(r.known_id for r in columns.collect()) == [0, 1, 2, 3, 4, 5, 6, 10]  # 11 repeats the name of 0
+    found = workflows.assess_classifier(rows)
+    assert found["folds"].count() == 5 and found["folds"].agg(F.avg("accuracy")).first()[0] > 0.9
+    curve = [(r.fpr, r.tpr) for r in found["roc"].orderBy("place").collect()]
+    assert curve[0] == (0, 0) and curve[-1] == (1, 1) and curve == sorted(curve)
+    assert found["auc"].first().auc > 0.9
+
+
+def test_roc_against_pairs(spark):
+    """The area is the share of pairs in the right order, ties counted half."""
+    from pyspark.ml.linalg import Vectors
+
+    from peakloom.operators import learning
+
+    rng = np.random.default_rng(2)
+    rows = [(float(y), Vectors.dense([1 - p, p])) for y, p in ((int(rng.random() < 0.4), round(float(rng.random()), 1)) for _ in range(80))]
+    roc = learning.roc_curve(spark.createDataFrame(rows, ["label", "probability"]))
+    good, bad = [v[1] for y, v in rows if y], [v[1] for y, v in rows if not y]
+    assert learning.area_under(roc).first().auc == pytest.approx(np.mean([(g > b) + 0.5 * (abs(g - b) < 1e-9) for g in good for b in bad]))
