@@ -520,20 +520,37 @@ def rf_cv(spark, sf):
     return learning.cross_validate(rows, 64, k=32, trees=20)
 
 
-@query()
+_T = f"""{_GROUPS.format(groups='0, 1')}, t as (select a.feature_id, a.n + b.n - 2 as df, (a.mean - b.mean) / nullif(sqrt(((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)), 0) as t
+ from g a join g b on a.feature_id = b.feature_id and a.group_id = 0 and b.group_id = 1 where a.n > 1 and b.n > 1)"""
+
+
+def _t_tail(t: str, df: str) -> str:
+    """SQL of the two-sided p of Student's t for whole degrees of freedom, by the finite sums in sines and cosines."""
+    angle = f"atan({t} / sqrt({df}))"
+    even = f"list_sum(list_transform(range(0, ({df} // 2)::bigint), lambda j: exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1) - j * ln(4)) * pow(cos({angle}), 2 * j)))"
+    odd = f"coalesce(list_sum(list_transform(range(0, (({df} - 1) // 2)::bigint), lambda j: exp(j * ln(4) + 2 * lgamma(j + 1) - lgamma(2 * j + 2)) * pow(cos({angle}), 2 * j + 1))), 0)"
+    return f"1 - case when {df} % 2 = 0 then sin({angle}) * {even} else 2 / pi() * ({angle} + sin({angle}) * {odd}) end"
+
+
+@query(f"with {_T} select feature_id, round(case when t is null then 1.0 else {_t_tail('abs(t)', 'df')} end, 6) as p from t")
 def ttest_p(spark, sf):
     own = statistics.t_statistic(V.matrix(spark, sf), V.samples(spark), [0, 1])
     return own.withColumn("p", statistics.t_test_p("t", F.col("df").cast("double"))).select("feature_id", R(F.col("p")).alias("p"))
 
 
-@query()
+# two degrees of freedom above have a closed form, one is t squared
+@query(f"with {_ANOVA}, f as (select feature_id, df_between, df_within::bigint as d, msb / nullif(msw, 0) as f from av) select feature_id, round(case when f is null then 1.0 when df_between = 2 then pow(d / (d + 2 * f), d / 2.0) else {_t_tail('sqrt(f)', 'd')} end, 6) as p from f")
 def anova_p(spark, sf):
     own = statistics.anova(V.matrix(spark, sf), V.samples(spark), [0, 1, 2])
     p = statistics.f_test_p("f", F.col("df_between").cast("double"), F.col("df_within").cast("double"))
     return own.withColumn("p", p).select("feature_id", R(F.col("p")).alias("p"))
 
 
-@query()
+@query(f"""with recursive {V.FEATURES}, {V.LIBRARY}, pairs as (select lib_id, list(fid order by peak_height desc, fid) as wanted from features join library on abs(mz - lib_mz) < 0.005 and abs(rt - lib_rt) < 0.2 group by lib_id),
+numbered as (select *, row_number() over (order by lib_id) as k from pairs),
+step(k, lib_id, got, taken) as (select 0::bigint, null::bigint, null::varchar, []::varchar[]
+ union all select n.k, n.lib_id, list_filter(n.wanted, lambda x: not list_contains(s.taken, x))[1], list_concat(s.taken, list_filter(n.wanted, lambda x: not list_contains(s.taken, x))[1:1]) from step s join numbered n on n.k = s.k + 1)
+select lib_id, got as feature_id from step where got is not null""")
 def mzrt_annotate(spark, sf):
     own = V.features(spark, sf).withColumnRenamed("fid", "feature_id")
     return annotation.annotate_by_list(own, V.library(spark, sf), 0.005, 0.2)
