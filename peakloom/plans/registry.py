@@ -491,9 +491,19 @@ def align(spark, sf):
     return _aligned(spark, sf)
 
 
-@query()
+@query(f"""with recursive {V.FEATURES}, a as (select *, mz - lag(mz) over w as lo, lead(mz) over w - mz as hi from features where sample_id = 0 window w as (order by mz, fid)),
+anchor as (select * from (select fid as anchor_id, mz as anchor_mz, rt as anchor_rt, row_number() over (order by peak_height desc, fid) as place from a where lo > 0.5 and hi > 0.5 and noise_score < 0.1) where place <= 100),
+m as (select anchor_id, sample_id, min(rt) as rt, min(anchor_rt) as anchor_rt, min(place) as place from features join anchor on abs(mz - anchor_mz) < 0.5 and abs(rt - anchor_rt) < 3 where sample_id <> 0 and peak_height > 5000 group by anchor_id, sample_id having count(*) = 1),
+s as (select sample_id, count(*) as n, avg(anchor_rt - rt) as mean, stddev_pop(anchor_rt - rt) as sd from m group by sample_id),
+k as (select m.*, row_number() over (partition by sample_id order by place) as j, count(*) over (partition by sample_id) as kept from m join s using (sample_id) where n >= 5 and (sd = 0 or abs(anchor_rt - rt - mean) < sd)),
+walk(sample_id, j, last, x, y, took) as (select distinct sample_id, 0::bigint, 0.0::double, 0.0::double, 0.0::double, true from k where kept >= 5
+ union all select k.sample_id, k.j, case when k.rt > w.last + 0.1 then k.rt else w.last end, k.rt, k.anchor_rt, k.rt > w.last + 0.1 from walk w join k on k.sample_id = w.sample_id and k.j = w.j + 1),
+knots as (select sample_id, x, y, lead(x) over o as x2, lead(y) over o as y2, row_number() over o as i, count(*) over (partition by sample_id) as c from walk where took window o as (partition by sample_id order by x)),
+f as (select sample_id, fid, rt, (select greatest(1, least(count(*), max(c) - 1)) from knots where knots.sample_id = features.sample_id and x <= rt) as i from features)
+select f.sample_id, fid, rt, round(coalesce(y + (rt - x) * (y2 - y) / (x2 - x), rt), 6) as rt_corrected from f left join knots on knots.sample_id = f.sample_id and knots.i = f.i and c > 1""")
 def rt_correction(spark, sf):
-    return detection.correct_times(V.features(spark, sf), 0, mz_tol=0.5, rt_tol=3.0).select("sample_id", "fid", "rt", "rt_corrected")
+    """Times on those of sample 0, through its anchors."""
+    return detection.correct_times(V.features(spark, sf), 0, mz_tol=0.5, rt_tol=3.0).select("sample_id", "fid", "rt", R(F.col("rt_corrected")).alias("rt_corrected"))
 
 
 @query()
@@ -501,12 +511,44 @@ def group(spark, sf):
     return detection.group_ions(V.features(spark, sf).withColumnRenamed("peak_height", "height").drop("noise_score", "part"))
 
 
-@query()
+_FIT = """list_transform(range(1, n + 1), lambda i: list_transform([list_transform(x, lambda v: abs(v - x[i]))], lambda d: list_transform([list_sort(d)[k]], lambda h: list_transform([list_transform(range(1, n + 1),
+ lambda j: w[j] * case when h > 0 then pow(greatest(0, 1 - pow(d[j] / h, 3)), 3) when d[j] = 0 then 1 else 0 end)], lambda u: case when list_sum(u) <= 0 then fit[i] else list_transform([struct_pack(mx := list_dot_product(u, x) / list_sum(u), my := list_dot_product(u, y) / list_sum(u))],
+ lambda m: list_transform([list_sum(list_transform(range(1, n + 1), lambda j: u[j] * pow(x[j] - m.mx, 2)))], lambda sxx: m.my + case when sxx > 1e-12 then list_sum(list_transform(range(1, n + 1), lambda j: u[j] * (x[j] - m.mx) * (y[j] - m.my))) / sxx * (x[i] - m.mx) else 0 end)[1])[1] end)[1])[1])[1])"""
+
+
+@query(f"""with recursive {V.MATRIX}, q as (select feature_id, list(sample_id::double order by sample_id) as x, list(intensity::double order by sample_id) as y, count(*) as n from matrix join samples using (sample_id) where is_qc and intensity > 0 group by feature_id having count(*) >= 3),
+l(feature_id, x, y, n, k, it, w, fit, spread) as (select feature_id, x, y, n, greatest(2, floor(least(0.8, 8.0 / n) * n + 1e-10))::bigint, 0, list_transform(x, lambda v: 1.0::double), y, 1.0::double from q
+ union all select feature_id, x, y, n, k, it + 1, case when s > 0 then list_transform(range(1, n + 1), lambda j: pow(greatest(0, 1 - pow((y[j] - f[j]) / (6 * s), 2)), 2)) else w end, f, s
+ from (select *, list_median(list_transform(range(1, n + 1), lambda j: abs(y[j] - f[j]))) as s from (select feature_id, x, y, n, k, it, w, {_FIT} as f from l where it < 4 and spread > 0))),
+c as (select feature_id, x, n, fit from (select *, row_number() over (partition by feature_id order by it desc) as r from l) where r = 1),
+p as (select feature_id, s as sample_id, greatest(1.0, case when s <= x[1] then fit[1] when s >= x[n] then fit[n] else list_transform([len(list_filter(x, lambda v: v <= s))], lambda i: fit[i] + (s - x[i]) * (fit[i + 1] - fit[i]) / (x[i + 1] - x[i]))[1] end) as curve from c, (select unnest(range(0, 20)) as s)),
+d as (select feature_id, sample_id, curve, max(curve) over (partition by feature_id) as top from p)
+select * from (select feature_id, sample_id, trunc(round(case when curve is null then intensity else intensity / curve * top end, 6))::bigint as intensity from matrix left join d using (feature_id, sample_id)) where intensity <> 0""")
 def lowess(spark, sf):
     return detection.correct_drift(V.matrix(spark, sf), V.samples(spark).withColumn("analytical_order", F.col("sample_id")))
 
 
-@query()
+def _leading(gram: str, out: str) -> str:
+    """CTEs of the leading eigenvector of a symmetric matrix (n, g: its rows one after the other): squared until one
+    direction is left, with a trace of 1. ``out``: n, g, v, value."""
+    row = lambda i: f"a[({i}) * n + 1:({i}) * n + n]"
+    trace = lambda a: f"list_sum(list_transform(range(0, n), lambda i: {a}[i * n + i + 1]))"
+    return f"""{out}_p(k, n, g, a) as (select 0, n, g, list_transform(g, lambda x: x / {trace('g')}) from {gram}
+ union all select k + 1, n, g, list_transform(b, lambda x: x / {trace('b')}) from (select k, n, g, list_transform(range(0, n * n), lambda x: list_dot_product({row('x // n')}, {row('x % n')})) as b from {out}_p where k < 20)),
+{out}_c as (select n, g, a, list_position(list_transform(range(0, n), lambda i: a[i * n + i + 1]), list_max(list_transform(range(0, n), lambda i: a[i * n + i + 1]))) - 1 as j from {out}_p where k = 20),
+{out}_v as (select n, g, list_transform({row('j')}, lambda x: x / sqrt(a[j * n + j + 1])) as v from {out}_c),
+{out} as (select n, g, v, list_sum(list_transform(range(0, n * n), lambda x: v[x // n + 1] * g[x + 1] * v[x % n + 1])) as value from {out}_v)"""
+
+
+@query(f"""with recursive {V.MATRIX}, f as (select feature_id, log10(min(intensity) * 0.2) as fill from matrix where intensity > 0 group by all),
+c as (select f.feature_id, s.sample_id, coalesce(log10(nullif(m.intensity, 0)), fill) as v from f cross join samples s left join matrix m on m.feature_id = f.feature_id and m.sample_id = s.sample_id),
+z as (select feature_id, sample_id, coalesce((v - avg(v) over w) / nullif(round(stddev_pop(v) over w, 9), 0), 0) as z from c window w as (partition by feature_id)),
+y as (select feature_id, sample_id, z - avg(z) over (partition by feature_id) as y from z where sample_id in (select sample_id from matrix)),
+e as (select a.sample_id as i, b.sample_id as j, sum(a.y * b.y) as g from y a join y b using (feature_id) group by all),
+gram as (select count(distinct i)::bigint as n, list(g order by i, j) as g, list(distinct i order by i) as ids from e),
+{_leading('gram', 'one')}, rest as (select n, list_transform(range(0, n * n), lambda x: g[x + 1] - value * v[x // n + 1] * v[x % n + 1]) as g from one), {_leading('rest', 'two')}
+select unnest(ids) as sample_id, round(abs(unnest(one.v)) * sqrt(one.value), 4) as pc1, round(abs(unnest(two.v)) * sqrt(two.value), 4) as pc2,
+ round(one.value / list_sum(list_transform(range(0, gram.n), lambda i: gram.g[i * gram.n + i + 1])), 6) as share1, round(two.value / list_sum(list_transform(range(0, gram.n), lambda i: gram.g[i * gram.n + i + 1])), 6) as share2 from gram, one, two""")
 def pca(spark, sf):
     found = learning.sample_components(statistics.impute_scale(V.matrix(spark, sf), 20, relative=True))
     return found.select("sample_id", R(F.abs("pc1"), 4).alias("pc1"), R(F.abs("pc2"), 4).alias("pc2"), R(F.col("share1")).alias("share1"), R(F.col("share2")).alias("share2"))
