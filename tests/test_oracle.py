@@ -1,4 +1,4 @@
-"""Every registered query with a SQL twin gives the twin's rows; the others run and have rows."""
+"""Every registered query with a SQL twin gives the twin's rows; the others are in test_restated.py."""
 
 import math
 import os
@@ -35,10 +35,9 @@ def test_twin(spark, sf, con, name):
     assert all(same(x, y) for a, b in zip(own, other, strict=True) for x, y in zip(a, b, strict=True))
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
-def test_runs(spark, sf, name):
-    df = registry.QUERIES[name](spark, sf)
-    assert df.count() >= 0 and len(df.columns) > 1
+def test_every_query_is_tested():
+    own = open(os.path.join(os.path.dirname(__file__), "test_restated.py")).read() + open(__file__).read()
+    assert all(f'QUERIES["{name}"]' in own for name in set(registry.QUERIES) - set(registry.ORACLE_SQL))
 
 
 def test_entry(spark):
