@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .islands import global_islands, islands
+from .islands import islands
 from .rangejoin import range_join
 
 
@@ -37,8 +37,10 @@ def unique_matches(anchor: DataFrame, rows: DataFrame, *, mz_tol: float = 0.01,
 
 
 def merge_features(features: DataFrame, keys: Sequence[str], id_col: str, *, mz_tol: float = 0.005, rt_tol: float = 0.03) -> DataFrame:
-    """Islands in m/z, inside them islands in rt; each becomes its highest feature with the number of members."""
-    by_mz = global_islands(features, "mz", mz_tol, "mz_island", keys)
+    """Islands in m/z, inside them islands in rt; each becomes its highest feature with the number of members. One of
+    ``keys`` is one file: its features, some 100,000 at most, are sorted by one task. A table over all files, which has
+    no such key, is merged by global islands (see ``plans.workflows.align``)."""
+    by_mz = islands(features, keys, "mz", mz_tol, ties=(id_col,), name="mz_island")
     by_rt = islands(by_mz, [*keys, "mz_island"], "rt", rt_tol, ties=(id_col,), name="rt_island")
     best = F.min(F.struct((-F.col("peak_height")).alias("minus"), id_col, "mz", "rt"))
     out = by_rt.groupBy(*keys, "mz_island", "rt_island").agg(best.alias("b"), F.count("*").alias("members"))

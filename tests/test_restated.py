@@ -86,6 +86,7 @@ def test_segment(spark, sf, con):
 def test_align(spark, sf, con, monkeypatch, island, call):
     monkeypatch.setattr(detection, "ISLAND_ROWS", island)
     monkeypatch.setattr(detection, "CALL_ROWS", call)
+    monkeypatch.setattr(detection, "FEW_ROWS", island)
     rows = con.sql(f"with {V.FEATURES} select sample_id, fid, mz, rt, peak_height, 1 - noise_score, noise_score, part % 10 = 0 from features").fetchall()
     features = []
     for sample in range(20):
