@@ -58,7 +58,7 @@ def missing_cells(quant: DataFrame, samples: DataFrame) -> DataFrame:
 def detection_rate(quant: DataFrame, samples: DataFrame, value: str = "intensity") -> DataFrame:
     """Per feature the share of samples, blanks left out, with a value above 0."""
     n = samples.where("not is_blank").count()
-    kept = quant.join(F.broadcast(samples.select("sample_id", "is_blank")), "sample_id")
+    kept = quant.join(samples.select("sample_id", "is_blank"), "sample_id")
     hits = F.sum(F.when(~F.col("is_blank") & (F.col(value) > 0), 1).otherwise(0))
     return kept.groupBy("feature_id").agg((hits / F.lit(float(max(n, 1)))).alias("detection_rate"), F.max(value).alias("highest"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
@@ -11,10 +12,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Samples in a block of the matrix of products, and features that are multiplied at a time.
+BLOCK, TOGETHER = 1024, 512
+
+
 def products(scaled: DataFrame) -> DataFrame:
-    """sample_id, other_id, g: scalar products of samples over the features that both have."""
-    other = scaled.select("feature_id", F.col("sample_id").alias("other_id"), F.col("z").alias("other_z"))
-    return scaled.join(other, "feature_id").groupBy("sample_id", "other_id").agg(F.sum(F.col("z") * F.col("other_z")).alias("g"))
+    """sample_id, other_id, g: scalar products of samples over the features that both have. By blocks of samples: a task
+    gathers the values of some features for two blocks as a dense matrix and multiplies it, so no pair of cells is ever
+    a row; cells are sent once a block of samples."""
+    from .rangejoin import sized
+
+    spark = scaled.sparkSession
+    kind = dict(scaled.dtypes)["sample_id"]
+    ids = sorted(r.sample_id for r in scaled.select("sample_id").distinct().collect())  # one row a sample
+    if not ids:
+        return spark.createDataFrame([], f"sample_id {kind}, other_id {kind}, g double")
+    places = sized(spark.createDataFrame([(s, i) for i, s in enumerate(ids)], f"sample_id {kind}, place int"))
+    blocks = -(-len(ids) // BLOCK)
+    own = F.floor(F.col("place") / BLOCK).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least(own, k).alias("a"), F.greatest(own, k).alias("b")))
+    cells = scaled.join(places, "sample_id").select("feature_id", "place", "z", F.explode(pairs).alias("pair"))
+    task = F.xxhash64("pair", F.pmod(F.xxhash64("feature_id"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    cells = cells.withColumn("task", task).repartition("task").sortWithinPartitions("task", "feature_id")
+    schema = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("g", pa.float64())])
+
+    def run(batches):
+        def rows(pair, total):
+            a, b = pair
+            # a sample whose values are all 0 has its own product too
+            i, j = np.nonzero((total != 0) | (np.eye(BLOCK, dtype=bool) if a == b else False))
+            g = total[i, j]
+            sides = [(i + a * BLOCK, j + b * BLOCK)] + ([(j + b * BLOCK, i + a * BLOCK)] if a != b else [])
+            for x, y in sides:
+                for at in range(0, len(g), 50_000):
+                    part = slice(at, at + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[part], pa.int32()), pa.array(y[part], pa.int32()), pa.array(g[part])], schema=schema)
+
+        task, pair, total, held, feature, n = None, None, None, None, object(), -1
+
+        def flush():
+            if n >= 0:
+                left, right = held[0][: n + 1], held[1][: n + 1]
+                total[...] += left.T @ right
+                held[:] = 0
+
+        for batch in batches:
+            take = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: B023, E731
+            for t, f, place, z, p in zip(take("task"), take("feature_id"), take("place"), take("z"), take("pair"), strict=True):
+                if t != task:
+                    if pair is not None:
+                        flush()
+                        yield from rows(pair, total)
+                    task, pair, total, held, feature, n = t, (p["a"], p["b"]), np.zeros((BLOCK, BLOCK)), np.zeros((2, TOGETHER, BLOCK)), object(), -1
+                if f != feature:
+                    if n + 1 == TOGETHER:
+                        flush()
+                        n = -1
+                    feature, n = f, n + 1
+                for side in (0, 1):
+                    if place // BLOCK == pair[side]:
+                        held[side, n, place % BLOCK] = z
+        if pair is not None:
+            flush()
+            yield from rows(pair, total)
+
+    parts = cells.select("task", "feature_id", "place", "z", "pair").mapInArrow(run, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
+    named = parts.join(places.select(F.col("place").alias("i"), "sample_id"), "i").join(places.select(F.col("place").alias("j"), F.col("sample_id").alias("other_id")), "j")
+    return named.select("sample_id", "other_id", "g")
 
 
 def sample_components(scaled: DataFrame, k: int = 2) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 
 
 def with_samples(matrix: DataFrame, samples: DataFrame) -> DataFrame:
-    return matrix.join(F.broadcast(samples), "sample_id")  # one row a sample: a few thousand at most
+    return matrix.join(samples, "sample_id")  # one row a sample: the planner broadcasts it as long as it is small
 
 
 def high_quality(matrix: DataFrame, samples: DataFrame, *, blank_ratio: float = 0.5, rsd: float = 0.25) -> DataFrame:
@@ -58,8 +58,12 @@ def factors(matrix: DataFrame, reference: DataFrame, method: str = "pqn") -> Dat
 
 def apply_factors(matrix: DataFrame, by: DataFrame) -> DataFrame:
     """Intensities over their sample's factor (0 and none count as 1), cut to whole numbers."""
+    from ..plans.tables import stored
+    from .rangejoin import sized
+
     f = F.coalesce(F.nullif(F.col("factor"), F.lit(0.0)), F.lit(1.0))
-    return matrix.join(F.broadcast(by), "sample_id", "left").select("feature_id", "sample_id", (F.col("intensity") / f).cast("long").alias("intensity"))
+    by = sized(stored(by, "factors"))  # one row a sample: counted once it is there, and the matrix needn't move
+    return matrix.join(by, "sample_id", "left").select("feature_id", "sample_id", (F.col("intensity") / f).cast("long").alias("intensity"))
 
 
 def group_moments(matrix: DataFrame, samples: DataFrame, groups: Sequence) -> DataFrame:
@@ -168,7 +172,7 @@ def analytical_order(runs: DataFrame, queue: str = "queue", file_id: str = "file
 
 def outlier_files(features: DataFrame, samples: DataFrame) -> DataFrame:
     """Files other than blanks whose highest feature is below a third of the median of these."""
-    tops = features.join(F.broadcast(samples.where("not is_blank").select("sample_id")), "sample_id").groupBy("sample_id").agg(F.max("peak_height").alias("highest"))
+    tops = features.join(samples.where("not is_blank").select("sample_id"), "sample_id").groupBy("sample_id").agg(F.max("peak_height").alias("highest"))
     middle = tops.agg(F.median("highest").alias("median_highest"))
     return tops.join(F.broadcast(middle)).where(F.col("highest") < F.col("median_highest") / 3)
 

@@ -109,9 +109,12 @@ def test_incomplete_beta():
     assert statistics.incomplete_beta(df / 2, 0.5, df / (df + t * t)) == pytest.approx(0.07338803)
 
 
-def test_components_and_neighbours_count_missing_cells(spark):
+@pytest.mark.parametrize("block, together", [(1024, 512), (2, 3)])
+def test_components_and_neighbours_count_missing_cells(spark, monkeypatch, block, together):
     from peakloom.operators import learning, statistics
 
+    monkeypatch.setattr(learning, "BLOCK", block)
+    monkeypatch.setattr(learning, "TOGETHER", together)
     rng = np.random.default_rng(3)
     dense = np.where(rng.random((40, 6)) < 0.3, 0.0, rng.lognormal(5, 1, (40, 6)))
     dense[0] = 7.0  # constant
