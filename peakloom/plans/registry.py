@@ -785,20 +785,20 @@ def msp_export(spark, sf):
 
 
 @query(f"""with {V.SPECTRA}, b as (select *, max(intensity) over (partition by spectrum_id) as top from spectrum_peaks), c as (select spectrum_id, mz, intensity / 2 / sum(intensity) over (partition by spectrum_id) as i from b where intensity >= top * 0.01),
-q as (select spectrum_id as fid, (spectrum_id % 50) * 10.0 as pm, group_id_of as rt, mz, i from c join (select vec_id, label::double as group_id_of from embeddings) on vec_id = spectrum_id where spectrum_id % 5 = 0),
-l as (select spectrum_id as lib, (spectrum_id % 50) * 10.0 as lm, g as lt, mz, i from c join (select vec_id, label::double as g from embeddings) on vec_id = spectrum_id where spectrum_id % 5 <> 0),
-d as (select fid, lib, q.mz as qm, l.mz as lmz, q.i as a, l.i as b, true as direct, pm, lm, q.rt as rt, lt from q join l on abs(q.mz - l.mz) < 0.015
- union all select fid, lib, q.mz, l.mz, q.i, l.i, false, pm, lm, q.rt, lt from q join l on abs((pm - q.mz) - (lm - l.mz)) < 0.015),
+q as (select spectrum_id as fid, (spectrum_id % 50) * 10.0 as pm, group_id_of as rt, mz, i from c join (select vec_id, label::double as group_id_of from embeddings) on vec_id = spectrum_id),
+l as (select spectrum_id as lib, (spectrum_id % 50) * 10.0 as lm, g as lt, mz, i from c join (select vec_id, label::double as g from embeddings) on vec_id = spectrum_id),
+d as (select fid, lib, q.mz as qm, l.mz as lmz, q.i as a, l.i as b, true as direct, pm, lm, q.rt as rt, lt from q join l on abs(q.mz - l.mz) < 0.015 and fid <> lib
+ union all select fid, lib, q.mz, l.mz, q.i, l.i, false, pm, lm, q.rt, lt from q join l on abs((pm - q.mz) - (lm - l.mz)) < 0.015 and fid <> lib),
 s as (select *, max(direct::int) over (partition by fid, lib, qm) + max(direct::int) over (partition by fid, lib, lmz) as seen, (a + b) * log2(a + b) - a * log2(a) - b * log2(b) as v from d),
 g as (select fid, lib, min(pm) as pm, min(lm) as lm, min(rt) as rt, min(lt) as lt, sum(case when direct then v end) as own, sum(v) as hybrid, sum(direct::int)::bigint as n from s where direct or seen = 0 group by all),
 m as (select *, case when abs(pm - lm) < 0.01 and abs(rt - lt) < 0.2 and own > 0.55 then 0 when abs(pm - lm) < 0.01 and own > 0.55 then 1 when hybrid > 0.55 then 2 end as mode from g),
 k as (select *, case when mode < 2 then own else hybrid end as sim, row_number() over (partition by fid order by mode, round(case when mode < 2 then own else hybrid end, 9) desc, lib) as k from m where mode is not null)
 select fid as feature_id, lib as lib_id, ['identity_search_with_rt', 'identity_search', 'fuzzy_search'][mode + 1] as search_mode, round(sim, 6) as similarity, n as n_matched from k where k = 1""")
 def library_search(spark, sf):
+    """Every spectrum against all others."""
     own = V.spectra(spark, sf).withColumns({"precursor_mz": (F.col("spectrum_id") % 50) * F.lit(10.0), "rt": F.col("group_id").cast("double")})
-    queries = own.where("spectrum_id % 5 = 0").withColumn("feature_id", F.col("spectrum_id"))
-    library = own.where("spectrum_id % 5 <> 0").withColumnsRenamed({"spectrum_id": "lib_id", "rt": "retention_time"})
-    found = annotation.search_library(queries, library, least=0.55)
+    library = own.withColumnsRenamed({"spectrum_id": "lib_id", "rt": "retention_time"})
+    found = annotation.search_library(own.withColumn("feature_id", F.col("spectrum_id")), library, least=0.55, itself=False)
     return found.select("feature_id", "lib_id", "search_mode", R(F.col("similarity")).alias("similarity"), "n_matched")
 
 
