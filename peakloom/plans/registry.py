@@ -235,11 +235,14 @@ def reference_file(spark, sf):
     return alignment.reference_file(V.features(spark, sf)).withColumn("total_height", R(F.col("total_height"), 2))
 
 
-@query(f"""with {V.FEATURES}, anchor as (select fid as anchor_id, mz as anchor_mz, rt as anchor_rt from features where sample_id = 0 and peak_height > 80000)
-select anchor_id, sample_id, min(rt) as rt, min(anchor_rt) as anchor_rt from features join anchor on abs(mz - anchor_mz) < 0.5 and abs(rt - anchor_rt) < 3 where sample_id > 0 group by all having count(*) = 1""")
+@query(f"""with {V.FEATURES}, a as (select *, mz - lag(mz) over w as lo, lead(mz) over w - mz as hi from features where sample_id = 0 window w as (order by mz, fid)),
+anchor as (select * from (select fid as anchor_id, mz as anchor_mz, rt as anchor_rt, row_number() over (order by peak_height desc, fid) as place from a where lo > 0.5 and hi > 0.5 and noise_score < 0.1) where place <= 100)
+select anchor_id, sample_id, min(rt) as rt, min(anchor_rt) as anchor_rt from features join anchor on abs(mz - anchor_mz) < 0.5 and abs(rt - anchor_rt) < 3 where sample_id > 0 group by anchor_id, sample_id having count(*) = 1""")
 def anchor_match_unique(spark, sf):
+    """The anchors of sample 0 in all other samples."""
     own = V.features(spark, sf)
-    anchor = own.where("sample_id = 0 and peak_height > 80000").select(F.col("fid").alias("anchor_id"), F.col("mz").alias("anchor_mz"), F.col("rt").alias("anchor_rt"))
+    best = alignment.anchors(own.where("sample_id = 0"), ["sample_id"], "fid", mz_tol=0.5, noise=0.1, num=100)
+    anchor = best.select(F.col("fid").alias("anchor_id"), F.col("mz").alias("anchor_mz"), F.col("rt").alias("anchor_rt"))
     return alignment.unique_matches(anchor, own.where("sample_id > 0"), mz_tol=0.5, rt_tol=3.0)
 
 
