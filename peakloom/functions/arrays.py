@@ -155,6 +155,18 @@ def decode_spectrum(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.array().cast("array<struct<mz:double,intensity:double>>")).otherwise(F.transform(F.split(text, r"\|"), lambda s: F.struct(number(s, 1).alias("mz"), number(s, 2).alias("intensity"))))
 
 
+def add_signals(peaks: Column, more: Column) -> Column:
+    """Both spectra's peaks in order of m/z, then intensity; null counts as none."""
+    none = F.array().cast("array<struct<mz:double,intensity:double>>")
+    plain = lambda p: F.transform(F.coalesce(p, none), lambda x: F.struct(x["mz"].cast("double").alias("mz"), x["intensity"].cast("double").alias("intensity")))
+    return F.array_sort(F.concat(plain(peaks), plain(more)))
+
+
+def subset(values: Column, start: int, end: int) -> Column:
+    """The values at places from ``start`` on, before ``end``."""
+    return F.slice(values, start + 1, max(0, end - start))
+
+
 def gaussian(x: Column, a: Column, b: Column, c: Column) -> Column:
     return a * F.exp(F.lit(-0.5) * F.pow((x - b) / c, F.lit(2.0)))
 

@@ -175,3 +175,10 @@ def mass_column(counts: Column) -> Column:
     known = F.create_map(*[F.lit(x) for e, m in MASSES.items() for x in (e, m)])
     entries = F.array_sort(F.map_entries(counts))
     return F.aggregate(entries, F.lit(0.0), lambda a, e: a + F.try_element_at(known, e["key"]) * e["value"])
+
+
+def bin_isotopes(rows: DataFrame, keys: list[str], mass: str, abundance: str, width: float) -> DataFrame:
+    """Per key and bin (floor of mass over ``width``) the abundance-weighted mass and the abundance."""
+    m, a = F.col(mass), F.col(abundance)
+    binned = rows.groupBy(*keys, F.floor(m / width).cast("long").alias("bin"))
+    return binned.agg((F.sum(m * a) / F.sum(a)).alias("mass"), F.sum(a).alias("abundance"))

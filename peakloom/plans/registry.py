@@ -434,7 +434,7 @@ def enumerate_ions(spark, sf):
 @query(f"with {V.SPECTRA} select spectrum_id, floor((mz + spectrum_id % 7) / 25)::bigint as bin, round(sum((mz + spectrum_id % 7) * intensity) / sum(intensity), 6) as mass, round(sum(intensity), 6) as abundance from spectrum_peaks group by all")
 def isotope_bin(spark, sf):
     own = V.spectra(spark, sf).select("spectrum_id", F.explode("peaks").alias("p")).select("spectrum_id", (F.col("p.mz") + F.col("spectrum_id") % 7).alias("m"), F.col("p.intensity").alias("a"))
-    return own.groupBy("spectrum_id", F.floor(F.col("m") / 25).cast("long").alias("bin")).agg(R(F.sum(F.col("m") * F.col("a")) / F.sum("a")).alias("mass"), R(F.sum("a")).alias("abundance"))
+    return chem.bin_isotopes(own, ["spectrum_id"], "m", "a", 25).withColumns({"mass": R(F.col("mass")), "abundance": R(F.col("abundance"))})
 
 
 _FORMULA = "concat('C', p_size + 1, 'H', 2 * p_size + p_partkey % 5 + 2, case when p_partkey % 3 = 0 then 'N' when p_partkey % 3 = 1 then 'N2O' else '' end, 'O', 1 + p_partkey % 7)"
@@ -693,6 +693,32 @@ def trim_trace(spark, sf):
     return _traces(spark, sf).select("sample_id", "trace_id", F.size(arrays.trimmed(cut)).cast("long").alias("n_points"))
 
 
+@query(f"""with {V.PEAKS}, joined as (select sample_id, scan_id, mz, intensity from peaks union all select sample_id, scan_id - 1, mz, intensity from peaks p where exists (select 1 from peaks o where o.sample_id = p.sample_id and o.scan_id = p.scan_id - 1))
+select sample_id, scan_id, row_number() over (partition by sample_id, scan_id order by mz, intensity) - 1 as place, mz, intensity from joined""")
+def add_signals(spark, sf):
+    """Each scan with the peaks of the next one of its sample added."""
+    own = _scans(spark, sf)
+    after = own.select("sample_id", (F.col("scan_id") - 1).alias("scan_id"), F.col("peaks").alias("more"))
+    both = own.join(after, ["sample_id", "scan_id"], "left").select("sample_id", "scan_id", F.posexplode(arrays.add_signals(F.col("peaks"), F.col("more"))).alias("place", "p"))
+    return both.select("sample_id", "scan_id", F.col("place").cast("long").alias("place"), "p.mz", "p.intensity")
+
+
+@query(f"with {_PLACED} select {_KEYS}, i as place, rt, intensity from t where i >= 2 and i < 6")
+def trace_subset(spark, sf):
+    """Places 2 to 5 of each trace."""
+    own = _traces(spark, sf).select("sample_id", "trace_id", F.posexplode(arrays.subset(F.arrays_zip(F.col("x").alias("rt"), F.col("y").alias("intensity")), 2, 6)).alias("place", "p"))
+    return own.select("sample_id", "trace_id", (F.col("place") + 2).cast("long").alias("place"), "p.rt", "p.intensity")
+
+
+@query(f"with {_PLACED}, b as (select {_KEYS}, min(a.top) as top, min(case when i = apex then rt end) as b from t join a using ({_KEYS}) group by all) select {_KEYS}, i as place, round(b.top * exp(-0.5 * pow((rt - b) / 300, 2)), 6) as fitted from t join b using ({_KEYS})")
+def gaussian_curve(spark, sf):
+    """A Gaussian of 300 minutes around the apex of each trace."""
+    own = _traces(spark, sf).withColumn("at", arrays.apex(F.col("y")))
+    curve = F.transform("x", lambda x: arrays.gaussian(x, F.array_max("y"), F.get("x", F.col("at")), F.lit(300.0)))
+    made = own.select("sample_id", "trace_id", F.posexplode(curve).alias("place", "fitted"))
+    return made.select("sample_id", "trace_id", F.col("place").cast("long").alias("place"), R(F.col("fitted")).alias("fitted"))
+
+
 _CELLS = [(1, 5.0, 2000.0), (2, 12.5, 9000.0), (3, 20.0, 20000.0), (4, 33.0, 30000.0), (5, 60.0, 40000.0)]
 
 
