@@ -31,46 +31,57 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return shift + np.arange(total)
 
 
+def _stretches(rules: np.ndarray, base: int):
+    """(first, end) of stretches of rules, in turn, that refer only to symbols before their stretch."""
+    reach = np.maximum.accumulate(rules.max(axis=1)) if len(rules) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(rules):
+        end = int(np.searchsorted(reach, base + at))
+        if end <= at:
+            raise ValueError("a rule refers to a later one")
+        yield at, end
+        at = end
+
+
 def repair(seq: np.ndarray, last: np.ndarray, base: int, least: int = 5, a_round: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair in rounds: count all adjacent pairs, give each of the ``a_round`` most frequent a nonterminal, replace
     their occurrences from left to right, and again on the shorter sequence, until no pair occurs ``least`` times. A rule
     takes two symbols and four bytes of the file and saves a symbol an occurrence, so with symbols of two bytes it pays
-    from five occurrences on. ``last`` marks symbols at the end of a document; no pair starts there. -> sequence, its
-    marks, rules (R, 2)."""
+    from five occurrences on. A pair that is rare once stays rare, and a new pair has a new symbol; so after the first
+    round only places of frequent pairs and those beside a new symbol are counted. ``last`` marks symbols at the end of a
+    document; no pair starts there. -> sequence, its marks, rules (R, 2)."""
     rules: list[np.ndarray] = []
-    symbols = base
-    while len(seq) > 1:
+    symbols, ends = base, np.flatnonzero(last)
+    live = np.flatnonzero(~last[:-1])
+    while len(live):
         width, bits = (np.uint32, 16) if symbols + a_round < 0xFFFF else (np.uint64, 32)
-        pairs = seq[:-1].astype(width)
+        pairs = seq[live].astype(width)
         pairs <<= width(bits)
-        pairs |= seq[1:].astype(width)
-        none = np.iinfo(width).max  # no pair of symbols
-        pairs[last[:-1]] = none
+        pairs |= seq[live + 1].astype(width)
         ordered = np.sort(pairs)
         edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
         counts, values = np.diff(edges), ordered[edges[:-1]]
-        often = np.flatnonzero((counts >= least) & (values != none))
+        often = np.flatnonzero(counts >= least)
         if not len(often):
             break
+        frequent = values[often]
         if len(often) > a_round:
             often = often[np.argpartition(-counts[often], a_round - 1)[:a_round]]
         chosen = np.sort(values[often])
         # a small table by hash gives each pair's number; of two that share a slot one waits for the next round
-        slots = (chosen * width(2654435761) >> width(12)) & width(0xFFFFF)
+        slot = lambda p: (p * width(2654435761) >> width(12)) & width(0xFFFFF)  # noqa: B023, E731
         table = np.zeros(1 << 20, dtype=np.uint16)
-        table[slots] = np.arange(1, len(chosen) + 1)
-        hashed = pairs * width(2654435761)
-        hashed >>= width(12)
-        hashed &= width(0xFFFFF)
-        number = table[hashed]
-        places = np.flatnonzero(number)
-        rank = number[places].astype(np.int64) - 1
-        good = chosen[rank] == pairs[places]
-        places, rank = places[good], rank[good]
+        table[slot(frequent)] = len(chosen) + 1  # frequent, but not in this round
+        table[slot(chosen)] = np.arange(1, len(chosen) + 1)
+        number = table[slot(pairs)]
+        good = np.flatnonzero(number - np.uint16(1) < len(chosen))
+        rank = number[good].astype(np.int32) - 1
+        same = chosen[rank] == pairs[good]
+        places, rank = live[good[same]], rank[same]
         # overlapping places form runs: every other one of a run is taken
         run_start = np.concatenate(([True], np.diff(places) > 1))[: len(places)]
-        at = np.arange(len(places))
-        taken = (at - np.maximum.accumulate(np.where(run_start, at, 0))) % 2 == 0
+        at = np.arange(len(places), dtype=np.int32)
+        taken = (at - np.maximum.accumulate(np.where(run_start, at, np.int32(0)))) & 1 == 0
         places, rank = places[taken], rank[taken]
         worth = np.bincount(rank, minlength=len(chosen)) >= 2
         keep = worth[rank]
@@ -80,13 +91,23 @@ def repair(seq: np.ndarray, last: np.ndarray, base: int, least: int = 5, a_round
         fresh = np.cumsum(worth) - 1
         made = chosen[worth]
         rules.append(np.stack([made >> width(bits), made & width((1 << bits) - 1)], axis=1).astype(np.uint32))
-        size, seq, last = len(seq), seq.copy(), last.copy()
+        gone = places + 1
+        left = np.ones(len(seq), dtype=bool)
+        left[gone] = False
+        again = np.zeros(len(seq), dtype=bool)
+        again[live[number > 0]] = True
+        again[places] = True
+        before = np.maximum(places - 1, 0)
+        again[before - ~left[before]] = True  # the symbol before may be a new one too
+        ends = ends - ~left[ends]
+        again[ends] = again[gone] = False
+        live, ends = np.flatnonzero(again[left]), ends - np.searchsorted(gone, ends)
+        seq = seq.copy()
         seq[places] = symbols + fresh[rank]
-        last[places] = last[places + 1]
-        left = np.ones(size, dtype=bool)
-        left[places + 1] = False
-        seq, last = seq[left], last[left]
+        seq = seq[left]
         symbols += len(made)
+    last = np.zeros(len(seq), dtype=bool)
+    last[ends] = True
     return seq, last, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
 
 
@@ -103,13 +124,13 @@ def encode(docs: list[bytes], **options) -> bytes:
     seq, last, rules = repair(to_symbol[ids].astype(np.uint32), last, len(alphabet), **options)
     ends = np.flatnonzero(last) + 1
     offsets = np.concatenate(([0], ends[:-1])).astype("<u4") if len(docs) else np.zeros(0, "<u4")
-    lengths = np.ones(len(alphabet) + len(rules), dtype=np.uint32)
-    for r, (a, b) in enumerate(rules.tolist()):
-        lengths[len(alphabet) + r] = lengths[a] + lengths[b]
+    lengths = np.ones(len(alphabet) + len(rules), dtype="<u4")
+    for a, b in _stretches(rules, len(alphabet)):
+        lengths[len(alphabet) + a : len(alphabet) + b] = lengths[rules[a:b]].sum(axis=1)
     wide = 2 if len(alphabet) + len(rules) <= 0x10000 else 4
     kind = f"<u{wide}"
     head = struct.pack("<4s5I", MAGIC, len(alphabet), len(rules), len(docs), len(seq), wide)
-    return b"".join([head, alphabet.tobytes(), rules.astype(kind).tobytes(), lengths[len(alphabet) :].astype("<u4").tobytes(), offsets.tobytes(), counts.astype("<u4").tobytes(), seq.astype(kind).tobytes()])
+    return b"".join([head, alphabet.tobytes(), rules.astype(kind).tobytes(), lengths[len(alphabet) :].tobytes(), offsets.tobytes(), counts.astype("<u4").tobytes(), seq.astype(kind).tobytes()])
 
 
 class Shard:
@@ -133,16 +154,12 @@ class Shard:
         self.offsets = take(n_docs, "<u4").astype(np.int64)
         self.counts = take(n_docs, "<u4").astype(np.int64)
         self.seq = take(n, f"<u{wide}").astype(np.int64)
-        # all expansions one after another; rules refer to earlier symbols, level by level
+        # all expansions one after another; rules refer to earlier symbols, stretch by stretch
         self.at = np.cumsum(self.lengths) - self.lengths
         self.flat = np.zeros(int(self.lengths.sum()), dtype=np.uint32)
         self.flat[self.at[:base]] = self.alphabet
-        depth = [0] * base
-        for a, b in self.rules.tolist():
-            depth.append(1 + max(depth[a], depth[b]))
-        levels = np.array(depth[base:], dtype=np.int64)
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            own = np.flatnonzero(levels == level)
+        for first, end in _stretches(self.rules, base):
+            own = np.arange(first, end)
             for side in (0, 1):
                 part = self.rules[own, side]
                 to = self.at[base + own] + (self.lengths[self.rules[own, 0]] if side else 0)

@@ -1,5 +1,6 @@
 """Token ids of whole texts with a public tokenizer file: texts are cut into pieces that the tokenizer never merges
-across, many texts at a time, and each distinct piece is encoded once and kept in a bounded cache.
+across, many texts at a time. The distinct words among them are merged together, as columns of one table; any other
+distinct piece is encoded once and kept in a bounded cache.
 
 The tokenizer drops white space, makes capitals small and takes letters, digits and marks apart, so the ids of a text
 are those of its runs of one kind. That is shown on probes; files for which it doesn't hold encode texts whole.
@@ -7,6 +8,7 @@ are those of its runs of one kind. That is shown on probes; files for which it d
 
 from __future__ import annotations
 
+import json
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -56,6 +58,121 @@ class _Kept(dict):
         return found
 
 
+class Merges:
+    """The merges of a byte-pair model, applied to many short words at once: words are columns of a table of symbols, and
+    each step merges in every column the leftmost pair of the lowest rank, until no column has a pair to merge."""
+
+    #: Bytes of the longest word, and words of one table.
+    LONGEST, TABLE = 40, 1 << 14
+    #: Key of no merge; else 64 * rank + row, whose least in a column is the next merge.
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
+        pairs = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(m.split(" ") if isinstance(m, str) else m for m in merges)}
+        self.none = max(vocab.values()) + 1  # a symbol without merges
+        self.made = np.zeros(len(merges) + 1, np.int32)
+        self.base = np.array([vocab[_BYTES[b]] for b in range(256)] + [vocab[_BYTES[b] + suffix] for b in range(256)], np.int32)
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        self.keys = np.full(1 << self.bits, np.iinfo(np.uint64).max, np.uint64)
+        self.ranks = np.full(1 << self.bits, -1, np.int64)
+        left, right = np.array(list(pairs), np.uint64).reshape(-1, 2).T
+        ranks, made = np.array(list(pairs.values()), np.int64).reshape(-1, 2).T
+        self.made[ranks] = made
+        keys = left << np.uint64(32) | right
+        slots = self.slots(keys)
+        while len(keys):  # a pair whose slot is taken goes to the next one
+            free = self.ranks[slots] < 0
+            _, first = np.unique(slots[free], return_index=True)
+            put = np.flatnonzero(free)[first]
+            self.keys[slots[put]], self.ranks[slots[put]] = keys[put], ranks[put]
+            keys, ranks, slots = np.delete(keys, put), np.delete(ranks, put), (np.delete(slots, put) + 1) % len(self.keys)
+        self.first = self.key(np.repeat(self.base, 512), np.tile(self.base, 512), np.int64(0))
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def key(self, left: np.ndarray, right: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Keys of pairs of symbols whose left one is in a row."""
+        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        slots = self.slots(keys)
+        rank = self.ranks[slots]
+        strange = np.flatnonzero(self.keys[slots] != keys)
+        other = strange[rank[strange] >= 0]
+        rank[strange] = -1
+        while len(other):
+            slots[other] = (slots[other] + 1) % len(self.keys)
+            here = self.keys[slots[other]] == keys[other]
+            rank[other[here]] = self.ranks[slots[other[here]]]
+            other = other[~here & (self.ranks[slots[other]] >= 0)]
+        return np.where(rank >= 0, (rank << 6) + row, self.NONE).astype(np.int32)
+
+    def of(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each of ``lengths`` (1 to LONGEST) bytes of ``data`` from ``starts`` on -> the ids of all words in
+        turn, and how many each has."""
+        order = np.argsort(lengths, kind="stable")
+        counts, parts = np.zeros(len(order), np.int64), []
+        for at in range(0, len(order), self.TABLE):
+            own = order[at : at + self.TABLE]
+            ids, counts[own] = self.table(data, starts[own], lengths[own])
+            parts.append(ids)
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        first = np.zeros(len(order), np.int64)
+        first[order] = np.cumsum(counts[order]) - counts[order]
+        return flat[_spread(first, counts)].astype("<u4"), counts
+
+    def table(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words, rows = len(starts), int(lengths.max())
+        row, beyond = np.arange(rows)[:, None], np.int32(rows * words)
+        at = np.minimum(starts + row, len(data) - 1)
+        code = data[at].astype(np.int32)
+        code[lengths - 1, np.arange(words)] += 256
+        # one more row stands for what is before and after a word
+        symbols = np.full((rows + 1) * words, self.none, np.int32)
+        symbols[:beyond] = np.where(row < lengths, self.base[code], -1).ravel()
+        keys = np.full((rows + 1, words), self.NONE, np.int32)
+        pair = self.first[(code[:-1] << 9) + code[1:]]
+        keys[: rows - 1] = np.where((row[1:] < lengths) & (pair != self.NONE), pair + row[:-1].astype(np.int32), self.NONE)
+        place = np.arange((rows + 1) * words, dtype=np.int32)
+        after, before = place + np.int32(words), place - np.int32(words)
+        before[:words] = beyond
+        after[(lengths - 1) * words + np.arange(words)] = beyond
+        flat = keys.ravel()
+        while True:
+            least = keys[:rows].min(axis=0)
+            word = np.flatnonzero(least < self.NONE)
+            if not len(word):
+                break
+            least = least[word]
+            here = (least & 63) * words + word
+            made = self.made[least >> 6]
+            gone = after[here]
+            then, prior = after[gone], before[here]
+            symbols[here], symbols[gone], flat[gone] = made, -1, self.NONE
+            after[here], before[then] = then, here
+            new = self.key(np.concatenate([made, symbols[prior]]), np.concatenate([symbols[then], made]), np.concatenate([least & 63, prior // words]))
+            flat[here], flat[prior] = new[: len(word)], new[len(word) :]
+        found = symbols[:beyond].reshape(rows, words).T
+        kept = found >= 0
+        return found[kept], kept.sum(axis=1)
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for each start, ``lengths`` many."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _merges(tokenizer) -> Merges | None:
+    """The merges of a file whose words are merged byte by byte and by nothing else; else None."""
+    model = json.loads(tokenizer.to_str())["model"]
+    if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges")):
+        return None
+    suffix = model.get("end_of_word_suffix") or ""
+    if any(c + end not in model["vocab"] for c in _BYTES.values() for end in ("", suffix)):
+        return None
+    return Merges(model["vocab"], model["merges"], suffix)
+
+
 class ChunkIds:
     """Ids of texts as little-endian unsigned 32-bit bytes, through caches of pieces of at most ``limit`` keys a
     generation."""
@@ -68,6 +185,7 @@ class ChunkIds:
         self.by_chunk = _splits_at_space(self.tokenizer)
         kinds = self.encode("ab.,12cd(e)f3") == b"".join(map(self.encode, ("ab", ".,", "12", "cd", "(", "e", ")", "f", "3")))
         self.by_word = self.by_chunk and kinds and all(self.bare(w.lower()) == self.encode(w) for w in ("Word", "theing", "É", "straße", "ÖÄÜñ", "çeuxeau", "a", "ÿø", "zzyqxw"))
+        self.merges = _merges(self.tokenizer) if self.by_word else None
         self.pieces = _Kept(self.piece, limit)
         self.chunks = _Kept(self.encode, limit // 2)
 
@@ -111,17 +229,50 @@ class ChunkIds:
         place = np.cumsum(solid, dtype=np.int32)
         starts = np.append(place[begins] - 1, place[-1]).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(starts), pa.py_buffer(data[1:][solid])]).dictionary_encode()
-        distinct = list(map(self.pieces.__getitem__, pieces.dictionary.to_pylist()))
-        counts = np.fromiter(map(len, distinct), np.int64, len(distinct)) // 4
-        flat, first, which = np.frombuffer(b"".join(distinct), "<u4"), np.cumsum(counts) - counts, pieces.indices.to_numpy()
+        flat, first, counts = self.distinct(pieces.dictionary)
+        which = pieces.indices.to_numpy()
         own = counts[which]
         ends = np.cumsum(own)
-        ids = flat[np.repeat(first[which] - ends + own, own) + np.arange(int(own.sum()))]
+        ids = flat[_spread(first[which], own)]
         upto = np.searchsorted(begins, np.cumsum([len(t) + 1 for t in lower]) - 1)
         cuts = np.concatenate([[0], ends])[upto].tolist()
         return [ids[a:b].tobytes() for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
+    def distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces, where those of each begin, and how many it has. Words of letters alone are merged together."""
+        n = len(pieces)
+        if not n:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        _, ends, data = pieces.buffers()
+        ends = np.frombuffer(ends, np.int32, n + 1).astype(np.int64)
+        data = np.frombuffer(data, np.uint8, int(ends[-1]))
+        starts, ends = ends[:-1], ends[1:]
+        # a Latin letter beyond ASCII has two bytes, of which 0xC3 is the first
+        wide = data >= 0x80
+        shift = np.concatenate([[0], np.cumsum(wide)])
+        lengths = ends - starts + shift[ends] - shift[starts]
+        word = np.add.reduceat(_KIND[data] != _LETTER, starts, dtype=np.int64) == 0
+        word &= (lengths <= Merges.LONGEST) & (self.merges is not None)
+        counts, own, rest = np.zeros(n, np.int64), np.flatnonzero(word), np.flatnonzero(~word)
+        parts = [np.zeros(0, "<u4")]
+        if len(own):
+            spelled = np.repeat(data, 1 + wide)
+            second = np.flatnonzero(wide) + shift[1:][wide]
+            spelled[second - 1] = 0xC3
+            spelled[second] -= 0x40
+            ids, counts[own] = self.merges.of(spelled, starts[own] + shift[starts[own]], lengths[own])
+            parts.append(ids)
+        if len(rest):
+            raw = data.tobytes()
+            made = [self.pieces[raw[a:b]] for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+            counts[rest] = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            parts.append(np.frombuffer(b"".join(made), "<u4"))
+        order, first = np.concatenate([own, rest]), np.zeros(n, np.int64)
+        first[order] = np.cumsum(counts[order]) - counts[order]
+        return np.concatenate(parts), first, counts
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, ids) of the rows of Arrow batches (doc_id, text), encoded TOGETHER characters at a time."""
     from . import common

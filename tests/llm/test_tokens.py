@@ -37,6 +37,35 @@ def test_texts_together(tokenizer, documents):
         assert np.frombuffer(own, "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_words_are_merged_together(tokenizer, monkeypatch):
+    """No distinct word of letters is handed to the model on its own, up to LONGEST bytes, and the ids are its own."""
+    rng = np.random.default_rng(6)
+    letters = [*"abcdefghijklmnopqrstuvwxyzéßÀøÿ", "the", "tion", "aa", "lll", "ing"]
+    words = ["".join(rng.choice(letters, size=rng.integers(1, 14))) for _ in range(20_000)] + ["a" * k for k in range(1, 60)] + ["é" * k for k in range(1, 30)]
+    cache = tokens.ChunkIds(tokens.default_path())
+    monkeypatch.setattr(cache, "bare", lambda word: pytest.fail(word) if len(word.encode()) <= 40 else tokens.ChunkIds.bare(cache, word))
+    for text in (" ".join(words), words[0], " ".join(words[-95:])):
+        assert np.frombuffer(cache.of(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_later_rounds_count_few_places(monkeypatch):
+    """Rounds after the first sort only places of frequent pairs and of new symbols, and miss no frequent pair."""
+    rng = np.random.default_rng(9)
+    words = [rng.integers(0, 40, rng.integers(2, 9)).astype("<u4") for _ in range(30_000)]
+    docs = [np.concatenate([words[i] for i in rng.integers(0, len(words), 60)]).tobytes() for _ in range(4000)]
+    sizes, sort = [], np.sort
+    monkeypatch.setattr(grammar.np, "sort", lambda x, *a, **k: sizes.append(len(x)) or sort(x, *a, **k))
+    shard = grammar.Shard(grammar.encode(docs))
+    monkeypatch.undo()
+    n = sum(map(len, docs)) // 4
+    assert list(shard.documents()) == docs
+    ends = np.zeros(len(shard.seq), bool)
+    ends[shard.offsets[1:] - 1] = ends[-1] = True
+    pairs = np.stack([shard.seq[:-1], shard.seq[1:]], axis=1)[~ends[:-1]]
+    assert np.unique(pairs, axis=0, return_counts=True)[1].max() < 5
+    assert sum(sizes) < 2.5 * n, (sum(sizes) / n, len(sizes))
+
+
 def test_pack(spark, odd, none, tokenizer):
     rows = packing.pack(odd, window=64).orderBy("sequence_id", "offset").collect()
     assert [(r.sequence_id, r.offset) for r in rows][0] == (0, 0)
