@@ -127,3 +127,23 @@ def test_components_and_neighbours_count_missing_cells(spark, monkeypatch, block
     assert np.allclose(np.abs([r.pc1 for r in found]), np.abs(vt[0] * s[0]), atol=1e-6) and np.allclose(np.abs([r.pc2 for r in found]), np.abs(vt[1] * s[1]), atol=1e-6)
     for r in learning.neighbours(scaled, 5).collect():
         assert np.isclose(r.distance, np.linalg.norm(z[:, r.sample_id] - z[:, r.other_id]))
+
+
+def test_drift_correction_decides_as_its_twin():
+    import duckdb
+
+    from peakloom.plans import registry
+
+    # all but exact fits: the last bits of residuals decide which point counts
+    rng, samples = np.random.default_rng(5), (0, 5, 10, 15, 3)
+    heights = [[102, 624, 924, 234, 60], [1440, 5040, 8940, 2760, 60], *(rng.integers(1, 16000, (300, 5)) / 100).tolist()]
+    con = duckdb.connect()
+    con.sql("create table lineitem (l_partkey bigint, l_suppkey bigint, l_quantity double)")
+    con.executemany("insert into lineitem values (?, ?, ?)", [(p, s, v) for p, row in enumerate(heights) for s, v in zip(samples, row, strict=True)])
+    twin = sorted(con.sql(f"select feature_id, sample_id, intensity from ({registry.ORACLE_SQL['lowess']})").fetchall())
+    own = []
+    for p, row in enumerate(heights):
+        values = np.zeros(20)
+        values[list(samples)] = row
+        own += [(p, s, int(v)) for s, v in enumerate(np.trunc(np.round(align.drift_corrected(values, np.arange(20) % 5 == 0), 6))) if int(v)]
+    assert own == twin
